@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def to_cents(amount: Column) -> Column:
+    """A two-decimal amount as whole cents.
+
+    Sums of cents stay in one machine word. Decimal sums of this width would add arbitrary
+    precision objects for every invoice line. An overflow raises, it does not wrap.
+    """
+    return (amount * 100).cast("long")
+
+
+def from_cents(cents: Column, digits: int = 18) -> Column:
+    """Whole cents as a two-decimal amount of ``digits`` digits."""
+    return (cents.cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast(f"decimal({digits},2)")
+
+
 def rounded_mean(total: Column, count: Column, digits: int) -> Column:
     """``total / count`` as a decimal, rounded half away from zero."""
     return F.round(F.try_divide(total.cast("decimal(22,2)"), count.cast("decimal(14,0)")), digits)

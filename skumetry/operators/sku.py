@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skumetry.functions.exact import iso_week_label, rounded_mean, sample_stddev, share
+from skumetry.functions.exact import (
+    from_cents, iso_week_label, rounded_mean, sample_stddev, share, to_cents,
+)
 from skumetry.policy import Policy
 from skumetry.schemas import DEMAND, MONEY, RATIO, UNIT_COST
 
@@ -22,8 +24,8 @@ def week_rollup(clean: DataFrame) -> DataFrame:
     """Sales of each SKU in each ISO week (weeks without sales have no row)."""
     return clean.groupBy("stock_code", F.trunc("invoice_date", "week").alias("week_start")).agg(
         F.sum(F.col("quantity").cast("long")).alias("qty_sold"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("unit_price").alias("price_total"),
+        F.sum(F.col("quantity") * to_cents(F.col("unit_price"))).alias("revenue_cents"),
+        F.sum(to_cents(F.col("unit_price"))).alias("price_cents"),
         F.count(F.lit(1)).alias("n_lines"),
         F.min("invoice_date").alias("first_sale"),
         F.max("invoice_date").alias("last_sale"),
@@ -80,8 +82,8 @@ def sku_totals(rollup: DataFrame, policy: Policy) -> DataFrame:
     """Sales totals and demand statistics per SKU, from one pass over the roll-up."""
     totals = rollup.groupBy("stock_code").agg(
         *_demand_moments(),
-        F.sum("revenue").cast(MONEY).alias("total_revenue"),
-        F.sum("price_total").alias("price_total"),
+        from_cents(F.sum("revenue_cents"), MONEY.precision).alias("total_revenue"),
+        from_cents(F.sum("price_cents"), MONEY.precision).alias("price_total"),
         F.sum("n_lines").alias("n_lines"),
         F.min("first_sale").alias("first_sale_date"),
         F.max("last_sale").alias("last_sale_date"),

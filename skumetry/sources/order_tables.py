@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skumetry.functions.exact import from_cents
 from skumetry.schemas import PRICE, TRANSACTIONS
 
 
@@ -39,16 +40,16 @@ def transactions_from_orders(
 
     returned = F.col("l_returnflag") == "R"
     units = F.col("l_quantity").cast("int")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    # Whole cents per unit: no engine has to round a binary fraction.
-    unit_cents = F.floor(F.try_divide(cents, units.cast("long")).cast("decimal(24,6)")).cast("long")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    # Whole cents per unit: no engine has to round a binary fraction. No units, no price.
+    unit_cents = F.call_function("div", cents, F.nullif(units.cast("long"), F.lit(0).cast("long")))
     expressions = {
         "invoice_no": F.concat(F.when(returned, "C").otherwise(""), F.col("l_orderkey").cast("string")),
         "stock_code": seasonal_code(F.col("l_partkey"), F.col("l_shipdate")),
         "description": F.col("p_name"),
         "quantity": F.when(returned, -units).otherwise(units),
         "invoice_date": F.col("l_shipdate").cast("timestamp"),
-        "unit_price": (unit_cents * F.lit(0.01).cast("decimal(3,2)")).cast(PRICE),
+        "unit_price": from_cents(unit_cents, PRICE.precision),
         "customer_id": F.col("o_custkey").cast("string"),
         "country": F.col("n_name"),
     }
