@@ -56,18 +56,16 @@ def with_xyz(sku: DataFrame, policy: Policy) -> DataFrame:
 
 
 def with_cell(sku: DataFrame, policy: Policy) -> DataFrame:
-    """The combined cell and the strategic action that goes with it."""
-    actions = inline_table(
-        sku.sparkSession,
-        {"abc_xyz": pa.string(), "_action": pa.string()},
-        list(policy.actions.items()),
-    )
-    return (
-        sku.withColumn("abc_xyz", F.concat("abc_class", "xyz_class"))
-        .join(F.broadcast(actions), "abc_xyz", "left")
-        .withColumn("strategic_action", F.coalesce("_action", F.lit(UNCLASSIFIED)))
-        .drop("_action")
-    )
+    """The combined cell and the strategic action that goes with it.
+
+    The nine texts are a CASE expression, not a joined table, so a report that shows no
+    action drops it together with the rest of the unused columns.
+    """
+    cell = F.concat("abc_class", "xyz_class")
+    action = F
+    for name, text in policy.actions.items():
+        action = action.when(F.col("abc_xyz") == name, text)
+    return sku.withColumn("abc_xyz", cell).withColumn("strategic_action", action.otherwise(UNCLASSIFIED))
 
 
 def _border(value, policy: Policy):

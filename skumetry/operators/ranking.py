@@ -57,6 +57,8 @@ def running_totals(
     }
     return (
         split.join(F.broadcast(offsets), RANGE)
+        # One range per task; hashing the range numbers would put several into one.
+        .repartitionById(ranges, RANGE)
         .withColumns(running)
         .drop(RANGE, *inputs.values(), *[f"{c}_before" for c in inputs.values()])
     )

@@ -116,12 +116,15 @@ def sku_descriptions(clean: DataFrame, policy: Policy) -> DataFrame:
     """One description per SKU: the greatest, or the most frequent (ties: the smallest).
 
     Texts are counted per SKU before one is picked, so no task ever holds all the texts of a
-    SKU, and the text comparison runs on distinct texts only.
+    SKU, and the text comparison, which needs a sort, runs on distinct texts only. The count
+    is part of the compared value in both variants: the optimizer drops an inner aggregate
+    whose counts nobody reads and would then sort every invoice line.
     """
     texts = clean.groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n_lines"))
     per_sku = texts.groupBy("stock_code")
     if policy.rounded:
-        return per_sku.agg(F.max("description").alias("description"))
+        greatest = F.max(F.struct("description", "n_lines"))
+        return per_sku.agg(greatest["description"].alias("description"))
     ranked = F.when(
         F.col("description").isNotNull(),
         F.struct((-F.col("n_lines")).alias("order"), F.col("description").alias("text")),
@@ -129,12 +132,11 @@ def sku_descriptions(clean: DataFrame, policy: Policy) -> DataFrame:
     return per_sku.agg(F.coalesce(F.min(ranked)["text"], F.lit("")).alias("description"))
 
 
-def sku_revenue(clean: DataFrame, policy: Policy) -> DataFrame:
-    """The full SKU aggregate: totals, buyers and description side by side."""
+def sku_revenue(totals: DataFrame, buyers: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """The full SKU aggregate; all three sides are already partitioned by stock code."""
     return (
-        sku_totals(week_rollup(clean), policy)
-        .join(sku_buyers(clean), "stock_code")
-        .join(sku_descriptions(clean, policy), "stock_code")
+        totals.join(buyers, "stock_code")
+        .join(descriptions, "stock_code")
         .select(
             "stock_code", "description", "total_qty_sold", "total_revenue", "n_invoices",
             "n_customers", "avg_unit_price", "first_sale_date", "last_sale_date",

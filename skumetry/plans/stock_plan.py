@@ -1,12 +1,13 @@
 """One analysis run: transactions and a policy in, every table out.
 
-Tables are built on first use and kept, so a run that asks for several reports reduces the
+Each stage asks for the transaction columns it reads. Tables are built on first use and kept, so a run that asks for several reports reduces the
 invoice lines once. The graded SKU table is written to the checkpoint folder on the way
 (see ``running_totals``); everything after it reads SKU rows, not invoice lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -15,26 +16,40 @@ from pyspark.sql import functions as F
 from skumetry import schemas
 from skumetry.operators import classes, cleaning, rationalise, reorder, reports, sku, summaries
 from skumetry.policy import Policy
+from skumetry.session import cut_lineage
 
-# Columns of the transactions that each stage reads.
-CLEANING_COLUMNS = ("invoice_no", "stock_code", "quantity", "unit_price")
-GRADING_COLUMNS = CLEANING_COLUMNS + ("invoice_date",)
+# Transaction columns that each stage reads.
+CLEANING = ("invoice_no", "stock_code", "quantity", "unit_price")
+SALES = CLEANING + ("invoice_date",)
+BUYERS = CLEANING + ("customer_id",)
+TEXTS = CLEANING + ("description",)
+
+TransactionSource = Callable[[Sequence[str]], DataFrame]
 
 
 class StockPlan:
-    def __init__(self, transactions: DataFrame, policy: Policy | None = None) -> None:
-        self.transactions = transactions
+    """``transactions`` is a table, or a function that gives the asked-for columns of one.
+
+    A function can leave out the work behind columns a stage does not read, such as joins.
+    """
+
+    def __init__(self, transactions: DataFrame | TransactionSource, policy: Policy | None = None) -> None:
+        self._transactions = transactions
         self.policy = policy or Policy()
 
     # Lines ------------------------------------------------------------------------------
 
-    @cached_property
-    def clean(self) -> DataFrame:
-        return cleaning.clean_transactions(self.transactions, self.policy)
+    def transactions(self, columns: Sequence[str]) -> DataFrame:
+        if isinstance(self._transactions, DataFrame):
+            return self._transactions.select(*columns)
+        return self._transactions(columns)
+
+    def clean(self, columns: Sequence[str]) -> DataFrame:
+        return cleaning.clean_transactions(self.transactions(columns), self.policy)
 
     @cached_property
     def week_rollup(self) -> DataFrame:
-        return sku.week_rollup(self.clean)
+        return sku.week_rollup(self.clean(SALES))
 
     @cached_property
     def weekly_demand(self) -> DataFrame:
@@ -44,9 +59,18 @@ class StockPlan:
     def demand_stats(self) -> DataFrame:
         return sku.demand_stats(self.week_rollup, self.policy)
 
+    @cached_property
+    def buyers(self) -> DataFrame:
+        return sku.sku_buyers(self.clean(BUYERS))
+
+    @cached_property
+    def descriptions(self) -> DataFrame:
+        return sku.sku_descriptions(self.clean(TEXTS), self.policy)
+
     @cached_property
     def sku_revenue(self) -> DataFrame:
-        return sku.sku_revenue(self.clean, self.policy)
+        totals = sku.sku_totals(self.week_rollup, self.policy)
+        return sku.sku_revenue(totals, self.buyers, self.descriptions)
 
     # Graded SKUs ------------------------------------------------------------------------
 
@@ -59,12 +83,11 @@ class StockPlan:
 
     @cached_property
     def graded_with_buyers(self) -> DataFrame:
-        return self.graded.join(sku.sku_buyers(self.clean), "stock_code")
+        return self.graded.join(self.buyers, "stock_code")
 
     @cached_property
     def _described(self) -> DataFrame:
-        descriptions = sku.sku_descriptions(self.clean, self.policy)
-        master = self.graded_with_buyers.join(descriptions, "stock_code")
+        master = self.graded_with_buyers.join(self.descriptions, "stock_code")
         return master.withColumn("rationalisation_flag", rationalise.rationalisation_flag(self.policy))
 
     @cached_property
@@ -95,11 +118,12 @@ class StockPlan:
     def _with_descriptions(self, few: DataFrame) -> DataFrame:
         """Descriptions for a list limited to a fixed number of SKUs.
 
-        Only their invoice lines are read for it: the list's stock codes, a bounded number,
-        filter the lines before anything is shuffled.
+        Only their invoice lines are counted for it: the list's stock codes, a bounded number,
+        filter the lines before anything is shuffled. The list is written first, because it
+        is read twice and costs a pass over all SKUs.
         """
-        codes = F.broadcast(few.select("stock_code"))
-        lines = self.clean.join(codes, "stock_code", "left_semi")
+        few = cut_lineage(few)
+        lines = self.clean(TEXTS).join(F.broadcast(few.select("stock_code")), "stock_code", "left_semi")
         return few.join(sku.sku_descriptions(lines, self.policy), "stock_code")
 
     @cached_property
@@ -127,7 +151,7 @@ class StockPlan:
 
     def summary_stats(self) -> DataFrame:
         return reports.summary_stats(
-            cleaning.dataset_profile(self.clean),
+            cleaning.dataset_profile(self.clean(SALES + ("customer_id",))),
             self.graded,
             reorder.safety_stock_profile(self.reorder_numbers),
             rationalise.action_profile(self.rationalisation_numbers),
