@@ -34,7 +34,7 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
 TX = """
 tx AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS invoice_no,
-         to_base(l_partkey * 10 + year(l_shipdate) % 10, 36, 6) AS stock_code,
+         to_base(l_partkey * 10 + year(l_shipdate) % 10 + 60466176, 36) AS stock_code,
          p_name AS description,
          CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_quantity AS INTEGER) AS quantity,
          l_shipdate AS invoice_date,
@@ -500,6 +500,12 @@ SELECT count(*) AS sku_count, {money('coalesce(sum(rev), 0)')} AS revenue FROM g
 SELECT abc AS abc_class, {money('min(rev)')} AS min_revenue, round(log10({money('min(rev)')}), 9) AS log_min_revenue
 FROM graded WHERE abc IN ('A', 'B') GROUP BY abc""",
         "sku_master": _master(False),
+        "master_export": f"""SELECT stock_code AS "StockCode", description, abc_class AS "ABC", xyz_class AS "XYZ",
+       abc_xyz AS "ABC_XYZ", total_revenue, total_qty_sold, n_invoices, n_customers, avg_unit_price, weekly_demand_mean,
+       weekly_demand_std, cv, weeks_with_demand, weeks_active_pct, first_sale_date, last_sale_date, revenue_cum_pct
+FROM ({_master(False)}) AS m""",
+        "matrix_export": f"""SELECT abc_class AS "ABC", xyz_class AS "XYZ", sku_count, revenue AS total_revenue, avg_cv,
+       pct_revenue, pct_skus FROM ({_matrix_long(False)}) AS m""",
         "reorder_points": _reorder_points(False),
         "rop_export": export,
         "rop_sheet": _reorder_points(False)
@@ -512,7 +518,7 @@ SELECT abc AS abc_class, count(*) AS skus, {ratio('sum(round(mean * 100)::BIGINT
        count(*) FILTER (risk) AS stockout_risk_skus
 FROM rop GROUP BY abc""",
         "rop_top20": f"""WITH {rop_cte()}
-SELECT stock_code, substr(description, 1, 40) AS description, cell AS abc_xyz, mean AS avg_weekly_demand,
+SELECT stock_code, description, cell AS abc_xyz, mean AS avg_weekly_demand,
        buffer AS safety_stock, point AS reorder_point, risk AS stockout_risk_flag, {money('rev')} AS annual_revenue, cv
 FROM rop ORDER BY point DESC, stock_code LIMIT 20""",
         "rop_top5": f"""WITH {rop_cte()}
@@ -527,6 +533,9 @@ FROM rop ORDER BY rev DESC, stock_code LIMIT 20""",
 SELECT count(*) AS skus, round(avg(buffer) FILTER (abc = 'A'), 6) AS avg_safety_stock_a,
        count(*) FILTER (risk) AS stockout_risk_skus FROM rop""",
         "cz_rationalisation": _cz_list(False),
+        "cz_export": f"""SELECT stock_code AS "StockCode", description, abc_xyz AS "ABC_XYZ", total_revenue, n_customers,
+       n_invoices, weekly_demand_mean, cv, loyal_customer_flag, recommended_action AS action
+FROM ({_cz_list(False)}) AS c""",
         "cz_summary": _cz_summary(False),
         "cz_action_sheet": f"""SELECT substr(recommended_action, 1, 55) AS recommended_action, sku_count, total_revenue,
        avg_revenue_per_sku, avg_cv, avg_customers,
@@ -558,10 +567,9 @@ SELECT round(count(*) FILTER (cum_pct <= 0.80) / count(*)::DOUBLE * 100, 9) AS a
        round(count(*) FILTER (cum_pct <= 0.95) / count(*)::DOUBLE * 100, 9) AS b_cutoff FROM graded""",
         "cv_histogram": _histogram(),
         "heatmap_cells": f"""WITH {graded_cte()}
-SELECT a.abc AS abc_class, x.xyz AS xyz_class, count(g.stock_code) AS sku_count,
+SELECT abc_xyz[1] AS abc_class, abc_xyz[2] AS xyz_class, zone, count(g.stock_code) AS sku_count,
        round(coalesce(sum(g.rev), 0)::DOUBLE / 100 / 1000, 9) AS revenue_thousands
-FROM {values([(c,) for c in ABC_CLASSES], 'a', 'abc')} CROSS JOIN {values([(c,) for c in XYZ_CLASSES], 'x', 'xyz')}
-LEFT JOIN graded AS g ON g.abc = a.abc AND g.xyz = x.xyz GROUP BY a.abc, x.xyz""",
+FROM {CELL_SPINE} LEFT JOIN graded AS g ON abc_xyz = cell GROUP BY abc_xyz, zone""",
         "quadrant_sample": f"""WITH {graded_cte()}
 SELECT stock_code, cell AS abc_xyz, least(greatest(cv, 0.0::DOUBLE), 2.5::DOUBLE) AS cv,
        round(log10({money('rev')} + 1), 9) AS log_revenue

@@ -88,12 +88,12 @@ def rop_summary(rop: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def highest_reorder_points(rop: DataFrame, n: int) -> DataFrame:
-    """The SKUs whose reorder point is highest."""
+def highest_reorder_points(rop: DataFrame, n: int, text_length: int | None = None) -> DataFrame:
+    """The SKUs whose reorder point is highest; descriptions cut to ``text_length``."""
+    text = F.col("description") if text_length is None else F.substring("description", 1, text_length)
     return top_by(rop, "reorder_point", n).select(
-        "stock_code", F.substring("description", 1, 40).alias("description"), "abc_xyz",
-        "avg_weekly_demand", "safety_stock", "reorder_point", "stockout_risk_flag",
-        "annual_revenue", "cv",
+        "stock_code", text.alias("description"), "abc_xyz", "avg_weekly_demand", "safety_stock",
+        "reorder_point", "stockout_risk_flag", "annual_revenue", "cv",
     )
 
 
@@ -115,32 +115,6 @@ def safety_stock_profile(rop: DataFrame) -> DataFrame:
     )
 
 
-EXPORT_NAMES = {
-    "stock_code": "StockCode",
-    "description": "Description",
-    "abc_class": "ABC",
-    "xyz_class": "XYZ",
-    "abc_xyz": "ABC_XYZ",
-    "annual_revenue": "Annual Revenue (£)",
-    "avg_unit_price": "Avg Unit Price (£)",
-    "total_qty_sold": "Annual Units Sold",
-}
-
-
-def rop_export(rop: DataFrame) -> DataFrame:
-    """The reorder table with the column names of its export file.
-
-    ``avg_weekly_demand`` and ``demand_std_weekly`` are exported too: the workbook sheet
-    shows them, and without them it could only show zeros.
-    """
-    return rop.select(
-        *[F.col(c).alias(n) for c, n in EXPORT_NAMES.items()],
-        "avg_weekly_demand", "demand_std_weekly",
-        "weekly_demand_mean", "weekly_demand_std", "cv", "lead_time_weeks", "service_level_pct",
-        "avg_demand_lt", "safety_stock", "reorder_point", "stockout_risk_flag",
-    )
-
-
 def rop_sheet(rop: DataFrame) -> DataFrame:
     """The reorder table as the workbook shows it: short text, risk as a label."""
     return rop.withColumns({

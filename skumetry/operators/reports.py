@@ -199,13 +199,14 @@ def cv_histogram(graded: DataFrame) -> DataFrame:
     )
 
 
-def heatmap_cells(counts: DataFrame, revenue: DataFrame) -> DataFrame:
-    """Heat-map cells in long form: count and thousands of revenue."""
-    classes = ["X", "Y", "Z"]
-    n = counts.unpivot(["abc_class"], classes, "xyz_class", "sku_count")
-    money = revenue.unpivot(["abc_class"], classes, "xyz_class", "revenue")
-    return n.join(money, ["abc_class", "xyz_class"]).select(
-        "abc_class", "xyz_class", "sku_count", (F.col("revenue").cast("double") / 1000).alias("revenue_thousands")
+def heatmap_cells(cells: DataFrame) -> DataFrame:
+    """Heat-map cells with their zone label: count and thousands of revenue."""
+    return cells.select(
+        F.substring("abc_xyz", 1, 1).alias("abc_class"),
+        F.substring("abc_xyz", 2, 1).alias("xyz_class"),
+        "zone",
+        "sku_count",
+        (F.col("revenue").cast("double") / 1000).alias("revenue_thousands"),
     )
 
 

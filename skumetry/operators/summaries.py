@@ -110,16 +110,14 @@ def matrix_revenue(graded: DataFrame) -> DataFrame:
 
 def matrix_margins(graded: DataFrame, policy: Policy) -> DataFrame:
     """The count matrix with each ABC class's total count, revenue and revenue share."""
-    totals = graded.groupBy("abc_class").agg(F.sum("total_revenue").alias("revenue"))
-    totals = totals.withColumn("pct_revenue", _share_of_all("revenue", 1, policy))
-    joined = matrix_counts(graded).join(totals, "abc_class", "left")
-    row_total = sum((F.col(c) for c in XYZ_CLASSES[1:]), F.col(XYZ_CLASSES[0]))
-    return joined.select(
-        "abc_class",
-        *XYZ_CLASSES,
-        row_total.alias("row_total"),
-        *[F.coalesce(c, F.lit(0).cast(joined.schema[c].dataType)).alias(c) for c in ("revenue", "pct_revenue")],
+    rows = graded.groupBy("abc_class").agg(
+        *[F.count_if(F.col("xyz_class") == c).alias(c) for c in XYZ_CLASSES],
+        F.count(F.lit(1)).alias("row_total"),
+        F.sum("total_revenue").alias("revenue"),
     )
+    rows = rows.withColumn("pct_revenue", _share_of_all("revenue", 1, policy))
+    spine = abc_spine(graded.sparkSession).select("abc_class")
+    return _complete(spine, rows, ["abc_class"], [c for c in rows.columns if c != "abc_class"])
 
 
 def cell_policy(graded: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skumetry import schemas
-from skumetry.operators import classes, cleaning, rationalise, reorder, reports, sku, summaries
+from skumetry.operators import classes, cleaning, exports, rationalise, reorder, reports, sku, summaries
 from skumetry.policy import Policy
 from skumetry.session import cut_lineage
 
@@ -147,6 +147,9 @@ class StockPlan:
         """The rationalisation list without descriptions."""
         return rationalise.rationalisation_list(self.graded_with_buyers, self.policy)
 
+    def rationalisation_summary(self) -> DataFrame:
+        return rationalise.rationalisation_summary(self.rationalisation_numbers, self.policy)
+
     # Reports ----------------------------------------------------------------------------
 
     def summary_stats(self) -> DataFrame:
@@ -163,11 +166,11 @@ class StockPlan:
         return reports.top_class_skus(few, abc_class, n)
 
     def outputs(self) -> dict[str, DataFrame]:
-        """The five result tables a run writes."""
+        """The five result tables a run writes, with the column names of their files."""
         return {
-            "sku_master": self.sku_master,
-            "abc_xyz_matrix": self.matrix_long(),
-            "reorder_points": self.reorder_points,
-            "rationalisation_list": self.rationalisation_list,
-            "summary_stats": self.summary_stats(),
+            "sku_master": exports.master_export(self.sku_master),
+            "abc_xyz_matrix": exports.matrix_export(self.matrix_long()),
+            "reorder_points": exports.rop_export(self.reorder_points),
+            "rationalisation_list": exports.rationalisation_export(self.rationalisation_list),
+            "summary_stats": exports.stats_export(self.summary_stats()),
         }

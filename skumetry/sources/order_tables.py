@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skumetry.functions.exact import from_cents
@@ -16,34 +16,59 @@ def seasonal_code(part_key, day):
 
     SKU demand is graded over about one year. The line items cover several, so each part gets
     a new code every year, as seasonal ranges do; this keeps every line in the analysis. Part
-    key and year digit are written in base 36, which leaves room for 200 million parts.
+    key and year digit are written in base 36, counted from 36^5 so that no padding is
+    needed. That leaves room for 211 million parts; later ones get seven characters, which
+    the cleaning rules reject.
     """
-    number = part_key * 10 + F.year(day) % 10
-    code = F.conv(number.cast("string"), 10, 36)
-    return F.lpad(code, F.greatest(F.lit(6), F.length(code)), F.lit("0"))
+    number = part_key * 10 + F.year(day) % 10 + F.lit(36**5)
+    return F.conv(number.cast("string"), 10, 36)
 
 
-def transactions_from_orders(
-    spark: SparkSession, folder: str, columns: Iterable[str] = tuple(TRANSACTIONS.fieldNames())
-) -> DataFrame:
-    """The requested transaction columns; returned lines become cancelled invoices.
+class OrderTables:
+    """Transactions from a folder of order tables; each table's footer is read once."""
 
-    Descriptions, customers and countries come from other tables. They are joined only when
-    asked for: the optimizer cannot know that those tables' keys are unique, so it would keep
-    a join whose columns nobody reads. No join is forced to broadcast – the part and order
-    tables grow with the data, so their sizes decide at run time.
-    """
-    wanted = [c for c in TRANSACTIONS.fieldNames() if c in set(columns)]
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark = spark
+        self._folder = folder
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._tables[name]
+
+    def transactions(self, columns: Iterable[str] = tuple(TRANSACTIONS.fieldNames())) -> DataFrame:
+        """The requested transaction columns; returned lines become cancelled invoices.
+
+        Descriptions, customers and countries come from other tables. They are joined only
+        when asked for: the optimizer cannot know that those tables' keys are unique, so it
+        would keep a join whose columns nobody reads. No join is forced to broadcast – the
+        part and order tables grow with the data, so their sizes decide at run time.
+        """
+        wanted = [c for c in TRANSACTIONS.fieldNames() if c in set(columns)]
+        lines = self.table("lineitem")
+        if "customer_id" in wanted or "country" in wanted:
+            orders = self.table("orders").select("o_orderkey", "o_custkey")
+            if "country" in wanted:
+                nations = self.table("nation").select("n_nationkey", "n_name")
+                customers = self.table("customer").select("c_custkey", "c_nationkey")
+                places = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+                orders = orders.join(places, F.col("o_custkey") == F.col("c_custkey"), "left")
+            lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        if "description" in wanted:
+            parts = self.table("part").select("p_partkey", "p_name")
+            lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+        expressions = _transaction_columns()
+        return lines.select(*[expressions[c].alias(c) for c in wanted])
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
 
+def _transaction_columns() -> dict[str, Column]:
     returned = F.col("l_returnflag") == "R"
     units = F.col("l_quantity").cast("int")
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
     # Whole cents per unit: no engine has to round a binary fraction. No units, no price.
     unit_cents = F.call_function("div", cents, F.nullif(units.cast("long"), F.lit(0).cast("long")))
-    expressions = {
+    return {
         "invoice_no": F.concat(F.when(returned, "C").otherwise(""), F.col("l_orderkey").cast("string")),
         "stock_code": seasonal_code(F.col("l_partkey"), F.col("l_shipdate")),
         "description": F.col("p_name"),
@@ -53,16 +78,3 @@ def transactions_from_orders(
         "customer_id": F.col("o_custkey").cast("string"),
         "country": F.col("n_name"),
     }
-    lines = table("lineitem")
-    if "customer_id" in wanted or "country" in wanted:
-        orders = table("orders").select("o_orderkey", "o_custkey")
-        if "country" in wanted:
-            nations = table("nation").select("n_nationkey", "n_name")
-            customers = table("customer").select("c_custkey", "c_nationkey")
-            places = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            orders = orders.join(places, F.col("o_custkey") == F.col("c_custkey"), "left")
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if "description" in wanted:
-        parts = table("part").select("p_partkey", "p_name")
-        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return lines.select(*[expressions[c].alias(c) for c in wanted])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skumetry import Policy, StockPlan, schemas
-from skumetry.operators import rationalise, reorder
+from skumetry.operators import exports, rationalise, reorder
 from skumetry.policy import PROTECT, RATIONALISE_SCRIPT, RATIONALISE_SQL, SINGLE_EVENT_SCRIPT, SINGLE_EVENT_SQL
 
 SQL, SCRIPT = Policy(), Policy(semantics="script")
@@ -59,7 +59,7 @@ def test_rop_summary_and_lists(lines):
     assert tuple(totals) == (3, 1)
     top = reorder.highest_reorder_points(plan.reorder_points, 1).first()
     assert top.stock_code == "SKU001"
-    exported = reorder.rop_export(plan.reorder_points)
+    exported = exports.rop_export(plan.reorder_points)
     assert {"StockCode", "Annual Revenue (£)", "avg_weekly_demand"} <= set(exported.columns)
     flags = {r.stock_code: r.stockout_risk_flag for r in reorder.rop_sheet(plan.reorder_points).collect()}
     assert flags == {"SKU001": "OK", "SKU002": "⚠ YES", "SKU003": "OK"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from skumetry import StockPlan
 from skumetry.operators import rationalise, reorder, summaries
-from skumetry.sources.order_tables import transactions_from_orders
+from skumetry.sources.order_tables import OrderTables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -43,8 +43,7 @@ YEAR_1997 = {
 @pytest.mark.parametrize("scale", YEAR_1997)
 def test_one_year_counts(spark, scale):
     raw, cancelled, skus, eligible, single, cells, actions = YEAR_1997[scale]
-    transactions = transactions_from_orders(
-        spark, f"/root/testdata/sf{scale}",
+    transactions = OrderTables(spark, f"/root/testdata/sf{scale}").transactions(
         ("invoice_no", "stock_code", "quantity", "invoice_date", "unit_price", "customer_id"),
     ).where(F.year("invoice_date") == 1997)
     assert transactions.count() == raw

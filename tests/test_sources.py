@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skumetry import Policy, StockPlan, schemas
 from skumetry.operators import cleaning
 from skumetry.sources import invoices_csv, outputs
-from skumetry.sources.order_tables import transactions_from_orders
+from skumetry.sources.order_tables import OrderTables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -55,7 +55,7 @@ def test_timestamp_formats(spark, text, expected):
 
 
 def test_order_tables_give_transactions(spark):
-    data = transactions_from_orders(spark, SF_DIR)
+    data = OrderTables(spark, SF_DIR).transactions()
     assert [(f.name, f.dataType) for f in data.schema] == [(f.name, f.dataType) for f in schemas.TRANSACTIONS]
     assert data.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
     nulls = cleaning.null_violations(data, data.columns).agg(F.sum("violations")).first()[0]
@@ -63,10 +63,10 @@ def test_order_tables_give_transactions(spark):
 
 
 def test_order_tables_join_only_what_is_asked_for(spark):
-    narrow = transactions_from_orders(spark, SF_DIR, ("stock_code", "quantity"))
+    narrow = OrderTables(spark, SF_DIR).transactions(("stock_code", "quantity"))
     plan = narrow._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
-    full = transactions_from_orders(spark, SF_DIR).select("stock_code", "quantity")
+    full = OrderTables(spark, SF_DIR).transactions().select("stock_code", "quantity")
     assert narrow.exceptAll(full).isEmpty() and full.exceptAll(narrow).isEmpty()
 
 
@@ -76,6 +76,7 @@ def test_outputs_round_trip(spark, lines, tmp_path, fmt):
     plan = StockPlan(data)
     tables = plan.outputs()
     assert set(tables) == set(outputs.OUTPUT_TABLES)
+    assert [len(tables[n].columns) for n in outputs.OUTPUT_TABLES] == [18, 7, 19, 10, 2]
     outputs.save_outputs(tables, str(tmp_path), fmt)
     outputs.save_outputs(tables, str(tmp_path), fmt)
     loaded = outputs.load_outputs(spark, str(tmp_path), {n: t.schema for n, t in tables.items()}, fmt)
