@@ -30,16 +30,15 @@ def running_totals(
     sees the same ranges. Equal leading sort values are split by the later sort columns, so a
     value shared by many rows does not end up in one range.
     """
-    session = df.sparkSession
-    ranges = ranges or int(session.conf.get("spark.sql.shuffle.partitions"))
     inputs = {name: f"_{name}" for name in measures}
-    split = cut_lineage(
-        df.withColumns({inputs[name]: value for name, value in measures.items()})
-        .repartitionByRange(ranges, *order)
-        .withColumn(RANGE, F.spark_partition_id())
-    )
-    # One row per range: bounded by `ranges`, so the single-task window and the broadcast
-    # below do not grow with the data.
+    rows = df.withColumns({inputs[name]: value for name, value in measures.items()})
+    # Without a number, neighbouring small ranges are merged at run time and their count
+    # stays within the session's shuffle partitions.
+    ranged = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    split = cut_lineage(ranged.withColumn(RANGE, F.spark_partition_id()))
+    n_ranges = split.rdd.getNumPartitions()
+    # One row per range, a number set by the session: the single-task window and the
+    # broadcast below do not grow with the data.
     sums = split.groupBy(RANGE).agg(*[F.sum(c).alias(c) for c in inputs.values()])
     before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -58,7 +57,7 @@ def running_totals(
     return (
         split.join(F.broadcast(offsets), RANGE)
         # One range per task; hashing the range numbers would put several into one.
-        .repartitionById(ranges, RANGE)
+        .repartitionById(n_ranges, RANGE)
         .withColumns(running)
         .drop(RANGE, *inputs.values(), *[f"{c}_before" for c in inputs.values()])
     )

@@ -40,9 +40,11 @@ class StockPlan:
     # Lines ------------------------------------------------------------------------------
 
     def transactions(self, columns: Sequence[str]) -> DataFrame:
-        if isinstance(self._transactions, DataFrame):
-            return self._transactions.select(*columns)
-        return self._transactions(columns)
+        """The asked-for columns in their declared types, so that prices are exact cents."""
+        given = self._transactions
+        table = given if isinstance(given, DataFrame) else given(columns)
+        types = {f.name: f.dataType for f in schemas.TRANSACTIONS.fields}
+        return table.select(*[F.col(c).cast(types[c]).alias(c) for c in columns])
 
     def clean(self, columns: Sequence[str]) -> DataFrame:
         return cleaning.clean_transactions(self.transactions(columns), self.policy)

@@ -28,7 +28,7 @@ ORDER = (lambda: [F.col("total_revenue").desc(), F.col("stock_code").asc()])
 
 
 @pytest.mark.parametrize("name", REVENUES)
-@pytest.mark.parametrize("ranges", [1, 6])
+@pytest.mark.parametrize("ranges", [None, 1, 6])
 def test_running_totals_equal_the_single_task_window(spark, name, ranges):
     data = table(spark, REVENUES[name])
     ours = ranking.running_totals(

@@ -109,6 +109,12 @@ def test_very_large_quantities_stay_exact(lines):
     assert row.weekly_demand_std == 0
 
 
+def test_prices_given_as_doubles_become_exact(lines):
+    data = lines({"unit_price": "2.55"}, {"unit_price": "0.10", "quantity": 3})
+    loose = data.withColumns({"unit_price": F.col("unit_price").cast("double"), "quantity": F.col("quantity").cast("long")})
+    assert StockPlan(loose).graded.first().total_revenue == Decimal("2.85")
+
+
 def test_exact_rounding(spark):
     data = spark.sql("SELECT CAST(41 AS BIGINT) AS s, CAST(40 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS z")
     row = data.select(
