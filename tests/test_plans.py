@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as registry
 from skumetry import Policy, StockPlan
-from skumetry.operators import sku
+from skumetry.operators import classes, sku
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL, SCRIPT = Policy(), Policy(semantics="script")
@@ -64,7 +64,8 @@ def test_one_shuffle_of_lines_per_rollup(flat):
 
 def test_sku_rows_never_meet_in_one_task(flat):
     """The only single-task exchange under the graded table is over the per-range sums."""
-    plan = physical(StockPlan(flat).graded)
+    totals = sku.sku_totals(StockPlan(flat).week_rollup, SQL)
+    plan = physical(classes.rank_by_revenue(totals, SQL, ranges=4))
     singles = [i for i, line in enumerate(plan.splitlines()) if "SinglePartition" in line]
     assert len(singles) == 1
     below = plan.splitlines()[singles[0] + 1]
