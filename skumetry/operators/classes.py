@@ -62,7 +62,7 @@ def with_cell(sku: DataFrame, policy: Policy) -> DataFrame:
     action drops it together with the rest of the unused columns.
     """
     cell = F.concat("abc_class", "xyz_class")
-    action = F
+    action = F.when(F.lit(False), UNCLASSIFIED)
     for name, text in policy.actions.items():
         action = action.when(F.col("abc_xyz") == name, text)
     return sku.withColumn("abc_xyz", cell).withColumn("strategic_action", action.otherwise(UNCLASSIFIED))
