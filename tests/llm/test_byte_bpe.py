@@ -1,0 +1,62 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from skumetry.llm import byte_bpe
+from skumetry.llm.queries import rank_lines
+
+RANKS = byte_bpe.read_ranks(rank_lines())
+ENCODER = byte_bpe.PrefixEncoder(RANKS)
+LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+SPLIT = byte_bpe.splitter(public_tokenizers.PATTERN)
+SCHEMA = "doc_id long, text string, n_tokens string"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab \n\t\x1c\x85　é你ß1２'st😀.,-") | st.characters(exclude_categories=["Cs"])))
+def test_same_ids_as_the_library(text):
+    ids = [i for piece in SPLIT(text) for i in ENCODER.encode_piece(piece.encode())]
+    assert ids == LIBRARY.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=80), st.binary(max_size=9), st.integers(0, 80), st.integers(0, 9))
+def test_append_and_edit_equal_a_fresh_table(text, new, start, width):
+    start = min(start, len(text))
+    stop = min(start + width, len(text))
+    table = byte_bpe.PrefixTable(ENCODER, text)
+    table.replace(start, stop, new)
+    table.append(new)
+    assert table.last == byte_bpe.PrefixTable(ENCODER, text[:start] + new + text[stop:] + new).last
+
+
+def test_an_edit_recomputes_only_its_surroundings():
+    table = byte_bpe.PrefixTable(ENCODER, b"the quick brown fox " * 500)
+    assert table.replace(40, 43, b"and") < 200
+
+
+def test_documents(spark):
+    rows = [(1, "the idiot  said\nso", "x"), (2, None, "x"), (3, "", None), (4, "é" * 50_000, "x"), (4, "é" * 50_000, "x"), (None, "<|endoftext|>", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    expected = []
+    for doc_id, text, _ in rows:
+        ids = LIBRARY.encode_ordinary(text or "")
+        expected.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    assert byte_bpe.token_digests(docs.limit(0), rank_lines(), public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("clash", ["token_ids", "decoded"])
+def test_round_trip_keeps_other_columns(spark, clash):
+    docs = spark.createDataFrame([(1, "Grüße, 世界", "a"), (2, None, "b"), (3, "", None)], f"doc_id long, text string, {clash} string")
+    back = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, rank_lines(), public_tokenizers.PATTERN), rank_lines(), public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in back.collect()} == {1: "Grüße, 世界", 2: "", 3: ""}
