@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skumetry.llm.textbytes import slices
 
@@ -201,7 +202,7 @@ def encode_texts(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "
     the data.
     """
     docs = docs.drop("token_ids")
-    schema = docs.schema.add("token_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pieces, _ = _codec(rank_lines, pattern)
@@ -220,7 +221,7 @@ def encode_texts(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "
 def decode_ids(docs: DataFrame, rank_lines: bytes, pattern: str, ids: str = "token_ids") -> DataFrame:
     """``docs`` with ``decoded`` (binary): the bytes of the ids, empty for null."""
     docs = docs.drop("decoded")
-    schema = docs.schema.add("decoded", "binary")
+    schema = T.StructType([*docs.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _codec(rank_lines, pattern)[2]
