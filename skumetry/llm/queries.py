@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skumetry.llm import byte_bpe, quality
+from skumetry.llm import byte_bpe, parity_join, quality
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,10 @@ def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "lang", "log_perplexity")
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN)
@@ -31,6 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_perplexity_bands": op4_perplexity_bands,
+        "op7_parity_join": op7_parity_join,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
