@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, parity_join, quality
+from skumetry.llm import byte_bpe, parity_join, pii, quality
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +19,16 @@ def rank_lines(name: str = VOCABULARY) -> bytes:
         return file.read()
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    both = F.concat("base", "found")
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(both).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+    )
+
+
 def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.quality_verdicts(docs).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "lang", "log_perplexity")
@@ -34,6 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op4_perplexity_bands": op4_perplexity_bands,
         "op7_parity_join": op7_parity_join,
         "op10_byte_bpe": op10_byte_bpe,
