@@ -21,7 +21,8 @@ def rank_lines(name: str = VOCABULARY) -> bytes:
 
 def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]  # noqa: B023
     both = F.concat("base", "found")
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(both).alias("spans"),
