@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, parity_join, pii, quality
+from skumetry.llm import byte_bpe, mixing, parity_join, pii, quality
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,12 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_words"))
+    mix = mixing.mix_sources(docs, F.col("n_words"))
+    return mix.select("doc_id", mixing.domain_of(F.coalesce("source", F.lit(""))).alias("domain"), "lang", "source", "n_words", "epoch")
+
+
 def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.quality_verdicts(docs).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "lang", "log_perplexity")
@@ -47,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
+        "op3_hierarchical_mix": op3_hierarchical_mix,
         "op4_perplexity_bands": op4_perplexity_bands,
         "op7_parity_join": op7_parity_join,
         "op10_byte_bpe": op10_byte_bpe,
@@ -54,4 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_hierarchical_mix": mixing.mix_sql("SELECT * FROM documents", "doc_id, domain, lang, source, mix_tokens AS n_words, epoch"),
+    }
