@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, mixing, parity_join, pii, quality
+from skumetry.llm import byte_bpe, chunk_dedup, mixing, parity_join, pii, quality
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def rank_lines(name: str = VOCABULARY) -> bytes:
         return file.read()
 
 
+def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -52,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chunk_dedup": op1_chunk_dedup,
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op3_hierarchical_mix": op3_hierarchical_mix,
         "op4_perplexity_bands": op4_perplexity_bands,

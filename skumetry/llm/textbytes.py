@@ -12,6 +12,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Texts are handled in slices of about so many bytes, which bounds a task's memory by the
 #: longest text or this, whichever is larger.
@@ -98,3 +101,24 @@ def join_hashes(*columns: np.ndarray) -> np.ndarray:
     for column in columns:
         out = mix(out * np.uint64(0x2545F4914F6CDD1D) + column)
     return out
+
+
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its last column ``text`` compressed as ``packed``, for a shuffle of texts.
+
+    Null texts are packed as empty ones.
+    """
+    others = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*others, T.StructField("packed", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches, text):
+            out = [compressor.compress(t.encode()) if t else b"" for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(out, pa.binary())], schema.names)
+
+    return docs.mapInArrow(pack, schema)
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.decompress(data) if data else b""
