@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, chunk_dedup, mixing, parity_join, pii, quality
+from skumetry.llm import byte_bpe, chunk_dedup, mixing, mtree, parity_join, pii, quality
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,11 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN)
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hierarchical_mix": op3_hierarchical_mix,
         "op4_perplexity_bands": op4_perplexity_bands,
         "op7_parity_join": op7_parity_join,
+        "op9_mtree_top_k": op9_mtree_top_k,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
