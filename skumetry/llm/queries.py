@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, chunk_dedup, mixing, mtree, parity_join, pii, quality
+from skumetry.llm import byte_bpe, chunk_dedup, licenses, mixing, mtree, parity_join, pii, quality, toxicity
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,21 @@ def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "lang", "log_perplexity")
 
 
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_texts(docs, toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.transform("licenses", lambda m: F.concat_ws(":", m["name"], m["begin"], m["end"]))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda m: m["coverage"])).alias("best_coverage"),
+    )
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_components(table(spark, sf_dir, "documents"))
 
@@ -65,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op3_hierarchical_mix": op3_hierarchical_mix,
         "op4_perplexity_bands": op4_perplexity_bands,
+        "op5_toxicity_grammar": op5_toxicity_grammar,
+        "op6_license_scan": op6_license_scan,
         "op7_parity_join": op7_parity_join,
         "op9_mtree_top_k": op9_mtree_top_k,
         "op10_byte_bpe": op10_byte_bpe,

@@ -56,9 +56,12 @@ def flatten(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return (_LOWER[data] if lower else data), offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each word, and for each text the number of words before it (one more at the end)."""
-    inside = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word, and for each text the number of words before it (one more at the end).
+
+    Words are runs of the bytes that ``parts`` marks, by default of all but white space.
+    """
+    inside = ~_SPACE[data] if parts is None else parts[data]
     full = offsets[1:] > offsets[:-1]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]

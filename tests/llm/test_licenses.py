@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+from skumetry.llm import licenses
+
+
+def test_longest_increasing_subsequence():
+    rng = random.Random(2)
+    for _ in range(60):
+        values = rng.sample(range(20), rng.randint(0, 9))
+        longest = max((n for n in range(len(values) + 1) for c in combinations(values, n) if list(c) == sorted(c)), default=0)
+        picked = [values[i] for i in licenses.increasing(values)]
+        assert picked == sorted(picked) and len(picked) == longest
+
+
+def test_alignment():
+    a = "the quick brown fox jumps over the lazy dog".split()
+    b = "well the quick red fox jumps right over the very lazy dog".split()
+    pairs = licenses.align(a, b)
+    assert [a[i] for i, _ in pairs] == "the quick fox jumps over the lazy dog".split()
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert licenses.align(["x"] * 5, ["x"] * 3) == [(0, 0), (1, 1), (2, 2)]
+    assert licenses.align([], a) == []
+
+
+def documents():
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "under", "river", "software", "license", "to", "and"]) for _ in range(n))
+    t = licenses.TEMPLATES
+    mit = t["MIT"].split()
+    edited = " ".join(w for i, w in enumerate(mit) if i % 12 != 5)
+    half = " ".join(mit[: len(mit) // 2])
+    return {
+        1: (f"{prose(300)}\n{t['MIT']}\n{prose(300)}", ["MIT"]),
+        2: (f"é{prose(10)} {edited.upper()} {prose(10)}", ["MIT"]),
+        3: (half, []),
+        4: (prose(5000), []),
+        5: (f"{t['GPL-3.0-line']}\n{prose(40)}\n{t['GPL-3.0-line']}", ["GPL-3.0-line", "GPL-3.0-line"]),
+        6: (f"a\n# {t['Apache-2.0'].replace(' ', chr(10) + '# ')}", ["Apache-2.0"]),
+        7: ("", []),
+        8: (None, []),
+        9: ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-line"]),
+    }
+
+
+def test_scan(spark):
+    docs = documents()
+    rows = [(i, t, "x", 1) for i, (t, _) in docs.items()] + [(9, docs[9][0], "x", 1), (None, docs[9][0], "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, licenses string, name int")
+    got = licenses.scan(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text, names = docs[r.doc_id or 9]
+        assert [m.name for m in r.licenses] == names, r.doc_id
+        for m in r.licenses:
+            words = text[m.begin: m.end].lower()
+            first, last = licenses.TEMPLATES[m.name].lower().split()[0], licenses.TEMPLATES[m.name].lower().split()[-1].rstrip(".")
+            assert words.startswith(first) and words.endswith(last)
+    assert licenses.scan(df.limit(0)).count() == 0
