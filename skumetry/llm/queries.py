@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, chunk_dedup, licenses, mixing, mtree, parity_join, pii, quality, toxicity
+from skumetry.llm import byte_bpe, chunk_dedup, licenses, mixing, mtree, parity_join, pii, quality, suffix_dedup, toxicity
 from skumetry.llm.shared import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,10 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+
+
 def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity_grammar": op5_toxicity_grammar,
         "op6_license_scan": op6_license_scan,
         "op7_parity_join": op7_parity_join,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mtree_top_k": op9_mtree_top_k,
         "op10_byte_bpe": op10_byte_bpe,
     }
