@@ -81,9 +81,9 @@ def part_keys(hashes: np.ndarray, band: int) -> np.ndarray:
     return textbytes.join_hashes(words, where)
 
 
-def compact_sketch(hashes: np.ndarray, band: int) -> bytes:
-    """A sketch of 8 bits for each element that may differ."""
-    return np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x14057B7EF767814F)), 64 * (differing(band) // 8 + 1))).tobytes()
+def compact_sketch(hashes: np.ndarray, band: int) -> np.ndarray:
+    """A sketch of 8 bits for each element that may differ, as 64-bit words."""
+    return np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x14057B7EF767814F)), 64 * (differing(band) // 8 + 1))).view(np.int64)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -101,7 +101,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-SIGNATURES = "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, guest_keys array<long>, sketch binary, guest_sketch binary"
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, guest_keys array<long>, sketch array<long>, guest_sketch array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sketches[i].append(compact_sketch(own, groups[i]) if i < len(groups) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 *(pa.array(k, pa.list_(pa.int64())) for k in keys), *(pa.array(s, pa.binary()) for s in sketches)],
+                 *(pa.array(k, pa.list_(pa.int64())) for k in (*keys, *sketches))],
                 ["doc_id", "text_hash", "n_shingles", "node", "keys", "guest_keys", "sketch", "guest_sketch"],
             )
 
@@ -174,28 +174,42 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _near_pairs(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+def _sketches(signed: DataFrame) -> DataFrame:
+    """``node``, ``guest``, ``n`` and ``sketch`` of each class, in each of its bands."""
+    one = signed.where("node is not null").select("node", "n_shingles", "sketch", "guest_sketch").dropDuplicates(["node"])
+    both = F.array(F.struct(F.lit(False).alias("guest"), F.col("sketch").alias("sketch")), F.struct(F.lit(True).alias("guest"), F.col("guest_sketch").alias("sketch")))
+    return one.select("node", F.col("n_shingles").alias("n"), F.explode(both).alias("of")).select("node", "n", "of.guest", "of.sketch").where("sketch is not null")
+
+
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` of one part whose compact sketches allow a link.
+
+    ``guest_a`` and ``guest_b`` tell which of a class's sketches belongs to the part.
+    """
+    for side in "ab":
+        own = sketches.select(F.col("node").alias(side), F.col("guest").alias(f"guest_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        pairs = pairs.join(own, [side, f"guest_{side}"])
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return pairs.where(19 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct()
+
+
+def _near_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of different components that share a part and whose compact sketches are near enough."""
     sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-    sketches = signed.where("node is not null").groupBy("node").agg(
-        F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("guest_sketch").alias("guest_sketch")
-    )
     rows = (
         mixed.join(sizes.withColumn("blocks", blocks), "key")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", "node", "component", "guest", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
-    rows = rows.join(sketches, "node").select(
-        "key", "low", "high", "block", "node", "component", "n", F.when(F.col("guest"), F.col("guest_sketch")).otherwise(F.col("sketch")).alias("sketch")
-    )
+    rows = rows.join(sketches, ["node", "guest"]).select("key", "low", "high", "block", "node", "component", "n", "sketch")
 
     def near(held: list[pa.RecordBatch]) -> tuple[list, list]:
         table = pa.Table.from_batches(held).to_pydict()
         nodes, comps, n = (np.array(table[c], np.int64) for c in ("node", "component", "n"))
         block = np.array(table["block"])
-        words = np.frombuffer(b"".join(table["sketch"]), np.uint64).reshape(len(nodes), -1)
+        words = np.array(table["sketch"], np.int64).view(np.uint64)
         one_block = table["low"][0] == table["high"][0]
         a, b = [], []
         for i in range(len(nodes)):
@@ -240,16 +254,17 @@ def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     mixed = stored(entries.join(shared, "key").distinct().withColumn("component", F.col("node")))
     texts = stored(_texts(docs, signed, mixed.select("node").distinct()))
+    sketches = stored(_sketches(signed))
     found = None
     for turn in range(LEADER_ROUNDS + 1):
         if mixed.isEmpty():
             break
         if turn < LEADER_ROUNDS:
-            leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("component").alias("of"))).alias("l")
-            met = mixed.join(mixed.groupBy("key").agg(leader).select("key", "l.leader", "l.of"), "key")
-            pairs = met.where("component <> of").select(*_ordered("node", "leader")).distinct()
+            leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("component").alias("of"), F.col("guest").alias("guest_b"))).alias("l")
+            met = mixed.join(mixed.groupBy("key").agg(leader).select("key", "l.*"), "key").where("component <> of")
+            pairs = _close(met.select(F.col("node").alias("a"), F.col("guest").alias("guest_a"), "b", "guest_b").distinct(), sketches)
         else:
-            pairs = _near_pairs(mixed, signed)
+            pairs = _near_pairs(mixed, sketches)
         links = _verified(pairs, texts)
         found = stored(links if found is None else found.unionByName(links))
         if turn < LEADER_ROUNDS:
@@ -261,6 +276,14 @@ def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return found if found is not None else signed.sparkSession.createDataFrame([], "a long, b long")
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles`` and ``component`` (null without shingles) of each row."""
+    signed = stored(signatures(docs))
+    labels = components(_class_links(docs, signed))
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left")
+    return stored(rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component")))
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
@@ -269,12 +292,24 @@ def link_components(docs: DataFrame) -> DataFrame:
     kept and link with each other; a null ``doc_id`` takes part, but names no component unless
     nothing else does. Only ``doc_id`` and ``text`` of ``docs`` are read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(docs))
-    labels = components(_class_links(docs, signed))
-    rows = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = stored(rows.select("doc_id", "n_shingles", "component"))
+    rows = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     first = stored(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return rows.join(first, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of linked texts the one of smallest ``doc_id`` stays.
+
+    Repeated rows count as copies, a null ``doc_id`` comes last. Texts without words all stay.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_hash")]
+    rows = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnRenamed("text_hash", "_hash")
+    rows = rows.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("_doc", "_hash")).alias("f")).select("f.*")
+    stay = stored(first.union(rows.where("component is null").select("_doc", "_hash")).distinct())
+    # Texts without words are not to be united, so they get a number of their own.
+    apart = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    left = docs.withColumns({"_doc": key[0], "_hash": key[1], "_apart": apart}).join(stay, ["_doc", "_hash"], "left_semi")
+    return left.dropDuplicates(["_doc", "_hash", "_apart"]).select(*[F.col(f"`{c}`") for c in docs.columns])

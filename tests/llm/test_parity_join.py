@@ -87,7 +87,7 @@ def test_linked_sets_agree_in_a_part():
             shared = set(parity_join.groups_of(len(a))) & set(parity_join.groups_of(len(b)))
             assert any(np.intersect1d(parity_join.part_keys(a, g), parity_join.part_keys(b, g)).size for g in shared)
             for g in shared:
-                p, q = (np.frombuffer(parity_join.compact_sketch(x, g), np.uint8) for x in (a, b))
+                p, q = (parity_join.compact_sketch(x, g).view(np.uint64) for x in (a, b))
                 assert 19 * int(np.bitwise_count(p ^ q).sum()) <= len(a) + len(b)
 
 
