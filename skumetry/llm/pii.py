@@ -209,3 +209,14 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     text = F.when(F.size(spans) == 0, F.col("text")).otherwise(pieces)
     return docs.withColumn("text", text).drop("base", "found")
+
+
+def without_personal_data(docs: DataFrame) -> DataFrame:
+    """``docs`` with all personal data in ``text`` masked; all rows and columns stay.
+
+    A column ``n_chars`` is set to the new length. Null texts stay null.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    masks = masked(extract(rows).withColumn("text", F.col("row.text")))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return masks.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -46,6 +46,10 @@ LEAST_SCALE = 0.02
 #: Values are rounded to this step before they are counted for the medians.
 STEP = 0.001
 
+#: Languages up to which their bands (under 100 bytes a row) are broadcast; more are joined with salt.
+BROADCAST_LANGUAGES = 50_000
+SALTS = 64
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -299,14 +303,26 @@ def quality_verdicts(docs: DataFrame, model_rows: int = MODEL_ROWS, below: float
     ``kept`` is false where the base rules fail or the log perplexity lies outside the band of
     the document's language. An empty table gives an empty result.
     """
-    clash = ("base_failed", "kept", "lowest", "highest", "_lang")
+    clash = ("base_failed", "kept", "lowest", "highest", "_lang", "_salt")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in clash])
     scored = stored(score_documents(docs, model_rows))
     bands = perplexity_bands(scored, below, above).withColumnRenamed("lang", "_lang")
     inside = F.col("log_perplexity").between(F.col("lowest"), F.col("highest"))
+    rows = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_salt", F.pmod(F.hash("n_bytes", "log_perplexity"), F.lit(SALTS)))
+    bands = stored(bands)
+    if bands.count() <= BROADCAST_LANGUAGES:
+        banded = rows.join(F.broadcast(bands), "_lang", "left")
+    else:
+        banded = rows.join(bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_lang", "_salt"], "left")
     return (
-        scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(bands, "_lang", "left")
+        banded
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-        .drop("_lang", "lowest", "highest")
+        .drop("_lang", "_salt", "lowest", "highest")
     )
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the quality rules keep, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "text")
+    return quality_verdicts(rows).where("kept").select("row.*")
