@@ -34,11 +34,11 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
 TX = """
 tx AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS invoice_no,
-         to_base(l_partkey * 10 + year(l_shipdate) % 10 + 60466176, 36) AS stock_code,
+         to_base(l_partkey * 10000 + year(l_shipdate) + 60466176, 36) AS stock_code,
          p_name AS description,
          CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_quantity AS INTEGER) AS quantity,
          l_shipdate AS invoice_date,
-         CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS cents,
+         (2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) AS cents,
          CAST(o_custkey AS VARCHAR) AS customer_id,
          n_name AS country
   FROM lineitem
@@ -53,7 +53,7 @@ clean AS (
   SELECT *, CAST(quantity AS BIGINT) * cents AS line_cents
   FROM tx
   WHERE NOT starts_with(invoice_no, 'C') AND quantity > 0 AND cents > 0
-    AND regexp_full_match(stock_code, '[0-9A-Z]{5,6}')
+    AND regexp_full_match(stock_code, '[0-9A-Z]{5,}')
 )"""
 
 WEEKLY = CLEAN + """,
@@ -141,8 +141,12 @@ cz AS (
 
 
 def rop_cte(script: bool = False) -> str:
+    return f"{graded_cte(script)},{rop_tables(script)}"
+
+
+def rop_tables(script: bool) -> str:
     rounding = "round_even" if script else "round"
-    return f"""{graded_cte(script)},
+    return f"""
 top80 AS (
   SELECT * FROM graded WHERE weeks >= 3 AND cv IS NOT NULL ORDER BY rev DESC, stock_code LIMIT 80
 ),
@@ -290,7 +294,7 @@ def _actions() -> str:
        {revenue('NOT loyal')} AS unprotected_revenue, {money_columns} FROM cz"""
 
 
-def _summary_stats() -> str:
+def _summary_stats(script: bool = False) -> str:
     def amount(position, metric, value, detail, shown) -> str:
         return (
             f"SELECT {position} AS position, {text(metric)} AS metric, CAST({value} AS DOUBLE) AS amount,"
@@ -340,22 +344,21 @@ def _summary_stats() -> str:
         amount(15, "AZ+BZ SKUs (management attention)", n_volatile, "NULL", integer(n_volatile)) + " FROM graded",
         amount(16, "AZ+BZ revenue at risk", volatile, "NULL", pounds(volatile, 0)) + " FROM graded",
         amount(17, "Top 80 ROP model: avg safety stock (A)", "avg(buffer) FILTER (abc = 'A')", "NULL",
-               "format('{:.0f} units', avg(buffer) FILTER (abc = 'A'))") + " FROM rop",
+               "format('{:.0f} units', round_even(avg(buffer) FILTER (abc = 'A'), 0))") + " FROM rop",
         amount(18, "SKUs with stockout risk flag", "count(*) FILTER (risk)", "NULL",
-               "CAST(count(*) FILTER (risk) AS VARCHAR) || ' of 80 SKUs'") + " FROM rop",
+               "CAST(count(*) FILTER (risk) AS VARCHAR) || ' of ' || count(*) || ' SKUs'") + " FROM rop",
     ]
-    rop = rop_cte().replace(graded_cte() + ",", "", 1)
     return (
-        f"WITH {cz_cte()},{rop} SELECT position, metric, round(amount, 9) AS amount, round(detail, 9) AS detail, value FROM ("
+        f"WITH {cz_cte(script)},{rop_tables(script)} SELECT position, metric, round(amount, 9) AS amount, round(detail, 9) AS detail, value FROM ("
         + " UNION ALL ".join(parts) + ")"
     )
 
 
-def _kpi_strip() -> str:
+def _kpi_strip(script: bool = False) -> str:
     def tile(position, label, value, shown, note) -> str:
         return (
             f"SELECT {position} AS position, {text(label)} AS label, CAST({value} AS DOUBLE) AS amount,"
-            f" {shown} AS value, {text(note)} AS note FROM graded"
+            f" {shown} AS value, {note if note.startswith('(SELECT') else text(note)} AS note FROM graded"
         )
 
     def count(condition: str) -> str:
@@ -371,22 +374,32 @@ def _kpi_strip() -> str:
     total, at_risk = money("sum(rev)"), money(f"coalesce(sum(rev) FILTER ({volatile}), 0)")
     tiles = [
         tile(1, "Total SKUs", "count(*)", integer("count(*)"), "After data cleaning"),
-        tile(2, "Total Revenue", total, millions(total), "12-month period"),
+        tile(2, "Total Revenue", total, millions(total),
+             "(SELECT CAST(CAST(round(months + 0.5) AS INTEGER) AS VARCHAR) || '-month period' FROM period)"),
         tile(3, "A-Class SKUs", count("abc = 'A'"), integer(count("abc = 'A'")), "Drive 80% of revenue"),
         tile(4, "AZ+BZ SKUs", count(volatile), integer(count(volatile)), "High value, unpredictable demand"),
         tile(5, "AZ+BZ Revenue", at_risk, millions(at_risk), "At risk from stockouts"),
         tile(6, "CZ SKUs", count("cell = 'CZ'"), integer(count("cell = 'CZ'")), "Rationalisation candidates"),
         tile(7, "Z-Class SKUs", count("xyz = 'Z'"), integer(count("xyz = 'Z'")), "Intermittent demand (CV>1)"),
-        tile(8, "ROP Model", "NULL", "'Top 80 SKUs'", "95-98% service level targets"),
-        tile(9, "Data Source", "NULL", "'UCI + Real'", "525K+ real transactions"),
+        tile(8, "ROP Model", "(SELECT count(*) FROM rop)", "(SELECT 'Top ' || count(*) || ' SKUs' FROM rop)", "95-98% service level targets"),
+        tile(9, "Data Source", "NULL", "(SELECT first_date || ' to ' || last_date FROM period)",
+             "(SELECT format('{:,}', n) || ' transactions' FROM period)"),
     ]
     # An aggregate without aggregate functions would return every row.
-    tiles = [t if "count(" in t or "sum(" in t else t + " HAVING count(*) >= 0" for t in tiles]
-    return f"WITH {graded_cte()} " + " UNION ALL ".join(tiles)
+    tiles = tiles[:7] + [t + " HAVING count(*) >= 0" for t in tiles[7:]]
+    # Whole months plus the days over them in 31sts; two last days of months are whole months apart.
+    period = """
+period AS (
+  SELECT CAST(f AS VARCHAR) AS first_date, CAST(l AS VARCHAR) AS last_date, n,
+         (year(l) - year(f)) * 12 + month(l) - month(f)
+         + CASE WHEN day(f) = day(l) OR (f = last_day(f) AND l = last_day(l)) THEN 0 ELSE (day(l) - day(f)) / 31.0 END AS months
+  FROM (SELECT CAST(min(invoice_date) AS DATE) AS f, CAST(max(invoice_date) AS DATE) AS l, count(*) AS n FROM clean)
+)"""
+    return f"WITH {rop_cte(script)},{period} " + " UNION ALL ".join(tiles)
 
 
-def _histogram() -> str:
-    return f"""WITH {graded_cte()},
+def _histogram(script: bool = False) -> str:
+    return f"""WITH {graded_cte(script)},
 clipped AS (SELECT least(greatest(cv, 0.0::DOUBLE), 3.0::DOUBLE) AS v FROM graded WHERE cv IS NOT NULL),
 extent AS (
   SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
@@ -403,16 +416,62 @@ FROM range(60) AS b(bin) CROSS JOIN extent LEFT JOIN placed ON placed.bin = b.bi
 GROUP BY b.bin, lo, hi"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _both(script: bool) -> dict[str, str]:
+    """Queries that read the same under both variants, over the tables of one of them."""
+    graded, cz, rop = graded_cte(script), cz_cte(script), rop_cte(script)
     counts = matrix_counts_select("graded")
     revenue_cells = ", ".join(
         f"{money(f'''coalesce(sum(rev) FILTER (xyz = '{x}'), 0)''')} AS \"{x}\"" for x in XYZ_CLASSES
     )
     abc_names = values([(c,) for c in ABC_CLASSES], "spine", "abc_class")
     zeros = ", ".join(f'coalesce("{x}", 0) AS "{x}"' for x in XYZ_CLASSES)
+    clipped = "least(greatest(cv, 0.0::DOUBLE), 2.5::DOUBLE)"
+    return {
+        "sku_distribution": f"""WITH {graded}
+SELECT round(median(mean), 6) AS median_weekly_demand, round(avg(cv), 6) AS mean_cv FROM graded""",
+        "xyz_sheet": f"""SELECT xyz_class, cv_threshold, approach, coalesce(sku_count, 0) AS sku_count, cv_mean, cv_median,
+       coalesce(pct_skus, 0) AS pct_skus
+FROM {XYZ_SPINE} LEFT JOIN ({_xyz_summary(script)}) AS s USING (xyz_class)""",
+        "matrix_counts": f"""WITH {graded}
+SELECT abc_class, {zeros} FROM {abc_names} LEFT JOIN ({counts}) AS c ON abc_class = abc""",
+        "matrix_revenue": f"""WITH {graded}
+SELECT abc_class, {zeros} FROM {abc_names} LEFT JOIN (SELECT abc, {revenue_cells} FROM graded GROUP BY abc) AS c ON abc_class = abc""",
+        "rop_profile": f"""WITH {rop}
+SELECT count(*) AS skus, round(avg(buffer) FILTER (abc = 'A'), 6) AS avg_safety_stock_a,
+       count(*) FILTER (risk) AS stockout_risk_skus FROM rop""",
+        "cz_protected_revenue": f"WITH {cz} {_actions()}",
+        "cz_scatter": f"""WITH {cz}
+SELECT stock_code, customers AS n_customers, {money('rev')} AS total_revenue, loyal AS loyal_customer_flag FROM cz""",
+        "cz_axis_caps": f"""WITH {cz}
+SELECT 'n_customers' AS measure, round(quantile_cont(customers::DOUBLE, 0.98), 6) AS p98,
+       round(quantile_cont(customers::DOUBLE, 0.98) + 2, 6) AS axis_limit FROM cz
+UNION ALL SELECT 'total_revenue', round(quantile_cont({money('rev')}, 0.98), 6),
+       round(quantile_cont({money('rev')}, 0.98) * 1.1, 6) FROM cz""",
+        "summary_stats": _summary_stats(script),
+        "kpi_strip": _kpi_strip(script),
+        "pareto_points": f"""WITH {graded}
+SELECT stock_code, round(rnk::DOUBLE / n::DOUBLE * 100, 9) AS sku_rank_pct, round(cum_pct * 100, 9) AS revenue_pct FROM graded""",
+        "pareto_cutoffs": f"""WITH {graded}
+SELECT round(count(*) FILTER (cum_pct <= 0.80) / count(*)::DOUBLE * 100, 9) AS a_cutoff,
+       round(count(*) FILTER (cum_pct <= 0.95) / count(*)::DOUBLE * 100, 9) AS b_cutoff FROM graded""",
+        "cv_histogram": _histogram(script),
+        "heatmap_cells": f"""WITH {graded}
+SELECT abc_xyz[1] AS abc_class, abc_xyz[2] AS xyz_class, zone, count(g.stock_code) AS sku_count,
+       round(coalesce(sum(g.rev), 0)::DOUBLE / 100 / 1000, 9) AS revenue_thousands
+FROM {CELL_SPINE} LEFT JOIN graded AS g ON abc_xyz = cell GROUP BY abc_xyz, zone""",
+        "quadrant_sample": f"""WITH {graded}
+SELECT stock_code, cell AS abc_xyz, {f'round({clipped}, 9)' if script else clipped} AS cv,
+       round(log10({money('rev')} + 1), 9) AS log_revenue
+FROM graded WHERE cv IS NOT NULL AND rev > 0 ORDER BY md5('42:' || stock_code), stock_code LIMIT 1500""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    counts = matrix_counts_select("graded")
+    abc_names = values([(c,) for c in ABC_CLASSES], "spine", "abc_class")
+    zeros = ", ".join(f'coalesce("{x}", 0) AS "{x}"' for x in XYZ_CLASSES)
     names = ["invoice_no", "stock_code", "quantity", "invoice_date", "unit_price"]
     abc_complete = _abc_summary(False)
-    xyz_complete = _xyz_summary(False)
     export = _reorder_points(False).replace("AS abc_class", 'AS "ABC"').replace("AS xyz_class", 'AS "XYZ"')
     for old, new in (("AS abc_xyz", '"ABC_XYZ"'), ("AS annual_revenue", '"Annual Revenue (£)"'),
                      ("AS avg_unit_price", '"Avg Unit Price (£)"'), ("AS total_qty_sold", '"Annual Units Sold"')):
@@ -420,15 +479,18 @@ def oracle_sql() -> dict[str, str]:
     export = export.replace("SELECT stock_code, description, abc AS", 'SELECT stock_code AS "StockCode", description AS "Description", abc AS')
     return {
         "clean_transactions": f"""WITH {CLEAN}
+SELECT invoice_no, stock_code, description, quantity, CAST(invoice_date AS VARCHAR) AS invoice_date,
+       {money('cents')} AS unit_price, customer_id, country, {money('line_cents')} AS revenue FROM clean""",
+        "clean_lines_script": f"""WITH {CLEAN}
 SELECT invoice_no, stock_code, description, quantity, CAST(invoice_date AS VARCHAR) AS invoice_date,
        {money('cents')} AS unit_price, customer_id, country, {money('line_cents')} AS revenue FROM clean""",
         "clean_profile": f"""WITH {TX}
 SELECT count(*) AS raw_lines, count(*) FILTER (starts_with(invoice_no, 'C')) AS cancelled_lines,
        count(*) FILTER (quantity <= 0) AS nonpositive_quantity_lines,
        count(*) FILTER (cents <= 0) AS nonpositive_price_lines,
-       count(*) FILTER (NOT regexp_full_match(stock_code, '[0-9A-Z]{{5,6}}')) AS malformed_code_lines,
+       count(*) FILTER (NOT regexp_full_match(stock_code, '[0-9A-Z]{{5,}}')) AS malformed_code_lines,
        count(*) FILTER (NOT starts_with(invoice_no, 'C') AND quantity > 0 AND cents > 0
-                        AND regexp_full_match(stock_code, '[0-9A-Z]{{5,6}}')) AS clean_lines
+                        AND regexp_full_match(stock_code, '[0-9A-Z]{{5,}}')) AS clean_lines
 FROM tx""",
         "dataset_profile": f"""WITH {CLEAN}
 SELECT count(*) AS clean_lines, CAST(CAST(min(invoice_date) AS DATE) AS VARCHAR) AS first_date,
@@ -456,8 +518,6 @@ SELECT stock_code, CAST(week_start AS VARCHAR) AS week_start, strftime(week_star
        qty AS qty_sold FROM weekly""",
         "sku_demand_stats": f"""WITH {stats_cte(False)}
 SELECT stock_code, mean AS weekly_demand_mean, std AS weekly_demand_std, weeks AS weeks_with_demand, cv FROM stats""",
-        "sku_distribution": f"""WITH {graded_cte()}
-SELECT round(median(mean), 6) AS median_weekly_demand, round(avg(cv), 6) AS mean_cv FROM graded""",
         "sku_abc": f"""WITH {graded_cte()}
 SELECT stock_code, description, units AS total_qty_sold, {money('rev')} AS total_revenue, invoices AS n_invoices,
        customers AS n_customers, price AS avg_unit_price, CAST(first_sale AS VARCHAR) AS first_sale_date,
@@ -471,17 +531,10 @@ FROM {ABC_SPINE} LEFT JOIN ({abc_complete}) AS s USING (abc_class)""",
 SELECT stock_code, abc AS abc_class, mean AS weekly_demand_mean, std AS weekly_demand_std,
        weeks AS weeks_with_demand, cv, xyz AS xyz_class FROM graded""",
         "xyz_summary": _xyz_summary(False),
-        "xyz_sheet": f"""SELECT xyz_class, cv_threshold, approach, coalesce(sku_count, 0) AS sku_count, cv_mean, cv_median,
-       coalesce(pct_skus, 0) AS pct_skus
-FROM {XYZ_SPINE} LEFT JOIN ({xyz_complete}) AS s USING (xyz_class)""",
         "sku_abc_xyz": f"""WITH {graded_cte()}
 SELECT stock_code, {money('rev')} AS total_revenue, rnk AS revenue_rank, abc AS abc_class, xyz AS xyz_class,
        cell AS abc_xyz, strategic_action FROM graded""",
         "matrix_long": _matrix_long(False),
-        "matrix_counts": f"""WITH {graded_cte()}
-SELECT abc_class, {zeros} FROM {abc_names} LEFT JOIN ({counts}) AS c ON abc_class = abc""",
-        "matrix_revenue": f"""WITH {graded_cte()}
-SELECT abc_class, {zeros} FROM {abc_names} LEFT JOIN (SELECT abc, {revenue_cells} FROM graded GROUP BY abc) AS c ON abc_class = abc""",
         "matrix_margins": f"""WITH {graded_cte()}
 SELECT abc_class, {zeros}, coalesce("X" + "Y" + "Z", 0) AS row_total, coalesce(revenue, 0) AS revenue,
        coalesce(pct_revenue, 0) AS pct_revenue
@@ -529,9 +582,6 @@ FROM rop ORDER BY point DESC, stock_code LIMIT 5""",
 SELECT stock_code || ': ' || substr(description, 1, 30) AS label, abc AS abc_class, point AS reorder_point,
        buffer AS safety_stock, cv, risk AS stockout_risk_flag, {money('rev')} / 500 AS bubble_size
 FROM rop ORDER BY rev DESC, stock_code LIMIT 20""",
-        "rop_profile": f"""WITH {rop_cte()}
-SELECT count(*) AS skus, round(avg(buffer) FILTER (abc = 'A'), 6) AS avg_safety_stock_a,
-       count(*) FILTER (risk) AS stockout_risk_skus FROM rop""",
         "cz_rationalisation": _cz_list(False),
         "cz_export": f"""SELECT stock_code AS "StockCode", description, abc_xyz AS "ABC_XYZ", total_revenue, n_customers,
        n_invoices, weekly_demand_mean, cv, loyal_customer_flag, recommended_action AS action
@@ -546,34 +596,10 @@ FROM ({_cz_summary(False)}) AS s""",
 SELECT stock_code, substr(description, 1, 40) AS description, {money('rev')} AS total_revenue, invoices AS n_invoices,
        customers AS n_customers, mean AS weekly_demand_mean, cv, substr(recommended_action, 1, 40) AS action
 FROM cz WHERE starts_with(recommended_action, 'RATIONALISE')""",
-        "cz_protected_revenue": f"WITH {cz_cte()} {_actions()}",
-        "cz_scatter": f"""WITH {cz_cte()}
-SELECT stock_code, customers AS n_customers, {money('rev')} AS total_revenue, loyal AS loyal_customer_flag FROM cz""",
-        "cz_axis_caps": f"""WITH {cz_cte()}
-SELECT 'n_customers' AS measure, round(quantile_cont(customers::DOUBLE, 0.98), 6) AS p98,
-       round(quantile_cont(customers::DOUBLE, 0.98) + 2, 6) AS axis_limit FROM cz
-UNION ALL SELECT 'total_revenue', round(quantile_cont({money('rev')}, 0.98), 6),
-       round(quantile_cont({money('rev')}, 0.98) * 1.1, 6) FROM cz""",
-        "summary_stats": _summary_stats(),
-        "kpi_strip": _kpi_strip(),
         "abc_top30": f"""WITH {graded_cte()}
 SELECT row_number() OVER (ORDER BY rev DESC, stock_code) AS rank, stock_code, substr(description, 1, 50) AS description,
        {money('rev')} AS total_revenue, units AS total_qty_sold, price AS avg_unit_price, xyz AS xyz_class, cell AS abc_xyz
 FROM graded WHERE abc = 'A' ORDER BY rev DESC, stock_code LIMIT 30""",
-        "pareto_points": f"""WITH {graded_cte()}
-SELECT stock_code, round(rnk::DOUBLE / n::DOUBLE * 100, 9) AS sku_rank_pct, round(cum_pct * 100, 9) AS revenue_pct FROM graded""",
-        "pareto_cutoffs": f"""WITH {graded_cte()}
-SELECT round(count(*) FILTER (cum_pct <= 0.80) / count(*)::DOUBLE * 100, 9) AS a_cutoff,
-       round(count(*) FILTER (cum_pct <= 0.95) / count(*)::DOUBLE * 100, 9) AS b_cutoff FROM graded""",
-        "cv_histogram": _histogram(),
-        "heatmap_cells": f"""WITH {graded_cte()}
-SELECT abc_xyz[1] AS abc_class, abc_xyz[2] AS xyz_class, zone, count(g.stock_code) AS sku_count,
-       round(coalesce(sum(g.rev), 0)::DOUBLE / 100 / 1000, 9) AS revenue_thousands
-FROM {CELL_SPINE} LEFT JOIN graded AS g ON abc_xyz = cell GROUP BY abc_xyz, zone""",
-        "quadrant_sample": f"""WITH {graded_cte()}
-SELECT stock_code, cell AS abc_xyz, least(greatest(cv, 0.0::DOUBLE), 2.5::DOUBLE) AS cv,
-       round(log10({money('rev')} + 1), 9) AS log_revenue
-FROM graded WHERE cv IS NOT NULL AND rev > 0 ORDER BY md5('42:' || stock_code), stock_code LIMIT 1500""",
         "sku_master_script": _master(True),
         "abc_summary_script": _abc_summary(True),
         "xyz_summary_script": _xyz_summary(True),
@@ -581,4 +607,4 @@ FROM graded WHERE cv IS NOT NULL AND rev > 0 ORDER BY md5('42:' || stock_code),
         "reorder_points_script": _reorder_points(True),
         "cz_rationalisation_script": _cz_list(True),
         "cz_summary_script": _cz_summary(True),
-    }
+    } | _both(False) | {f"{name}_script": sql for name, sql in _both(True).items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skumetry.functions.exact import rounded_share, share
 from skumetry.functions.inline import inline_table
-from skumetry.operators.ranking import running_totals
+from skumetry.operators.ranking import SortKey, running_totals
 from skumetry.policy import (
     ABC_CLASSES, ABC_IMPLICATIONS, CELL_TERMS, UNCLASSIFIED, XYZ_APPROACHES, XYZ_CLASSES,
     XYZ_THRESHOLDS, Policy,
@@ -18,9 +18,9 @@ from skumetry.schemas import MONEY_SUM, RATIO
 
 def rank_by_revenue(sku: DataFrame, policy: Policy, ranges: int | None = None) -> DataFrame:
     """Add revenue rank, running revenue and its share of the total; ties go by stock code."""
-    order = [F.col("total_revenue").desc(), F.col("stock_code").asc()]
+    keys = [SortKey("total_revenue", falling=True), SortKey("stock_code")]
     ranked = running_totals(
-        sku, order, {"revenue": F.col("total_revenue"), "skus": F.lit(1).cast("long")}, ranges
+        sku, keys, {"revenue": F.col("total_revenue"), "skus": F.lit(1).cast("long")}, ranges
     )
     running, total = F.col("revenue_running"), F.col("revenue_total")
     cum_share = rounded_share(running, total, 4).cast(RATIO) if policy.rounded else share(running, total)
@@ -58,14 +58,13 @@ def with_xyz(sku: DataFrame, policy: Policy) -> DataFrame:
 def with_cell(sku: DataFrame, policy: Policy) -> DataFrame:
     """The combined cell and the strategic action that goes with it.
 
-    The nine texts are a CASE expression, not a joined table, so a report that shows no
+    The nine texts are a constant map, not a joined table, so a report that shows no
     action drops it together with the rest of the unused columns.
     """
     cell = F.concat("abc_class", "xyz_class")
-    action = F.when(F.lit(False), UNCLASSIFIED)
-    for name, text in policy.actions.items():
-        action = action.when(F.col("abc_xyz") == name, text)
-    return sku.withColumn("abc_xyz", cell).withColumn("strategic_action", action.otherwise(UNCLASSIFIED))
+    texts = F.create_map(*[F.lit(x) for pair in policy.actions.items() for x in pair])
+    action = F.coalesce(F.element_at(texts, F.col("abc_xyz")), F.lit(UNCLASSIFIED))
+    return sku.withColumn("abc_xyz", cell).withColumn("strategic_action", action)
 
 
 def _border(value, policy: Policy):

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from skumetry.policy import Policy
 from skumetry.schemas import MONEY
 
-# A cancelled invoice starts with this letter; a real SKU code looks like this.
+# Fixed value: a cancelled invoice starts with this letter.
 CANCELLATION_PREFIX = "C"
-STOCK_CODE_PATTERN = r"^[0-9A-Z]{5,6}\z"
 
 
 def keep_rules(policy: Policy) -> dict[str, Column]:
@@ -21,11 +20,15 @@ def keep_rules(policy: Policy) -> dict[str, Column]:
     if not policy.rounded:
         # A line without invoice number is no cancellation for this variant.
         invoice = F.coalesce(invoice, F.lit(""))
+    well_formed = F.col("stock_code").rlike(policy.code_pattern)
+    if policy.stop_at_odd_code:
+        odd = F.raise_error(F.concat(F.lit("stock code outside the policy's pattern: "), F.col("stock_code")))
+        well_formed = F.when(well_formed, True).when(F.col("stock_code").isNotNull(), odd.cast("boolean"))
     return {
         "cancelled": ~invoice.startswith(CANCELLATION_PREFIX),
         "nonpositive_quantity": F.col("quantity") > 0,
         "nonpositive_price": F.col("unit_price") > 0,
-        "malformed_code": F.col("stock_code").rlike(STOCK_CODE_PATTERN),
+        "malformed_code": well_formed,
     }
 
 

@@ -8,35 +8,77 @@ total of the ranges before it.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skumetry.session import cut_lineage
+from skumetry.session import written
 
 RANGE = "_range"
+#: Rows that are looked at, for each range, to place its borders.
+BORDER_SAMPLE = 40
+
+
+@dataclass(frozen=True)
+class SortKey:
+    """One column of a sort order without nulls."""
+
+    name: str
+    falling: bool = False
+
+    @property
+    def order(self) -> Column:
+        return F.col(self.name).desc() if self.falling else F.col(self.name).asc()
+
+
+def _borders(df: DataFrame, keys: Sequence[SortKey], ranges: int) -> list[Row]:
+    """The first rows of all ranges but the first, from a sample whose size the ranges bound.
+
+    Rows are drawn by a hash of all their sort columns, so equal leading values are drawn, and
+    split, like any others.
+    """
+    names = [k.name for k in keys]
+    rows = df.count()
+    wanted = BORDER_SAMPLE * ranges
+    share = max(1, rows // wanted)
+    sample = df.where(F.pmod(F.xxhash64(*names), F.lit(share)) == 0).select(*names)
+    drawn = sample.orderBy(*[k.order for k in keys]).limit(2 * wanted).collect()
+    return [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else []
+
+
+def _not_before(keys: Sequence[SortKey], border: Row, types: Mapping[str, T.DataType]) -> Column:
+    """Whether a row stands at or behind a border."""
+    result = F.lit(True)
+    for key, value in reversed(list(zip(keys, border))):
+        limit = F.lit(value).cast(types[key.name])
+        behind = F.col(key.name) < limit if key.falling else F.col(key.name) > limit
+        result = behind | ((F.col(key.name) == limit) & result)
+    return result
 
 
 def running_totals(
     df: DataFrame,
-    order: Sequence[Column],
+    keys: Sequence[SortKey],
     measures: Mapping[str, Column],
     ranges: int | None = None,
 ) -> DataFrame:
     """Add ``<name>_running`` (up to and including the row) and ``<name>_total`` per measure.
 
-    ``order`` must be a total order. Spark samples the range borders, so the split rows are
-    written once to the checkpoint folder: every later read, also one after a lost executor,
-    sees the same ranges. Equal leading sort values are split by the later sort columns, so a
-    value shared by many rows does not end up in one range.
+    ``keys`` must be a total order. ``df`` is read several times, so it should be a written
+    table. Range borders are constants, so a row's range depends on the row alone, and the rows
+    are shuffled once. Equal leading sort values are split by the later sort columns, so a value
+    shared by many rows does not end up in one range.
     """
     inputs = {name: f"_{name}" for name in measures}
-    rows = df.withColumns({inputs[name]: value for name, value in measures.items()})
-    # Without a number, neighbouring small ranges are merged at run time and their count
-    # stays within the session's shuffle partitions.
-    ranged = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
-    split = cut_lineage(ranged.withColumn(RANGE, F.spark_partition_id()))
-    n_ranges = split.rdd.getNumPartitions()
+    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = _borders(df, keys, wanted)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    number = F.lit(0)
+    for border in borders:
+        number = number + _not_before(keys, border, types).cast("int")
+    split = df.withColumns({inputs[name]: value for name, value in measures.items()} | {RANGE: number})
     # One row per range, a number set by the session: the single-task window and the
     # broadcast below do not grow with the data.
     sums = split.groupBy(RANGE).agg(*[F.sum(c).alias(c) for c in inputs.values()])
@@ -48,7 +90,7 @@ def running_totals(
         *[F.sum(c).over(everything).alias(f"{n}_total") for n, c in inputs.items()],
     )
     within = (
-        Window.partitionBy(RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(RANGE).orderBy(*[k.order for k in keys]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = {
         f"{name}_running": F.coalesce(F.col(f"{c}_before"), F.lit(0)) + F.sum(c).over(within)
@@ -57,7 +99,7 @@ def running_totals(
     return (
         split.join(F.broadcast(offsets), RANGE)
         # One range per task; hashing the range numbers would put several into one.
-        .repartitionById(n_ranges, RANGE)
+        .repartitionById(len(borders) + 1, RANGE)
         .withColumns(running)
         .drop(RANGE, *inputs.values(), *[f"{c}_before" for c in inputs.values()])
     )
@@ -66,6 +108,9 @@ def running_totals(
 def quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
+    Groups are classes or measures, a handful; their sizes are broadcast, so values are never
+    shuffled by group.
+
     Spark's exact percentile keeps every distinct value of a group in one task. This counts
     equal values, ranks the counts by running totals and keeps the two rows around each
     wanted position.
@@ -76,13 +121,13 @@ def quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Seq
         .groupBy(*by, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    order = [F.col(c).asc() for c in by] + [F.col("_value").asc()]
-    ranked = running_totals(counted, order, {"seen": F.col("_n")})
+    keys = [SortKey(c) for c in by] + [SortKey("_value")]
+    ranked = running_totals(written(counted), keys, {"seen": F.col("_n")})
     group_ends = ranked.groupBy(*by).agg(
         F.min(F.col("seen_running") - F.col("_n")).alias("_start"), F.sum("_n").alias("_size")
     )
     if by:
-        placed = ranked.join(group_ends, by)
+        placed = ranked.join(F.broadcast(group_ends), by)
     else:
         placed = ranked.withColumns({"_start": F.lit(0), "_size": F.col("seen_total")})
     last = F.col("seen_running") - F.col("_start") - 1

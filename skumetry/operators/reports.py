@@ -67,11 +67,21 @@ def _figures(one_row: DataFrame, rows: list[tuple]) -> DataFrame:
     return one_row.select(F.inline(F.array(*structs)))
 
 
-def summary_stats(profile: DataFrame, graded: DataFrame, rop: DataFrame, actions: DataFrame) -> DataFrame:
+def extent(graded: DataFrame) -> DataFrame:
+    """Clean lines and first and last day, from the SKU table."""
+    return graded.agg(
+        F.coalesce(F.sum("n_lines"), F.lit(0).cast("long")).alias("clean_lines"),
+        F.to_date(F.min("first_sale_date")).alias("first_date"),
+        F.to_date(F.max("last_sale_date")).alias("last_date"),
+    )
+
+
+def summary_stats(profile: DataFrame, graded: DataFrame, rop: DataFrame, actions: DataFrame, policy: Policy) -> DataFrame:
     """The 18 key figures: number, accompanying share or revenue, and formatted text.
 
-    ``profile`` is the dataset profile, ``rop`` the safety-stock profile and ``actions`` the
-    action profile; each is a single row, turned into metric rows and stacked.
+    ``profile`` holds lines and dates, ``rop`` is the safety-stock profile and ``actions`` the
+    action profile; each is a single row, turned into metric rows and stacked. Texts quote the
+    policy's limit and the number of SKUs that were modelled.
     """
     n = F.col("n_skus")
 
@@ -110,34 +120,46 @@ def summary_stats(profile: DataFrame, graded: DataFrame, rop: DataFrame, actions
         action_figure(14, "CZ → protect (loyal accounts)", "protect_skus", "protected_revenue"),
     ])
     reorder = _figures(rop, [
-        (17, "Top 80 ROP model: avg safety stock (A)", stock, None,
+        (17, f"Top {policy.rop_top_n} ROP model: avg safety stock (A)", stock, None,
          F.concat(F.format_string("%.0f", F.bround(stock, 0)), F.lit(" units"))),
         (18, "SKUs with stockout risk flag", F.col("stockout_risk_skus"), None,
-         F.concat(F.col("stockout_risk_skus").cast("string"), F.lit(" of 80 SKUs"))),
+         F.concat_ws(" ", F.col("stockout_risk_skus"), F.lit("of"), F.col("skus"), F.lit("SKUs"))),
     ])
     return grades.unionByName(extent).unionByName(cz).unionByName(reorder)
 
 
-def kpi_strip(graded: DataFrame) -> DataFrame:
-    """The nine tiles of the executive summary: label, value, note."""
+def kpi_strip(graded: DataFrame, rop: DataFrame) -> DataFrame:
+    """The nine tiles of the executive summary: label, value, note.
+
+    Period, number of modelled SKUs and number of lines come from the data.
+    """
     def millions(column: str) -> Column:
         return F.concat(F.lit("£"), F.format_string("%.1f", F.col(column).cast("double") / 1e6), F.lit("M"))
 
     def tile(position, label, column, text, note):
-        return position, label, F.col(column) if column else None, None, F.struct(text.alias("v"), F.lit(note).alias("n"))
+        note = F.lit(note) if isinstance(note, str) else note
+        return position, label, F.col(column) if column else None, None, F.struct(text.alias("v"), note.alias("n"))
+
+    months = F.concat(F.round(F.months_between("last_date", "first_date") + 0.5).cast("int").cast("string"), F.lit("-month period"))
+    lines = F.concat(_integer(F.col("clean_lines")), F.lit(" transactions"))
+    dates = F.concat_ws(" to ", F.col("first_date").cast("string"), F.col("last_date").cast("string"))
 
     tiles = [
         tile(1, "Total SKUs", "n_skus", _integer(F.col("n_skus")), "After data cleaning"),
-        tile(2, "Total Revenue", "revenue", millions("revenue"), "12-month period"),
+        tile(2, "Total Revenue", "revenue", millions("revenue"), months),
         tile(3, "A-Class SKUs", "n_a", _integer(F.col("n_a")), "Drive 80% of revenue"),
         tile(4, "AZ+BZ SKUs", "n_volatile", _integer(F.col("n_volatile")), "High value, unpredictable demand"),
         tile(5, "AZ+BZ Revenue", "volatile_revenue", millions("volatile_revenue"), "At risk from stockouts"),
         tile(6, "CZ SKUs", "n_cz", _integer(F.col("n_cz")), "Rationalisation candidates"),
         tile(7, "Z-Class SKUs", "n_z", _integer(F.col("n_z")), "Intermittent demand (CV>1)"),
-        tile(8, "ROP Model", None, F.lit("Top 80 SKUs"), "95-98% service level targets"),
-        tile(9, "Data Source", None, F.lit("UCI + Real"), "525K+ real transactions"),
+        tile(8, "ROP Model", "modelled", F.concat_ws(" ", F.lit("Top"), F.col("modelled"), F.lit("SKUs")), "95-98% service level targets"),
+        tile(9, "Data Source", None, dates, lines),
     ]
-    return _figures(grade_counts(graded), tiles).select(
+    # Single rows, so these joins have one row.
+    one_row = grade_counts(graded).withColumn("modelled", rop.select("skus").scalar())
+    for column in ("clean_lines", "first_date", "last_date"):
+        one_row = one_row.withColumn(column, extent(graded).select(column).scalar())
+    return _figures(one_row, tiles).select(
         "position", F.col("metric").alias("label"), "amount",
         F.col("value")["v"].alias("value"), F.col("value")["n"].alias("note"),
     )

@@ -100,7 +100,7 @@ def sku_totals(rollup: DataFrame, policy: Policy) -> DataFrame:
     return (
         _with_demand_stats(totals, policy)
         .withColumn("weeks_active_pct", share(F.col("weeks_with_demand"), F.lit(policy.weeks_per_year)))
-        .drop("price_total", "n_lines")
+        .drop("price_total")
     )
 
 
@@ -112,15 +112,19 @@ def sku_buyers(clean: DataFrame) -> DataFrame:
     )
 
 
-def sku_descriptions(clean: DataFrame, policy: Policy) -> DataFrame:
+def text_counts(clean: DataFrame) -> DataFrame:
+    """How many lines carry each text of each SKU."""
+    return clean.groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def sku_descriptions(texts: DataFrame, policy: Policy) -> DataFrame:
     """One description per SKU: the greatest, or the most frequent (ties: the smallest).
 
-    Texts are counted per SKU before one is picked, so no task ever holds all the texts of a
-    SKU, and the text comparison, which needs a sort, runs on distinct texts only. The count
-    is part of the compared value in both variants: the optimizer drops an inner aggregate
-    whose counts nobody reads and would then sort every invoice line.
+    ``texts`` are counted per SKU, so no task ever holds all the texts of a SKU, and the text
+    comparison, which needs a sort, runs on distinct texts only. The count is part of the
+    compared value in both variants: the optimizer drops an inner aggregate whose counts nobody
+    reads and would then sort every invoice line.
     """
-    texts = clean.groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n_lines"))
     per_sku = texts.groupBy("stock_code")
     if policy.rounded:
         greatest = F.max(F.struct("description", "n_lines"))

@@ -1,8 +1,9 @@
 """One analysis run: transactions and a policy in, every table out.
 
-Each stage asks for the transaction columns it reads. Tables are built on first use and kept, so a run that asks for several reports reduces the
-invoice lines once. The graded SKU table is written to the checkpoint folder on the way
-(see ``running_totals``); everything after it reads SKU rows, not invoice lines.
+Each stage asks for the transaction columns it reads. Tables are built on first use and kept,
+so a run that asks for several reports reduces the invoice lines once. The SKU totals and the
+graded SKU table are written to the shared folder when they are first asked for; everything
+after them reads SKU rows, not invoice lines.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from skumetry import schemas
 from skumetry.operators import classes, cleaning, exports, rationalise, reorder, reports, sku, summaries
 from skumetry.policy import Policy
-from skumetry.session import cut_lineage
+from skumetry.session import written
 
 # Transaction columns that each stage reads.
 CLEANING = ("invoice_no", "stock_code", "quantity", "unit_price")
@@ -28,9 +29,10 @@ TransactionSource = Callable[[Sequence[str]], DataFrame]
 
 
 class StockPlan:
-    """``transactions`` is a table, or a function that gives the asked-for columns of one.
+    """``transactions`` is a table, or a source that gives the asked-for columns of one.
 
-    A function can leave out the work behind columns a stage does not read, such as joins.
+    A source, called with columns, can leave out the work behind columns a stage does not
+    read, such as joins. One with a method ``text_counts`` counts descriptions itself.
     """
 
     def __init__(self, transactions: DataFrame | TransactionSource, policy: Policy | None = None) -> None:
@@ -43,8 +45,12 @@ class StockPlan:
         """The asked-for columns in their declared types, so that prices are exact cents."""
         given = self._transactions
         table = given if isinstance(given, DataFrame) else given(columns)
+        return self._typed(table.select(*columns))
+
+    @staticmethod
+    def _typed(table: DataFrame) -> DataFrame:
         types = {f.name: f.dataType for f in schemas.TRANSACTIONS.fields}
-        return table.select(*[F.col(c).cast(types[c]).alias(c) for c in columns])
+        return table.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in table.columns])
 
     def clean(self, columns: Sequence[str]) -> DataFrame:
         return cleaning.clean_transactions(self.transactions(columns), self.policy)
@@ -65,9 +71,19 @@ class StockPlan:
     def buyers(self) -> DataFrame:
         return sku.sku_buyers(self.clean(BUYERS))
 
+    def descriptions_of(self, codes: DataFrame | None = None) -> DataFrame:
+        """One description for each SKU, or for each of ``codes``, whose lines alone are counted."""
+        count = getattr(self._transactions, "text_counts", None)
+        if count is not None:
+            texts = count(CLEANING, lambda lines: cleaning.clean_transactions(self._typed(lines), self.policy), codes)
+        else:
+            lines = self.clean(TEXTS)
+            texts = sku.text_counts(lines if codes is None else lines.join(codes, "stock_code", "left_semi"))
+        return sku.sku_descriptions(texts, self.policy)
+
     @cached_property
     def descriptions(self) -> DataFrame:
-        return sku.sku_descriptions(self.clean(TEXTS), self.policy)
+        return self.descriptions_of()
 
     @cached_property
     def sku_revenue(self) -> DataFrame:
@@ -76,12 +92,27 @@ class StockPlan:
 
     # Graded SKUs ------------------------------------------------------------------------
 
+    @cached_property
+    def totals(self) -> DataFrame:
+        """Totals, demand statistics and XYZ class, written once; nothing is ranked yet."""
+        return written(classes.with_xyz(sku.sku_totals(self.week_rollup, self.policy), self.policy))
+
+    @cached_property
+    def volatility(self) -> DataFrame:
+        """Demand statistics and XYZ class for reports that need no rank; reads what is written, if it is."""
+        if "totals" in self.__dict__:
+            return self.totals
+        return classes.with_xyz(sku.sku_totals(self.week_rollup, self.policy), self.policy)
+
     @cached_property
     def graded(self) -> DataFrame:
-        """Totals, demand statistics, Pareto rank and classes; no texts or buyers yet."""
-        ranked = classes.rank_by_revenue(sku.sku_totals(self.week_rollup, self.policy), self.policy)
-        classed = classes.with_xyz(classes.with_abc(ranked, self.policy), self.policy)
-        return classes.with_cell(classed, self.policy)
+        """Totals, demand statistics, Pareto rank and classes; no texts or buyers yet.
+
+        The ranked table is written once, as Parquet, so every report after it reads just the
+        columns it needs and nothing is ranked twice.
+        """
+        ranked = classes.with_abc(classes.rank_by_revenue(self.totals, self.policy), self.policy)
+        return classes.with_cell(written(ranked), self.policy)
 
     @cached_property
     def graded_with_buyers(self) -> DataFrame:
@@ -110,7 +141,7 @@ class StockPlan:
         return summaries.abc_summary(self.graded, self.policy, complete)
 
     def xyz_summary(self, complete: bool = False) -> DataFrame:
-        return summaries.xyz_summary(self.graded, self.policy, complete)
+        return summaries.xyz_summary(self.volatility, self.policy, complete)
 
     def matrix_long(self) -> DataFrame:
         return summaries.matrix_long(self.graded, self.policy)
@@ -120,13 +151,12 @@ class StockPlan:
     def _with_descriptions(self, few: DataFrame) -> DataFrame:
         """Descriptions for a list limited to a fixed number of SKUs.
 
-        Only their invoice lines are counted for it: the list's stock codes, a bounded number,
-        filter the lines before anything is shuffled. The list is written first, because it
-        is read twice and costs a pass over all SKUs.
+        Only their invoice lines are counted for it: the list's stock codes filter the lines
+        before any other join. The list is written first, because it is read twice and costs a
+        pass over all SKUs; its file size decides how it is joined.
         """
-        few = cut_lineage(few)
-        lines = self.clean(TEXTS).join(F.broadcast(few.select("stock_code")), "stock_code", "left_semi")
-        return few.join(sku.sku_descriptions(lines, self.policy), "stock_code")
+        few = written(few)
+        return few.join(self.descriptions_of(few.select("stock_code")), "stock_code")
 
     @cached_property
     def reorder_points(self) -> DataFrame:
@@ -142,7 +172,9 @@ class StockPlan:
 
     @cached_property
     def rationalisation_list(self) -> DataFrame:
-        return rationalise.rationalisation_list(self._described, self.policy)
+        cz = self.graded.where(F.col("abc_xyz") == "CZ")
+        master = cz.join(self.buyers, "stock_code").join(self.descriptions_of(cz.select("stock_code")), "stock_code")
+        return rationalise.rationalisation_list(master, self.policy)
 
     @cached_property
     def rationalisation_numbers(self) -> DataFrame:
@@ -156,12 +188,16 @@ class StockPlan:
 
     def summary_stats(self) -> DataFrame:
         return reports.summary_stats(
-            cleaning.dataset_profile(self.clean(SALES + ("customer_id",))),
+            reports.extent(self.graded),
             self.graded,
             reorder.safety_stock_profile(self.reorder_numbers),
             rationalise.action_profile(self.rationalisation_numbers),
+            self.policy,
         )
 
+    def kpi_strip(self) -> DataFrame:
+        return reports.kpi_strip(self.graded, reorder.safety_stock_profile(self.reorder_numbers))
+
     def top_class_skus(self, abc_class: str = "A", n: int = 30) -> DataFrame:
         of_class = self.graded.where(F.col("abc_class") == abc_class)
         few = self._with_descriptions(reports.top_by(of_class, "total_revenue", n))

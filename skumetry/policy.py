@@ -40,6 +40,9 @@ class CellTerms:
 
 # --- fixed values: these texts and numbers must stay as they are -------------------------
 
+#: A real SKU code looks like this.
+STOCK_CODE_PATTERN = r"^[0-9A-Z]{5,6}\z"
+
 ABC_CLASSES = ("A", "B", "C")
 XYZ_CLASSES = ("X", "Y", "Z")
 
@@ -134,6 +137,9 @@ class Policy:
     loyal_min_invoices: int = 3
     loyal_min_customers: int = 2
     weeks_per_year: int = 52
+    #: What a stock code must look like, and whether another one drops its line or stops the run.
+    code_pattern: str = STOCK_CODE_PATTERN
+    stop_at_odd_code: bool = False
     class_terms: tuple[ClassTerms, ...] = field(default=CLASS_TERMS)
 
     def __post_init__(self) -> None:

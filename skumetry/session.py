@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app_name: str, cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
-    """A ``local[n]`` session for tests and benchmarks; clusters bring their own."""
+    """A ``local[n]`` session for tests and benchmarks; clusters bring their own.
+
+    Tables on the way go to a temporary folder, which one machine shares with itself.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -16,7 +20,7 @@ def local_session(app_name: str, cores: int = 8, shuffle_partitions: int | None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app_name}-"))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -26,20 +30,16 @@ def local_session(app_name: str, cores: int = 8, shuffle_partitions: int | None
     return session
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, columns as they are needed.
 
-    The folder is the one ``spark.checkpoint.dir`` names. Only a local session without that
-    setting gets a temporary one: on a cluster a machine-local folder would be lost together
-    with its executor.
+    The folder is the one ``spark.checkpoint.dir`` names; every session has to name one. What
+    follows depends on these files, not on executors that may be lost.
     """
     session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="skumetry-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    path = f"{folder}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)

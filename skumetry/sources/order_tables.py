@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +12,21 @@ from skumetry.schemas import PRICE, TRANSACTIONS
 
 
 def seasonal_code(part_key, day):
-    """A six-character stock code per part and calendar year.
+    """A stock code per part and calendar year.
 
     SKU demand is graded over about one year. The line items cover several, so each part gets
     a new code every year, as seasonal ranges do; this keeps every line in the analysis. Part
-    key and year digit are written in base 36, counted from 36^5 so that no padding is
-    needed. That leaves room for 211 million parts; later ones get seven characters, which
-    the cleaning rules reject.
+    key and full year are written in base 36, counted from 36^5 so that no padding is needed.
+    The length grows with the part key, which ``CODE_PATTERN`` allows.
     """
-    number = part_key * 10 + F.year(day) % 10 + F.lit(36**5)
+    number = part_key * 10_000 + F.year(day) + F.lit(36**5)
     return F.conv(number.cast("string"), 10, 36)
 
 
+#: The codes of these tables: no upper length, unlike those of a retail extract.
+CODE_PATTERN = r"^[0-9A-Z]{5,}\z"
+
+
 class OrderTables:
     """Transactions from a folder of order tables; each table's footer is read once."""
 
@@ -61,13 +64,33 @@ class OrderTables:
         expressions = _transaction_columns()
         return lines.select(*[expressions[c].alias(c) for c in wanted])
 
+    __call__ = transactions
+
+    def text_counts(self, columns: Iterable[str], clean: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None) -> DataFrame:
+        """``stock_code``, ``description``, ``n_lines``: how many clean lines carry each text.
+
+        Lines are cleaned, filtered to ``codes`` and counted by part before the part table is
+        joined, so a part with a third of all lines reaches the join as a few rows.
+        """
+        expressions = _transaction_columns()
+        lines = self.table("lineitem").select("l_partkey", *[expressions[c].alias(c) for c in columns])
+        lines = clean(lines).select("stock_code", "l_partkey")
+        if codes is not None:
+            lines = lines.join(codes, "stock_code", "left_semi")
+        counted = lines.groupBy("stock_code", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+        parts = self.table("part").select("p_partkey", F.col("p_name").alias("description"))
+        named = counted.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+        return named.groupBy("stock_code", "description").agg(F.sum("n").alias("n_lines"))
+
 
 def _transaction_columns() -> dict[str, Column]:
     returned = F.col("l_returnflag") == "R"
     units = F.col("l_quantity").cast("int")
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
-    # Whole cents per unit: no engine has to round a binary fraction. No units, no price.
-    unit_cents = F.call_function("div", cents, F.nullif(units.cast("long"), F.lit(0).cast("long")))
+    # Whole cents per unit, rounded half up in whole numbers. No units, no price. Half a cent a
+    # unit at most is gained or lost, and a line below half a cent a unit has no price.
+    twice = F.nullif(2 * units.cast("long"), F.lit(0).cast("long"))
+    unit_cents = F.call_function("div", 2 * cents + units.cast("long"), twice)
     return {
         "invoice_no": F.concat(F.when(returned, "C").otherwise(""), F.col("l_orderkey").cast("string")),
         "stock_code": seasonal_code(F.col("l_partkey"), F.col("l_shipdate")),

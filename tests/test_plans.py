@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as registry
 from skumetry import Policy, StockPlan
 from skumetry.operators import classes, sku
+from skumetry.session import written
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL, SCRIPT = Policy(), Policy(semantics="script")
@@ -64,7 +65,7 @@ def test_one_shuffle_of_lines_per_rollup(flat):
 
 def test_sku_rows_never_meet_in_one_task(flat):
     """The only single-task exchange under the graded table is over the per-range sums."""
-    totals = sku.sku_totals(StockPlan(flat).week_rollup, SQL)
+    totals = written(sku.sku_totals(StockPlan(flat).week_rollup, SQL))
     plan = physical(classes.rank_by_revenue(totals, SQL, ranges=4))
     singles = [i for i, line in enumerate(plan.splitlines()) if "SinglePartition" in line]
     assert len(singles) == 1
@@ -80,3 +81,42 @@ def test_summaries_read_no_buyers_or_texts(spark):
 def test_top_list_is_not_fully_sorted(flat):
     plan = StockPlan(flat)
     assert "TakeOrderedAndProject(limit=80" in physical(plan.reorder_numbers)
+
+
+@pytest.fixture()
+def shuffled(spark):
+    """Joins as they are planned for tables too large to broadcast."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("name", ["reorder_points", "sku_master"])
+def test_lines_are_reduced_before_they_meet_the_parts(spark, shuffled, name):
+    plan = physical(registry.queries()[name](spark, SF_DIR)).splitlines()
+    for i, line in enumerate(plan):
+        if "hashpartitioning(l_partkey" in line:
+            assert "HashAggregate" in plan[i + 1]
+    if name == "reorder_points":
+        semi = next(line for line in plan if "LeftSemi" in line)
+        assert "stock_code" in semi and "part" not in semi.split("LeftSemi")[0].split("[")[0]
+
+
+@pytest.mark.parametrize("name", ["xyz_summary", "sku_distribution", "cv_histogram"])
+def test_reports_of_variability_rank_nothing(spark, name):
+    assert "total_revenue" not in physical(registry.queries()[name](spark, SF_DIR)).replace("total_revenue_cents", "")
+
+
+def test_key_figures_read_no_orders(spark, monkeypatch):
+    from skumetry.sources.order_tables import OrderTables
+
+    asked = []
+    real = OrderTables.table
+    monkeypatch.setattr(OrderTables, "table", lambda self, name: asked.append(name) or real(self, name))
+    plan = StockPlan(OrderTables(spark, SF_DIR), Policy(code_pattern=r"^[0-9A-Z]{5,}\z"))
+    extent_only = __import__("skumetry.operators.reports", fromlist=["extent"]).extent(plan.graded)
+    assert extent_only.count() == 1 and "orders" not in asked

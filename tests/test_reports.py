@@ -78,12 +78,23 @@ def test_summary_stats(plan):
     assert math.isclose(sum(rows[p].detail for p in (9, 10, 11)), 1)
     actions = rationalise.action_profile(plan.rationalisation_numbers).first()
     assert rows[14].amount == actions.protect_skus
-    assert rows[18].value.endswith(" of 80 SKUs")
+    assert rows[18].value.endswith(f" of {plan.reorder_numbers.count()} SKUs")
 
 
 def test_kpi_strip(plan):
-    rows = {r.position: r for r in reports.kpi_strip(plan.graded).collect()}
+    rows = {r.position: r for r in plan.kpi_strip().collect()}
     assert sorted(rows) == list(range(1, 10))
     assert (rows[1].label, rows[1].value, rows[1].note) == ("Total SKUs", "80", "After data cleaning")
     assert rows[2].value.startswith("£") and rows[2].value.endswith("M")
-    assert rows[9].amount is None
+    assert rows[2].note == "2-month period" and rows[8].value == f"Top {rows[8].amount:.0f} SKUs"
+    assert rows[9].amount is None and rows[9].value.startswith("2011-01-03 to 2011-")
+    assert rows[9].note.endswith(" transactions")
+
+
+def test_texts_follow_the_policy_and_the_data(lines):
+    data = lines.weekly({f"SKU{i:03d}": [i + 1, 2, 5 + i] for i in range(14)})
+    for limit, modelled in ((10, 10), (80, 14)):
+        plan = StockPlan(data, Policy(rop_top_n=limit))
+        rows = {r.position: r for r in plan.summary_stats().collect()}
+        assert rows[17].metric.startswith(f"Top {limit} ROP") and rows[18].value.endswith(f" of {modelled} SKUs")
+        assert {r.position: r for r in plan.kpi_strip().collect()}[8].value == f"Top {modelled} SKUs"

@@ -39,8 +39,8 @@ def test_sku_revenue(lines):
 ])
 def test_description(lines, texts, mode, greatest):
     data = lines(*[{"description": t} for t in texts])
-    assert sku.sku_descriptions(data, SCRIPT).first().description == mode
-    assert sku.sku_descriptions(data, SQL).first().description == greatest
+    assert sku.sku_descriptions(sku.text_counts(data), SCRIPT).first().description == mode
+    assert sku.sku_descriptions(sku.text_counts(data), SQL).first().description == greatest
 
 
 @pytest.mark.parametrize("day, label", [

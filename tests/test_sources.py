@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skumetry import Policy, StockPlan, schemas
 from skumetry.operators import cleaning
-from skumetry.sources import invoices_csv, outputs
+from skumetry.sources import invoices_csv, order_tables, outputs
 from skumetry.sources.order_tables import OrderTables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -96,8 +96,35 @@ def test_empty_master_stops(spark, tmp_path):
         outputs.load_outputs(spark, str(tmp_path), {"sku_master": schemas.sku_master(Policy())})
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        pytest.skip("the session names no checkpoint folder")
-    assert folder in spark.sparkContext.getCheckpointDir()
+def test_written_tables_need_a_shared_folder(spark, monkeypatch):
+    from skumetry import session
+
+    df = spark.range(3)
+    assert sorted(r.id for r in session.written(df).collect()) == [0, 1, 2]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert any(folder in f for f in session.written(df).inputFiles())
+
+
+@pytest.mark.parametrize("part", [1, 211_631_616, 211_631_617, 20_000_000_000])
+def test_every_part_key_is_kept_and_years_stay_apart(spark, part):
+    rows = [(part, dt.date(1992, 5, 1)), (part, dt.date(2002, 5, 1)), (part + 1, dt.date(1992, 5, 1))]
+    data = spark.createDataFrame(rows, "p long, d date").select(order_tables.seasonal_code(F.col("p"), F.col("d")).alias("stock_code"))
+    codes = [r.stock_code for r in data.collect()]
+    assert len(set(codes)) == 3
+    kept = data.where(F.col("stock_code").rlike(order_tables.CODE_PATTERN))
+    assert kept.count() == 3
+
+
+def test_odd_codes_drop_a_line_or_stop_the_run(spark, lines):
+    data = lines({"stock_code": "1234567"}, {"stock_code": "12345"})
+    assert cleaning.clean_transactions(data, Policy()).count() == 1
+    assert cleaning.clean_transactions(data, Policy(code_pattern=order_tables.CODE_PATTERN)).count() == 2
+    with pytest.raises(Exception, match="outside the policy's pattern: 1234567"):
+        cleaning.clean_transactions(data, Policy(stop_at_odd_code=True)).collect()
+
+
+def test_texts_are_counted_before_the_part_join(spark):
+    source = OrderTables(spark, SF_DIR)
+    counted = source.text_counts(("invoice_no", "stock_code", "quantity", "unit_price"), lambda df: df)
+    plain = source.transactions(("stock_code", "description")).groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n_lines"))
+    assert counted.exceptAll(plain).isEmpty() and plain.exceptAll(counted).isEmpty()
