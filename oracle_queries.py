@@ -600,6 +600,29 @@ FROM cz WHERE starts_with(recommended_action, 'RATIONALISE')""",
 SELECT row_number() OVER (ORDER BY rev DESC, stock_code) AS rank, stock_code, substr(description, 1, 50) AS description,
        {money('rev')} AS total_revenue, units AS total_qty_sold, price AS avg_unit_price, xyz AS xyz_class, cell AS abc_xyz
 FROM graded WHERE abc = 'A' ORDER BY rev DESC, stock_code LIMIT 30""",
+        "ext_recent_spike": f"""WITH {WEEKLY}
+SELECT stock_code, recent AS recent_qty, total AS total_qty, weeks AS weeks_with_demand,
+       recent * weeks > 2 * 4 * total AS spike_flag
+FROM (
+  SELECT stock_code, CAST(sum(qty) AS BIGINT) AS total, count(*) AS weeks,
+         CAST(coalesce(sum(qty) FILTER (date_diff('day', week_start, (SELECT max(week_start) FROM weekly)) < 28), 0) AS BIGINT) AS recent
+  FROM weekly GROUP BY stock_code
+)""",
+        "ext_lead_time_safety_stock": f"""WITH {rop_cte()}, spread AS (
+  SELECT *, CASE abc WHEN 'A' THEN 0.5::DOUBLE WHEN 'B' THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS sl FROM rop
+)
+SELECT stock_code, abc AS abc_class, xyz AS xyz_class, sl AS lead_time_std,
+       round(z * sqrt(lt * std * std + mean * mean * sl * sl), 6) AS safety_stock,
+       round(mean * lt + z * sqrt(lt * std * std + mean * mean * sl * sl), 6) AS reorder_point FROM spread""",
+        "ext_percentile_safety_stock": f"""WITH {graded_cte()}
+SELECT stock_code, abc AS abc_class, round(p, 6) AS weekly_percentile, round(greatest((p - m) * sqrt(lt), 0), 6) AS safety_stock
+FROM (
+  SELECT g.stock_code, abc, avg(qty) AS m, CASE abc WHEN 'A' THEN 2.0::DOUBLE WHEN 'B' THEN 3.0::DOUBLE ELSE 4.0::DOUBLE END AS lt,
+         CASE abc WHEN 'A' THEN quantile_cont(qty::DOUBLE, 0.98) WHEN 'B' THEN quantile_cont(qty::DOUBLE, 0.95)
+                  ELSE quantile_cont(qty::DOUBLE, 0.90) END AS p
+  FROM graded AS g JOIN weekly AS w ON g.stock_code = w.stock_code
+  WHERE weeks >= 3 AND cv IS NOT NULL AND xyz = 'Z' GROUP BY g.stock_code, abc
+)""",
         "sku_master_script": _master(True),
         "abc_summary_script": _abc_summary(True),
         "xyz_summary_script": _xyz_summary(True),

@@ -52,11 +52,6 @@ def rationalisation_list(master: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def report_order(cz: DataFrame) -> DataFrame:
-    """By action, then by falling revenue. Only for a report that is read in this order."""
-    return cz.orderBy("recommended_action", F.col("total_revenue").desc(), "stock_code")
-
-
 def rationalisation_summary(cz: DataFrame, policy: Policy) -> DataFrame:
     """SKUs, revenue, mean revenue, mean CV and mean customers per action."""
     per_action = cz.groupBy("recommended_action")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skumetry import schemas
-from skumetry.operators import classes, cleaning, exports, rationalise, reorder, reports, sku, summaries
+from skumetry.operators import classes, cleaning, exports, extensions, rationalise, reorder, reports, sku, summaries
 from skumetry.policy import Policy
 from skumetry.session import written
 
@@ -184,6 +184,17 @@ class StockPlan:
     def rationalisation_summary(self) -> DataFrame:
         return rationalise.rationalisation_summary(self.rationalisation_numbers, self.policy)
 
+    # Extensions -------------------------------------------------------------------------
+
+    def recent_spike(self) -> DataFrame:
+        return extensions.recent_spike(self.week_rollup, self.policy)
+
+    def lead_time_safety_stock(self) -> DataFrame:
+        return extensions.lead_time_safety_stock(reorder.best_sellers(self.graded, self.policy), self.policy)
+
+    def percentile_safety_stock(self) -> DataFrame:
+        return extensions.percentile_safety_stock(self.graded, self.week_rollup, self.policy)
+
     # Reports ----------------------------------------------------------------------------
 
     def summary_stats(self) -> DataFrame:

@@ -141,6 +141,10 @@ class Policy:
     code_pattern: str = STOCK_CODE_PATTERN
     stop_at_odd_code: bool = False
     class_terms: tuple[ClassTerms, ...] = field(default=CLASS_TERMS)
+    #: Extensions: weeks and multiple of a recent spike, deviation of lead times in weeks.
+    spike_weeks: int = 4
+    spike_factor: int = 2
+    lead_time_std_weeks: tuple[tuple[str, Decimal], ...] = (("A", Decimal("0.5")), ("B", Decimal("0.75")), ("C", Decimal("1.0")))
 
     def __post_init__(self) -> None:
         if self.semantics not in (SQL, SCRIPT):

@@ -24,6 +24,8 @@ HEADER = {
 ENCODING = "ISO-8859-1"
 TIMESTAMP_FORMATS = ("M/d/yyyy H:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
+REJECTED = "_rejected"
+
 _TYPES = {"Quantity": T.IntegerType(), "UnitPrice": PRICE}
 FILE_SCHEMA = T.StructType([T.StructField(h, _TYPES.get(h, T.StringType())) for h in HEADER])
 
@@ -33,21 +35,44 @@ def parse_timestamp(text, formats: Sequence[str] = TIMESTAMP_FORMATS):
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
-def read_invoices(
-    spark: SparkSession, path: str, formats: Sequence[str] = TIMESTAMP_FORMATS
-) -> DataFrame:
-    """Transactions from Latin-1 CSV with a header, with a declared schema.
-
-    Cells that do not parse become null; ``null_violations`` counts them.
-    """
-    raw = (
-        spark.read.schema(FILE_SCHEMA)
+def _scan(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The file's columns and ``_rejected``, the text of a row that does not fit them."""
+    return (
+        spark.read.schema(T.StructType([*FILE_SCHEMA.fields, T.StructField(REJECTED, T.StringType())]))
         .option("header", True)
         .option("encoding", ENCODING)
         .option("enforceSchema", False)
+        # Quotes inside a quoted text are doubled, as spreadsheets write them; a backslash is a character.
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", REJECTED)
+        .option("columnPruning", False)
         .csv(path)
     )
-    named = raw.withColumnsRenamed(HEADER)
+
+
+def file_profile(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Rows of a file, and how many of them have a cell that does not parse or too few or many cells."""
+    # The reader parses, and so rejects, only cells of columns that are read: all typed ones are.
+    no_quantity, no_price = F.col("Quantity").isNull(), F.col("UnitPrice").isNull()
+    rejected = F.col(REJECTED).isNotNull()
+    return _scan(spark, path, multi_line).agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count_if(rejected & no_quantity) + F.count_if(rejected & ~no_quantity & no_price) + F.count_if(rejected & ~no_quantity & ~no_price)).alias("rejected_rows"),
+    )
+
+
+def read_invoices(
+    spark: SparkSession, path: str, formats: Sequence[str] = TIMESTAMP_FORMATS, multi_line: bool = False
+) -> DataFrame:
+    """Transactions from Latin-1 CSV with a header, with a declared schema.
+
+    A cell that does not parse becomes null, and cleaning later rejects a row that lacks its
+    quantity, price or date; ``file_profile`` counts such rows. ``multi_line`` is for files with
+    line breaks inside quoted texts; such a file is read by one task, so it is off by default.
+    """
+    named = _scan(spark, path, multi_line).drop(REJECTED).withColumnsRenamed(HEADER)
     return named.withColumn("invoice_date", parse_timestamp(F.col("invoice_date"), formats)).select(
         *TRANSACTIONS.fieldNames()
     )

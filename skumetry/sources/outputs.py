@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OUTPUT_TABLES = ("sku_master", "abc_xyz_matrix", "reorder_points", "rationalisation_list", "summary_stats")
@@ -16,12 +17,34 @@ class EmptyMaster(RuntimeError):
     """The SKU master table is missing or has no rows."""
 
 
+#: The order in which tables are written: column and whether it falls.
+FILE_ORDER = {
+    "sku_master": (("total_revenue", True), ("StockCode", False)),
+    "reorder_points": (("Annual Revenue (£)", True), ("StockCode", False)),
+    "rationalisation_list": (("action", False), ("total_revenue", True), ("StockCode", False)),
+    "rationalisation_summary": (("sku_count", True), ("recommended_action", False)),
+    "rationalise_candidates": (("total_revenue", True), ("stock_code", False)),
+}
+
+
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """Sorted as the file of that name is; tables without an order stay as they are.
+
+    Sorting is part of writing only: a range shuffle whose files follow one another.
+    """
+    order = FILE_ORDER.get(name)
+    return df.orderBy(*[F.col(f"`{c}`").desc() if falls else F.col(f"`{c}`").asc() for c, falls in order]) if order else df
+
+
 def save_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> str:
-    """Write one table, replacing an earlier version; CSV files get a header line."""
+    """Write one table in its file order, replacing an earlier version.
+
+    CSV files get a header line, and quotes inside a text are doubled.
+    """
     path = f"{folder}/{name}"
-    writer = df.write.mode("overwrite")
+    writer = in_file_order(df, name).write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
     return path
@@ -32,12 +55,15 @@ def save_outputs(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parqu
 
 
 def load_table(
-    spark: SparkSession, folder: str, name: str, schema: T.StructType, fmt: str = "parquet"
+    spark: SparkSession, folder: str, name: str, schema: T.StructType, fmt: str = "parquet", multi_line: bool = False
 ) -> DataFrame:
-    """A written table; a missing one is empty and warned about."""
+    """A written table; a missing one is empty and warned about.
+
+    ``multi_line`` is for CSV with line breaks inside texts.
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
     try:
         return reader.format(fmt).load(f"{folder}/{name}")
     except AnalysisException as error:

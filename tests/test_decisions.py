@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skumetry import Policy, StockPlan, schemas
 from skumetry.operators import exports, rationalise, reorder
 from skumetry.policy import PROTECT, RATIONALISE_SCRIPT, RATIONALISE_SQL, SINGLE_EVENT_SCRIPT, SINGLE_EVENT_SQL
+from skumetry.sources import outputs
 
 SQL, SCRIPT = Policy(), Policy(semantics="script")
 
@@ -109,5 +110,5 @@ def test_rationalisation_summary_and_profile(cz_master):
     keys = {r.action_key for r in rationalise.action_sheet(rationalise.rationalisation_summary(cz, SQL)).collect()}
     assert keys == {"PROTECT", "RATIONALISE", "SINGLE"}
     assert rationalise.rationalise_candidates(cz).count() == 2
-    ordered = [r.recommended_action.split()[0] for r in rationalise.report_order(cz).collect()]
+    ordered = [r.action.split()[0] for r in outputs.in_file_order(exports.rationalisation_export(cz), "rationalisation_list").collect()]
     assert ordered == sorted(ordered)

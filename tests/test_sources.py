@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 import warnings
 from decimal import Decimal
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skumetry import Policy, StockPlan, schemas
-from skumetry.operators import cleaning
+from skumetry.operators import cleaning, rationalise
 from skumetry.sources import invoices_csv, order_tables, outputs
 from skumetry.sources.order_tables import OrderTables
 
@@ -128,3 +129,52 @@ def test_texts_are_counted_before_the_part_join(spark):
     counted = source.text_counts(("invoice_no", "stock_code", "quantity", "unit_price"), lambda df: df)
     plain = source.transactions(("stock_code", "description")).groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n_lines"))
     assert counted.exceptAll(plain).isEmpty() and plain.exceptAll(counted).isEmpty()
+
+
+QUOTED = """InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country
+536365,85123A,"HEART ""LOVE"", LARGÉ",6,12/1/2010 8:26,2.55,17850,United Kingdom
+536366,85123B,"ENDS IN \\",6,12/1/2010 8:26,2.55,17850,United Kingdom
+536367,85123C,"TWO
+LINES",6,12/1/2010 8:26,2.55,17850,United Kingdom
+536368,85123D,PLAIN,six,12/1/2010 8:26,2.55,17850,United Kingdom
+"""
+
+
+def test_quoted_texts(spark, tmp_path):
+    path = str(tmp_path / "quoted.csv")
+    (tmp_path / "quoted.csv").write_bytes(QUOTED.encode("latin-1"))
+    rows = {r.stock_code: r for r in invoices_csv.read_invoices(spark, path, multi_line=True).collect()}
+    assert rows["85123A"].description == 'HEART "LOVE", LARGÉ' and rows["85123A"].customer_id == "17850"
+    assert rows["85123B"].description == "ENDS IN \\" and rows["85123B"].quantity == 6
+    assert rows["85123C"].description == "TWO\nLINES" and len(rows) == 4
+    assert tuple(invoices_csv.file_profile(spark, path, multi_line=True).first()) == (4, 1)
+    assert invoices_csv.file_profile(spark, path).first().rejected_rows > 1
+
+
+def test_written_csv_is_standard(spark, tmp_path):
+    texts = ['say "hi", you', "back\\slash\\", "two\nlines", "É", None]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "StockCode int, description string").coalesce(1)
+    outputs.save_table(table, str(tmp_path), "texts", "csv")
+    file = next((tmp_path / "texts").glob("part-*.csv"))
+    with file.open(newline="", encoding="utf-8") as handle:
+        assert [r["description"] for r in csv.DictReader(handle)] == [t or "" for t in texts]
+    back = outputs.load_table(spark, str(tmp_path), "texts", table.schema, "csv", multi_line=True)
+    assert back.exceptAll(table).isEmpty() and table.exceptAll(back).isEmpty()
+
+
+def test_files_are_written_in_order(spark, lines, tmp_path):
+    plan = StockPlan(lines.weekly({f"SKU{i:03d}": [1 + i % 7, 9 * (i % 2), 90 * (i % 5)][: 1 + i % 3] for i in range(60)}))
+    tables = plan.outputs() | {
+        "rationalisation_summary": plan.rationalisation_summary(),
+        "rationalise_candidates": rationalise.rationalise_candidates(plan.rationalisation_list),
+    }
+    for name, order in outputs.FILE_ORDER.items():
+        outputs.save_table(tables[name], str(tmp_path), name, "csv")
+        rows = []
+        for file in sorted((tmp_path / name).glob("part-*.csv")):
+            with file.open(newline="", encoding="utf-8") as handle:
+                rows += list(csv.DictReader(handle))
+        numbers = {"total_revenue", "Annual Revenue (£)", "sku_count"}
+        keys = [tuple((-float(r[c]) if falls else float(r[c])) if c in numbers else r[c] for c, falls in order) for r in rows]
+        assert keys == sorted(keys) and len(rows) == tables[name].count(), name
+    assert "Sort [" not in plan.rationalisation_list._jdf.queryExecution().optimizedPlan().toString()
