@@ -40,7 +40,7 @@ MODEL_ROWS = 8_000_000
 #: Counts that a task gathers before it hands them on.
 TASK_GRAMS = 4_000_000
 #: The band: so many scaled median absolute deviations below and above the median.
-BELOW, ABOVE = 8.0, 4.5
+BELOW, ABOVE = 6.0, 4.0
 #: The least scale, so that a language of very regular texts keeps a band of some width.
 LEAST_SCALE = 0.02
 #: Values are rounded to this step before they are counted for the medians.
