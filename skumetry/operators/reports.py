@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skumetry.functions.exact import clip
 from skumetry.operators.ranking import add_rank, quantiles, top_by
-from skumetry.policy import Policy
+from skumetry.policy import METRICS, TILES, Policy
 
 CV_CHART_MAX = 3.0
 CV_BINS = 60
@@ -98,31 +98,31 @@ def summary_stats(profile: DataFrame, graded: DataFrame, rop: DataFrame, actions
     dates = F.concat_ws(" to ", F.col("first_date").cast("string"), F.col("last_date").cast("string"))
     stock = F.col("avg_safety_stock_a")
     grades = _figures(grade_counts(graded), [
-        (1, "Total SKUs analysed", n, None, _integer(n)),
-        (4, "Total annual revenue", F.col("revenue"), None, _pounds(F.col("revenue"), 2)),
-        class_figure(5, "A-class SKUs", "n_a"),
-        (6, "A-class revenue share", a_share, None, _percent(a_share)),
-        class_figure(7, "B-class SKUs", "n_b"),
-        class_figure(8, "C-class SKUs", "n_c"),
-        class_figure(9, "X-class SKUs (predictable)", "n_x"),
-        class_figure(10, "Y-class SKUs (moderate)", "n_y"),
-        class_figure(11, "Z-class SKUs (intermittent)", "n_z"),
-        class_figure(12, "CZ SKUs (rationalisation candidates)", "n_cz"),
-        (15, "AZ+BZ SKUs (management attention)", F.col("n_volatile"), None, _integer(F.col("n_volatile"))),
-        (16, "AZ+BZ revenue at risk", F.col("volatile_revenue"), None, _pounds(F.col("volatile_revenue"), 0)),
+        (1, METRICS[1], n, None, _integer(n)),
+        (4, METRICS[4], F.col("revenue"), None, _pounds(F.col("revenue"), 2)),
+        class_figure(5, METRICS[5], "n_a"),
+        (6, METRICS[6], a_share, None, _percent(a_share)),
+        class_figure(7, METRICS[7], "n_b"),
+        class_figure(8, METRICS[8], "n_c"),
+        class_figure(9, METRICS[9], "n_x"),
+        class_figure(10, METRICS[10], "n_y"),
+        class_figure(11, METRICS[11], "n_z"),
+        class_figure(12, METRICS[12], "n_cz"),
+        (15, METRICS[15], F.col("n_volatile"), None, _integer(F.col("n_volatile"))),
+        (16, METRICS[16], F.col("volatile_revenue"), None, _pounds(F.col("volatile_revenue"), 0)),
     ])
     extent = _figures(profile, [
-        (2, "Total transactions (clean)", F.col("clean_lines"), None, _integer(F.col("clean_lines"))),
-        (3, "Date range", None, None, dates),
+        (2, METRICS[2], F.col("clean_lines"), None, _integer(F.col("clean_lines"))),
+        (3, METRICS[3], None, None, dates),
     ])
     cz = _figures(actions, [
-        action_figure(13, "CZ → rationalise (low loyalty)", "rationalise_skus", "unprotected_revenue"),
-        action_figure(14, "CZ → protect (loyal accounts)", "protect_skus", "protected_revenue"),
+        action_figure(13, METRICS[13], "rationalise_skus", "unprotected_revenue"),
+        action_figure(14, METRICS[14], "protect_skus", "protected_revenue"),
     ])
     reorder = _figures(rop, [
-        (17, f"Top {policy.rop_top_n} ROP model: avg safety stock (A)", stock, None,
+        (17, METRICS[17].format(n=policy.rop_top_n), stock, None,
          F.concat(F.format_string("%.0f", F.bround(stock, 0)), F.lit(" units"))),
-        (18, "SKUs with stockout risk flag", F.col("stockout_risk_skus"), None,
+        (18, METRICS[18], F.col("stockout_risk_skus"), None,
          F.concat_ws(" ", F.col("stockout_risk_skus"), F.lit("of"), F.col("skus"), F.lit("SKUs"))),
     ])
     return grades.unionByName(extent).unionByName(cz).unionByName(reorder)
@@ -145,15 +145,15 @@ def kpi_strip(graded: DataFrame, rop: DataFrame) -> DataFrame:
     dates = F.concat_ws(" to ", F.col("first_date").cast("string"), F.col("last_date").cast("string"))
 
     tiles = [
-        tile(1, "Total SKUs", "n_skus", _integer(F.col("n_skus")), "After data cleaning"),
-        tile(2, "Total Revenue", "revenue", millions("revenue"), months),
-        tile(3, "A-Class SKUs", "n_a", _integer(F.col("n_a")), "Drive 80% of revenue"),
-        tile(4, "AZ+BZ SKUs", "n_volatile", _integer(F.col("n_volatile")), "High value, unpredictable demand"),
-        tile(5, "AZ+BZ Revenue", "volatile_revenue", millions("volatile_revenue"), "At risk from stockouts"),
-        tile(6, "CZ SKUs", "n_cz", _integer(F.col("n_cz")), "Rationalisation candidates"),
-        tile(7, "Z-Class SKUs", "n_z", _integer(F.col("n_z")), "Intermittent demand (CV>1)"),
-        tile(8, "ROP Model", "modelled", F.concat_ws(" ", F.lit("Top"), F.col("modelled"), F.lit("SKUs")), "95-98% service level targets"),
-        tile(9, "Data Source", None, dates, lines),
+        tile(1, TILES[1], "n_skus", _integer(F.col("n_skus")), "After data cleaning"),
+        tile(2, TILES[2], "revenue", millions("revenue"), months),
+        tile(3, TILES[3], "n_a", _integer(F.col("n_a")), "Drive 80% of revenue"),
+        tile(4, TILES[4], "n_volatile", _integer(F.col("n_volatile")), "High value, unpredictable demand"),
+        tile(5, TILES[5], "volatile_revenue", millions("volatile_revenue"), "At risk from stockouts"),
+        tile(6, TILES[6], "n_cz", _integer(F.col("n_cz")), "Rationalisation candidates"),
+        tile(7, TILES[7], "n_z", _integer(F.col("n_z")), "Intermittent demand (CV>1)"),
+        tile(8, TILES[8], "modelled", F.concat_ws(" ", F.lit("Top"), F.col("modelled"), F.lit("SKUs")), "95-98% service level targets"),
+        tile(9, TILES[9], None, dates, lines),
     ]
     # Single rows, so these joins have one row.
     one_row = grade_counts(graded).withColumn("modelled", rop.select("skus").scalar())

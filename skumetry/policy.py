@@ -119,6 +119,39 @@ XYZ_APPROACHES = {
     "Z": "Safety stock alone insufficient. Demand sensing. VMI or consignment stock considered.",
 }
 
+METRICS = {
+    1: "Total SKUs analysed",
+    2: "Total transactions (clean)",
+    3: "Date range",
+    4: "Total annual revenue",
+    5: "A-class SKUs",
+    6: "A-class revenue share",
+    7: "B-class SKUs",
+    8: "C-class SKUs",
+    9: "X-class SKUs (predictable)",
+    10: "Y-class SKUs (moderate)",
+    11: "Z-class SKUs (intermittent)",
+    12: "CZ SKUs (rationalisation candidates)",
+    13: "CZ → rationalise (low loyalty)",
+    14: "CZ → protect (loyal accounts)",
+    15: "AZ+BZ SKUs (management attention)",
+    16: "AZ+BZ revenue at risk",
+    17: "Top {n} ROP model: avg safety stock (A)",
+    18: "SKUs with stockout risk flag",
+}
+
+TILES = {
+    1: "Total SKUs",
+    2: "Total Revenue",
+    3: "A-Class SKUs",
+    4: "AZ+BZ SKUs",
+    5: "AZ+BZ Revenue",
+    6: "CZ SKUs",
+    7: "Z-Class SKUs",
+    8: "ROP Model",
+    9: "Data Source",
+}
+
 # --- end of fixed values -----------------------------------------------------------------
 
 
