@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skumetry.llm import byte_bpe, mixing, parity_join, pii, quality
 from skumetry.llm.queries import rank_lines
-from skumetry.llm.shared import stored
+from skumetry.llm.shared import shipped, stored
 
 
+@shipped
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
 
 
+@shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return parity_join.one_of_each_group(docs)
 
@@ -30,6 +32,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
+@shipped
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN)
 

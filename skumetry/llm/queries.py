@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skumetry.llm import byte_bpe, chunk_dedup, licenses, mixing, mtree, parity_join, pii, quality, suffix_dedup, toxicity
-from skumetry.llm.shared import table
+from skumetry.llm.shared import shipped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -79,7 +79,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    every = {
         "op1_chunk_dedup": op1_chunk_dedup,
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op3_hierarchical_mix": op3_hierarchical_mix,
@@ -91,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mtree_top_k": op9_mtree_top_k,
         "op10_byte_bpe": op10_byte_bpe,
     }
+    return {name: shipped(run) for name, run in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:

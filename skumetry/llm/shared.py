@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers of the session's executors this package, once an application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="skumetry-code-"), "skumetry_code.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
+
+
+def shipped(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run``, whose first argument is the session, with this package on the executors."""
+
+    @functools.wraps(run)
+    def with_package(spark: SparkSession, *args):
+        ship_package(spark)
+        return run(spark, *args)
+
+    return with_package
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
