@@ -8,7 +8,7 @@ vectors are kept in M-trees.
 Every vector goes to the nearest of a bounded sample of pivots; a cell is split at random into
 trees of bounded size, so equal or crowded vectors only make more trees. A tree has paged nodes
 with a routing vector, a covering radius and the distance to the parent's routing vector. The
-search opens the node with the least possible distance first. Nodes and vectors are passed over,
+search opens the node with the least possible distance first, whichever tree it is in. Nodes and vectors are passed over,
 without computing their distance, where the distances to the parent differ by too much.
 
 Trees are dealt to groups, and each block of queries is sent to every group. A task holds one
@@ -32,7 +32,7 @@ from skumetry.llm.shared import stored
 #: The bound on the sample of pivots.
 PIVOTS = 64
 #: Vectors of a tree, about; entries of a page; trees of a group; queries of a block.
-TREE, PAGE, GROUP, BLOCK = 4096, 64, 8, 256
+TREE, PAGE, GROUP, BLOCK = 4096, 256, 8, 256
 SLACK = 1e-6
 
 
@@ -86,39 +86,55 @@ class MTree:
         node["apart"] = np.array([self.nodes[c]["to_parent"] for c in children])
         return number
 
-    def search(self, query_id: int, q: np.ndarray, k: int, longest: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The best ``k`` of ``best`` and this tree, as ``(score, -id)``; ``best`` is a heap."""
-        lifted = np.r_[q, 0.0]
-        level = float((q.astype(np.float64) ** 2).sum()) + longest
 
-        def reach() -> float:
-            """The distance within which a vector may still enter."""
-            return np.sqrt(max(level - 2 * best[0][0], 0.0)) + SLACK if len(best) == k else np.inf
+class Forest:
+    """The trees of one group over vectors of one length, searched together, nearest node first."""
+
+    def __init__(self, trees: list[MTree]):
+        self.trees = trees
+        self.centers = np.array([t.nodes[t.root]["center"] for t in trees])
+        self.radii = np.array([t.nodes[t.root]["radius"] for t in trees])
 
-        first = float(np.sqrt(((self.nodes[self.root]["center"] - lifted) ** 2).sum()))
-        queue = [(max(first - self.nodes[self.root]["radius"], 0.0), self.root, first)]
+    def search(self, query_id: int, q: np.ndarray, k: int, longest: int) -> list[tuple[int, int]]:
+        """The best ``k`` vectors with another id, as a heap of ``(score, -id)``."""
+        lifted = np.r_[q, 0.0]
+        level = float((q.astype(np.float64) ** 2).sum()) + longest
+        # The distance within which a vector may still enter.
+        best, limit = [], np.inf
+        there = np.sqrt(((self.centers - lifted) ** 2).sum(axis=1))
+        least = np.maximum(there - self.radii, 0.0)
+        queue = [(bound, i, self.trees[i].root, away) for i, (bound, away) in enumerate(zip(least.tolist(), there.tolist()))]
+        heapq.heapify(queue)
         while queue:
-            bound, number, away = heapq.heappop(queue)
-            limit = reach()
-            if bound > limit + SLACK * bound:
+            bound, i, number, away = heapq.heappop(queue)
+            if bound > limit * (1 + SLACK) + SLACK * bound:
                 break
-            node = self.nodes[number]
+            tree = self.trees[i]
+            node = tree.nodes[number]
+            reach = limit * (1 + SLACK) + SLACK * away
             if "rows" in node:
-                near = node["rows"][np.abs(away - node["away"]) <= limit * (1 + SLACK) + SLACK * away]
-                near = near[self.ids[near] != query_id]
-                self.distances += len(near)
-                for score, other in zip((self.v[near] @ q).tolist(), self.ids[near].tolist()):
+                near = node["rows"][np.abs(away - node["away"]) <= reach]
+                tree.distances += len(near)
+                scores = tree.v[near] @ q
+                if len(best) == k:
+                    enough = scores >= best[0][0]
+                    near, scores = near[enough], scores[enough]
+                for score, other in zip(scores.tolist(), tree.ids[near].tolist()):
+                    if other == query_id:
+                        continue
                     if len(best) < k:
                         heapq.heappush(best, (score, -other))
                     elif (score, -other) > best[0]:
                         heapq.heapreplace(best, (score, -other))
+                if len(best) == k:
+                    limit = np.sqrt(max(level - 2 * best[0][0], 0.0)) + SLACK
                 continue
-            open_ = np.flatnonzero(np.abs(away - node["apart"]) - node["radii"] <= limit * (1 + SLACK) + SLACK * away)
-            self.distances += len(open_)
+            open_ = np.flatnonzero(np.abs(away - node["apart"]) - node["radii"] <= reach)
+            tree.distances += len(open_)
             there = np.sqrt(((node["centers"][open_] - lifted) ** 2).sum(axis=1))
             least = np.maximum(there - node["radii"][open_], 0.0)
-            for i in np.flatnonzero(least <= limit * (1 + SLACK)):
-                heapq.heappush(queue, (float(least[i]), int(node["children"][open_[i]]), float(there[i])))
+            for j in np.flatnonzero(least <= limit * (1 + SLACK)).tolist():
+                heapq.heappush(queue, (float(least[j]), i, int(node["children"][open_[j]]), float(there[j])))
         return best
 
 
@@ -169,22 +185,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     order = ["g", "kind", "dim", "cell", "part"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, trees, of, held = None, [], None, []
+        group, trees, forests, of, held = None, [], None, None, []
 
         def finish():
             """What the rows of one tree, or of one block of queries, come to."""
+            nonlocal forests
             ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
             v = np.concatenate([_matrix(b.column("v")) for b in held])
             if of[1] == 0:
                 trees.append((of[2], MTree(ids, v, longest)))
                 return None
+            if forests is None:  # all trees of a group come before its queries
+                forests = {dim: Forest([t for d, t in trees if d == dim]) for dim in {d for d, _ in trees}}
             out = [[], [], []]
             for query_id, q in zip(ids.tolist(), v):
-                best: list[tuple[int, int]] = []
-                for dim, tree in trees:
-                    if dim == of[2]:
-                        tree.search(query_id, q, k, longest, best)
-                for score, minus_id in best:
+                for score, minus_id in forests[of[2]].search(query_id, q, k, longest) if of[2] in forests else ():
                     for column, value in zip(out, (query_id, -minus_id, score)):
                         column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
@@ -202,7 +217,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     if done is not None:
                         yield done
                 if key[0] != group:
-                    group, trees = key[0], []
+                    group, trees, forests = key[0], [], None
                 of = key
                 held.append(batch.slice(start, stop - start))
         if held:

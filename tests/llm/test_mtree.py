@@ -48,6 +48,6 @@ def test_bounds_save_distances():
     v = np.concatenate([rng.normal(size=(400, 8)) * 5 + c for c in rng.normal(size=(8, 8)) * 400]).astype(np.int64)
     longest = int((v**2).sum(axis=1).max())
     tree = mtree.MTree(np.arange(len(v)), v, longest)
-    best = tree.search(-1, v[7], 5, longest, [])
+    best = mtree.Forest([tree]).search(-1, v[7], 5, longest)
     exact = sorted(((int(s), -i) for i, s in enumerate(v @ v[7])), reverse=True)[:5]
     assert sorted(best, reverse=True) == exact and tree.distances < len(v) / 2
