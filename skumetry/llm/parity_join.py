@@ -11,8 +11,8 @@ linked sets can differ in elements, so linked sets agree in at least one whole p
 that are no links, and the rest is verified on the sets themselves.
 
 Equal sets are one class from the start. A part that many classes share never gives all their
-pairs: a few rounds compare every class with one class of its part only and unite what links;
-then just the pairs of different components remain. Large parts are cut into blocks and handled
+pairs: first every class is compared with one class of its part only, then with the nearest of each
+other component, and what links is united; just the pairs of different components remain. Large parts are cut into blocks and handled
 block against block; sketches are compared inside the tasks and only pairs close enough leave
 them. This finds every component exactly.
 
@@ -36,8 +36,9 @@ from skumetry.llm import textbytes
 from skumetry.llm.graph import components
 from skumetry.llm.shared import stored
 
-#: Rounds in which each class meets one other class of each part it shares.
-LEADER_ROUNDS = 3
+#: Rounds in which each class meets one other class of each part it shares, and then rounds in
+#: which it meets the nearest class of each other component in the part.
+LEADER_ROUNDS, NEAREST_ROUNDS = 1, 1
 #: Classes of one part that a task compares at a time.
 BLOCK = 256
 
@@ -129,9 +130,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """One compressed text of each class in ``nodes``."""
     wanted = (
-        signed.join(nodes, "node").groupBy("node")
+        signed.where("node is not null").groupBy("node")
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash")).alias("of"))
-        .select("node", "of.*")
+        .join(nodes, "node").select("node", "of.*")
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +194,11 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.where(19 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct()
 
 
-def _near_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of different components that share a part and whose compact sketches are near enough."""
+def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of different components that share a part and whose compact sketches are near enough.
+
+    With ``nearest`` a class gives one pair for each other component: that with the nearest class.
+    """
     sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
     rows = (
@@ -216,7 +220,11 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
             j = slice(i + 1, None)
             apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
             hit = (19 * apart <= n[j] + n[i]) & (comps[j] != comps[i]) & (one_block | (block[j] != block[i]))
-            at = np.flatnonzero(hit) + i + 1
+            at = np.flatnonzero(hit)
+            if nearest and len(at) > 1:
+                at = at[np.lexsort((apart[at], comps[i + 1:][at]))]
+                at = at[np.r_[True, comps[i + 1:][at][1:] != comps[i + 1:][at][:-1]]]
+            at = at + i + 1
             a += [int(nodes[i])] * len(at)
             b += nodes[at].tolist()
         return a, b
@@ -256,7 +264,8 @@ def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     texts = stored(_texts(docs, signed, mixed.select("node").distinct()))
     sketches = stored(_sketches(signed))
     found = None
-    for turn in range(LEADER_ROUNDS + 1):
+    last = LEADER_ROUNDS + NEAREST_ROUNDS
+    for turn in range(last + 1):
         if mixed.isEmpty():
             break
         if turn < LEADER_ROUNDS:
@@ -264,10 +273,10 @@ def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
             met = mixed.join(mixed.groupBy("key").agg(leader).select("key", "l.*"), "key").where("component <> of")
             pairs = _close(met.select(F.col("node").alias("a"), F.col("guest").alias("guest_a"), "b", "guest_b").distinct(), sketches)
         else:
-            pairs = _near_pairs(mixed, sketches)
+            pairs = _near_pairs(mixed, sketches, nearest=turn < last)
         links = _verified(pairs, texts)
         found = stored(links if found is None else found.unionByName(links))
-        if turn < LEADER_ROUNDS:
+        if turn < last:
             labels = components(found)
             united = mixed.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             united = stored(united.select("key", "node", "guest", "component"))

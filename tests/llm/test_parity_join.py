@@ -60,9 +60,10 @@ def corpus():
     return [(i, t) for i, t in enumerate(rows)] + [(3, rows[3]), (None, rows[4]), (None, "nowhere else at all")]
 
 
-@pytest.mark.parametrize("rounds, block", [(3, 256), (0, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, rounds, block):
-    monkeypatch.setattr(parity_join, "LEADER_ROUNDS", rounds)
+@pytest.mark.parametrize("leaders, nearest, block", [(1, 1, 256), (0, 0, 4), (0, 1, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, leaders, nearest, block):
+    monkeypatch.setattr(parity_join, "LEADER_ROUNDS", leaders)
+    monkeypatch.setattr(parity_join, "NEAREST_ROUNDS", nearest)
     monkeypatch.setattr(parity_join, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, n_shingles int")
