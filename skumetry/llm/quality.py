@@ -38,7 +38,7 @@ GRAM_BITS = 8 * ORDER
 #: Entries of the model that may be broadcast: 96 MB.
 MODEL_ROWS = 8_000_000
 #: Counts that a task gathers before it hands them on.
-TASK_GRAMS = 4_000_000
+TASK_GRAMS = 1_500_000
 #: The band: so many scaled median absolute deviations below and above the median.
 BELOW, ABOVE = 6.0, 4.0
 #: The least scale, so that a language of very regular texts keeps a band of some width.
