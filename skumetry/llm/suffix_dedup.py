@@ -39,8 +39,10 @@ from skumetry.llm.shared import stored
 
 #: Bytes of the strings that count, and of the strings that minimizers are taken from.
 LENGTH, GRAM = 50, 16
+#: Strings in one stretch at most.
+MOST_STARTS = 64
 #: Bytes of text for each part, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 _LAST_ID = (1 << 63) - 1
 _KEY_BYTES = 5
@@ -129,7 +131,13 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(new)
     stop = valid.copy()
     stop[:-1] &= ~valid[1:] | new[1:]
-    return least[starts], starts, np.flatnonzero(stop) + 1
+    stops = np.flatnonzero(stop) + 1
+    # Texts of a short period have one minimizer from end to end. Cut into pieces, all of them
+    # come down to a few different stretches.
+    pieces = -(-(stops - starts) // MOST_STARTS)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begins = np.repeat(starts, pieces) + MOST_STARTS * number
+    return np.repeat(least[starts], pieces), begins, np.minimum(begins + MOST_STARTS, np.repeat(stops, pieces))
 
 
 class _Block:
