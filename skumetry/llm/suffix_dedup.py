@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 16
 #: Strings in one stretch at most.
 MOST_STARTS = 64
 #: Bytes of text for each part, about.
-PART_BYTES = 2 << 20
+PART_BYTES = 512 << 10
 
 _LAST_ID = (1 << 63) - 1
 _KEY_BYTES = 5
