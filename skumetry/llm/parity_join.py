@@ -1,7 +1,9 @@
 """N-gram Jaccard join with parity sketches (operator 7).
 
-Two documents link when their sets of three-word shingles have a Jaccard similarity of at least
-0.9. Of such sets with a and b elements at most (a + b) / 19 elements are in only one.
+Two documents link when their sets of shingles have a Jaccard similarity of at least t; a ``Rule``
+names t and the words of a shingle. Operator 7 owes three words and 0.9 (``CONTRACT``), the
+pipeline's stage five words and 0.8 (``NEAR_COPIES``). Of linked sets with a and b elements at
+most (a + b) (1 - t) / (1 + t) elements are in only one; for 0.9 these are (a + b) / 19.
 
 Each shingle is hashed to one bit of a sketch, and the bits of a set are combined by exclusive
 or. The Hamming distance of two sketches never exceeds the number of elements that only one set
@@ -16,6 +18,11 @@ other component, and what links is united; just the pairs of different component
 block against block; sketches are compared inside the tasks and only pairs close enough leave
 them. This finds every component exactly.
 
+Below ``LEAST_FOR_PARTS`` parts get so many that each holds few elements, and unrelated sets agree
+in some part by chance. There the keys are a set's first elements in one order of all shingles,
+one more than a linked set can lack: of two linked sets these have an element in common (prefix
+filter). Shingles that are frequent in a sample come last in the order; any order is exact.
+
 Shingles and sets are told apart by 64-bit hashes; with n different sets the chance that any
 two are confused is about n * n / 2**65.
 """
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,32 +49,56 @@ from skumetry.llm.shared import stored
 LEADER_ROUNDS, NEAREST_ROUNDS = 1, 1
 #: Classes of one part that a task compares at a time.
 BLOCK = 256
+#: The least similarity, in hundredths, for which parts of sketches are the keys.
+LEAST_FOR_PARTS = 90
+#: Texts in the sample that tells frequent shingles, the share of them that makes a shingle
+#: frequent, and how many frequent shingles are sent to every task.
+SAMPLED, FREQUENT, MOST_FREQUENT = 2000, 0.01, 50_000
+
+
+class Rule(NamedTuple):
+    """What links two texts: words of a shingle, and the least similarity in hundredths."""
+
+    words: int
+    percent: int
+
+    def allowed(self, sizes: int) -> int:
+        """How many elements only one of two linked sets can have, by the sum of their sizes."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
 
 
-def _bands() -> tuple[np.ndarray, np.ndarray]:
+CONTRACT, NEAR_COPIES = Rule(3, 90), Rule(5, 80)
+
+
+def _bands() -> np.ndarray:
     """Lower ends of the size bands, each about 1.6 times the one before."""
     lows = [1]
     while lows[-1] < 1 << 40:
         lows.append(max(lows[-1] + 1, lows[-1] * 8 // 5))
-    return np.array(lows), np.array([10 * (low - 1) // 9 for low in lows])
+    return np.array(lows)
 
 
-LOWS, GUESTS = _bands()
+LOWS = _bands()
 
 
 def band_of(size: int) -> int:
     return int(np.searchsorted(LOWS, size, "right")) - 1
 
 
-def differing(band: int) -> int:
+def largest_guest(band: int, rule: Rule = CONTRACT) -> int:
+    """The largest set that can link with one of the band below."""
+    return 100 * (int(LOWS[band]) - 1) // rule.percent
+
+
+def differing(band: int, rule: Rule = CONTRACT) -> int:
     """How many elements two linked sets of a band can differ in; the larger may be a guest."""
-    return (int(LOWS[band + 1]) - 1 + int(GUESTS[band + 1])) // 19
+    return rule.allowed(int(LOWS[band + 1]) - 1 + largest_guest(band + 1, rule))
 
 
-def groups_of(size: int) -> list[int]:
+def groups_of(size: int, rule: Rule = CONTRACT) -> list[int]:
     """The bands in which a set takes part: its own, and the one below if it can link there."""
     own = band_of(size)
-    return [own, own - 1] if own and size <= GUESTS[own] else [own]
+    return [own, own - 1] if own and size <= largest_guest(own, rule) else [own]
 
 
 def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -74,29 +106,41 @@ def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
 
 
-def part_keys(hashes: np.ndarray, band: int) -> np.ndarray:
+def part_keys(hashes: np.ndarray, band: int, rule: Rule = CONTRACT) -> np.ndarray:
     """One key for each part of the band's sketch: parts of 64 bits, one more than can differ."""
-    parts = differing(band) + 1
+    parts = differing(band, rule) + 1
     words = np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), 64 * parts)).view(np.uint64)
     where = (np.arange(parts) + (band << 40)).astype(np.uint64)
     return textbytes.join_hashes(words, where)
 
 
-def compact_sketch(hashes: np.ndarray, band: int) -> np.ndarray:
+def first_keys(hashes: np.ndarray, band: int, rule: Rule, frequent: np.ndarray) -> np.ndarray:
+    """One key for each of a set's first elements: one more than a linked set can lack.
+
+    Linked sets share at least ``percent`` hundredths of either. ``hashes`` and ``frequent`` are
+    sorted; frequent elements come last.
+    """
+    count = len(hashes) - -(-rule.percent * len(hashes) // 100) + 1
+    last = np.isin(hashes, frequent, assume_unique=True)
+    first = np.r_[hashes[~last], hashes[last]][:count]
+    return textbytes.join_hashes(first, np.full(count, band, np.uint64))
+
+
+def compact_sketch(hashes: np.ndarray, band: int, rule: Rule = CONTRACT) -> np.ndarray:
     """A sketch of 8 bits for each element that may differ, as 64-bit words."""
-    return np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x14057B7EF767814F)), 64 * (differing(band) // 8 + 1))).view(np.int64)
+    return np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x14057B7EF767814F)), 64 * (differing(band, rule) // 8 + 1))).view(np.int64)
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted hashes of each text's different shingles."""
+def shingle_sets(texts: pa.Array, n: int = CONTRACT.words) -> list[np.ndarray]:
+    """The sorted hashes of each text's different shingles of ``n`` words; a shorter text is one."""
     data, offsets = textbytes.flatten(texts, lower=True)
     starts, ends, firsts = textbytes.words(data, offsets)
     h = textbytes.range_hashes(data, starts, ends)
-    triples = textbytes.join_hashes(h[:-2], h[1:-1], h[2:]) if len(h) > 2 else h[:0]
+    runs = textbytes.join_hashes(*(h[i: len(h) - n + 1 + i] for i in range(n))) if len(h) >= n else h[:0]
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
-        if b - a >= 3:
-            out.append(np.unique(triples[a: b - 2]))
+        if b - a >= n:
+            out.append(np.unique(runs[a: b - n + 1]))
         else:
             out.append(textbytes.join_hashes(*(h[i: i + 1] for i in range(a, b))) if b > a else h[:0])
     return out
@@ -105,19 +149,39 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 SIGNATURES = "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, guest_keys array<long>, sketch array<long>, guest_sketch array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Set size, class (``node``), part keys and compact sketches of each document."""
+def frequent_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """The sorted hashes of shingles that many texts of a sample have, the most frequent at most."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textbytes.slices(batches):
+            own = shingle_sets(batch.column("text"), rule.words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["shingle"])
+
+    rows = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(rows // SAMPLED + 1)) == 0).select("text")
+    counts = sample.mapInArrow(sets, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    many = counts.where(F.col("n") >= max(2, int(FREQUENT * min(rows, SAMPLED)))).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
+    return np.sort(np.array([r.shingle for r in many.collect()], np.int64).view(np.uint64))
+
+
+def signatures(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """Set size, class (``node``), keys and compact sketches of each document."""
+    by_parts = rule.percent >= LEAST_FOR_PARTS
+    frequent = None if by_parts else frequent_shingles(docs, rule)
+
+    def keys_of(own: np.ndarray, band: int) -> np.ndarray:
+        return part_keys(own, band, rule) if by_parts else first_keys(own, band, rule, frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textbytes.slices(batches):
             sizes, nodes, keys, sketches = [], [], ([], []), ([], [])
-            for own in shingle_sets(batch.column("text")):
+            for own in shingle_sets(batch.column("text"), rule.words):
                 sizes.append(len(own))
                 nodes.append(int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)) if len(own) else None)
-                groups = groups_of(len(own)) if len(own) else []
+                groups = groups_of(len(own), rule) if len(own) else []
                 for i in (0, 1):
-                    keys[i].append(part_keys(own, groups[i]).view(np.int64) if i < len(groups) else [])
-                    sketches[i].append(compact_sketch(own, groups[i]) if i < len(groups) else None)
+                    keys[i].append(keys_of(own, groups[i]).view(np.int64) if i < len(groups) else [])
+                    sketches[i].append(compact_sketch(own, groups[i], rule) if i < len(groups) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  *(pa.array(k, pa.list_(pa.int64())) for k in (*keys, *sketches))],
@@ -148,20 +212,20 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=256)
-def _set_of(packed: bytes) -> np.ndarray:
-    return shingle_sets(pa.array([zstandard.decompress(packed).decode()]))[0]
+def _set_of(packed: bytes, n: int) -> np.ndarray:
+    return shingle_sets(pa.array([zstandard.decompress(packed).decode()]), n)[0]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of classes ``a``, ``b`` whose sets have a similarity of at least 0.9."""
+def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of classes ``a``, ``b`` whose sets are as similar as ``rule`` asks."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for tx, ty in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
-                p, q = _set_of(tx), _set_of(ty)
-                if 9 * (len(p) + len(q)) <= 19 * min(len(p), len(q)):
+                p, q = _set_of(tx, rule.words), _set_of(ty, rule.words)
+                if rule.percent * (len(p) + len(q)) <= (100 + rule.percent) * min(len(p), len(q)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
-                    links.append(100 * both >= 90 * (len(p) + len(q) - both))
+                    links.append(100 * both >= rule.percent * (len(p) + len(q) - both))
                 else:
                     links.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(m := pa.array(links)), batch.column(1).filter(m)], ["a", "b"])
@@ -182,7 +246,7 @@ def _sketches(signed: DataFrame) -> DataFrame:
     return one.select("node", F.col("n_shingles").alias("n"), F.explode(both).alias("of")).select("node", "n", "of.guest", "of.sketch").where("sketch is not null")
 
 
-def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
     """The pairs ``a``, ``b`` of one part whose compact sketches allow a link.
 
     ``guest_a`` and ``guest_b`` tell which of a class's sketches belongs to the part.
@@ -191,10 +255,10 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         own = sketches.select(F.col("node").alias(side), F.col("guest").alias(f"guest_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(own, [side, f"guest_{side}"])
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return pairs.where(19 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct()
+    return pairs.where((100 + rule.percent) * apart <= (100 - rule.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
-def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool, rule: Rule) -> DataFrame:
     """Pairs of different components that share a part and whose compact sketches are near enough.
 
     With ``nearest`` a class gives one pair for each other component: that with the nearest class.
@@ -219,7 +283,7 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool) -> DataFra
         for i in range(len(nodes)):
             j = slice(i + 1, None)
             apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
-            hit = (19 * apart <= n[j] + n[i]) & (comps[j] != comps[i]) & (one_block | (block[j] != block[i]))
+            hit = ((100 + rule.percent) * apart <= (100 - rule.percent) * (n[j] + n[i])) & (comps[j] != comps[i]) & (one_block | (block[j] != block[i]))
             at = np.flatnonzero(hit)
             if nearest and len(at) > 1:
                 at = at[np.lexsort((apart[at], comps[i + 1:][at]))]
@@ -253,7 +317,7 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool) -> DataFra
     return dealt.mapInArrow(compare, "a long, b long").select(*_ordered("a", "b")).distinct()
 
 
-def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def _class_links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a``, ``b`` between classes, enough to connect every component."""
     nodes = signed.where("node is not null")
     entries = nodes.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("guest")).union(
@@ -271,10 +335,10 @@ def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         if turn < LEADER_ROUNDS:
             leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("component").alias("of"), F.col("guest").alias("guest_b"))).alias("l")
             met = mixed.join(mixed.groupBy("key").agg(leader).select("key", "l.*"), "key").where("component <> of")
-            pairs = _close(met.select(F.col("node").alias("a"), F.col("guest").alias("guest_a"), "b", "guest_b").distinct(), sketches)
+            pairs = _close(met.select(F.col("node").alias("a"), F.col("guest").alias("guest_a"), "b", "guest_b").distinct(), sketches, rule)
         else:
-            pairs = _near_pairs(mixed, sketches, nearest=turn < last)
-        links = _verified(pairs, texts)
+            pairs = _near_pairs(mixed, sketches, nearest=turn < last, rule=rule)
+        links = _verified(pairs, texts, rule)
         found = stored(links if found is None else found.unionByName(links))
         if turn < last:
             labels = components(found)
@@ -285,15 +349,15 @@ def _class_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return found if found is not None else signed.sparkSession.createDataFrame([], "a long, b long")
 
 
-def _components(docs: DataFrame) -> DataFrame:
+def _components(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_shingles`` and ``component`` (null without shingles) of each row."""
-    signed = stored(signatures(docs))
-    labels = components(_class_links(docs, signed))
+    signed = stored(signatures(docs, rule))
+    labels = components(_class_links(docs, signed, rule))
     rows = signed.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left")
     return stored(rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component")))
 
 
-def link_components(docs: DataFrame) -> DataFrame:
+def link_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` that links reach, the row's own included. Texts
@@ -301,20 +365,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     kept and link with each other; a null ``doc_id`` takes part, but names no component unless
     nothing else does. Only ``doc_id`` and ``text`` of ``docs`` are read.
     """
-    rows = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule)
     first = stored(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return rows.join(first, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, rule: Rule = NEAR_COPIES) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of linked texts the one of smallest ``doc_id`` stays.
 
     Repeated rows count as copies, a null ``doc_id`` comes last. Texts without words all stay.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.xxhash64("text").alias("_hash")]
-    rows = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnRenamed("text_hash", "_hash")
+    rows = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rule).withColumnRenamed("text_hash", "_hash")
     rows = rows.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("_doc", "_hash")).alias("f")).select("f.*")
     stay = stored(first.union(rows.where("component is null").select("_doc", "_hash")).distinct())

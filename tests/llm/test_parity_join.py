@@ -105,3 +105,71 @@ def test_components_of_a_long_chain(spark):
     links = list(zip(ids, ids[1:])) + [(1000, 1001), (1001, 1002)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in ids} | {i: 1000 for i in (1000, 1001, 1002)}
+
+
+def shingles_of(text, n):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if len(words) < n:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(n))))
+
+
+def brute_stage(rows):
+    """The ids that stay: of texts linked by five words and 0.8 the smallest, and texts without words."""
+    sets = [shingles_of(text, 5) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    return sorted(min(rows[j][0] for j in range(len(rows)) if root(j) == root(i)) for i in range(len(rows)) if root(i) == i)
+
+
+def test_stage_equals_brute_force_on_five_words(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = []
+    for base in range(25):
+        own = [rng.choice(words) for _ in range(rng.choice([4, 8, 60, 130, 500]))] + ([line] if base % 2 else [])
+        texts.append(" ".join(own))
+        texts.append(" ".join(own + [rng.choice(words) for _ in range(len(own) * rng.choice([12, 16, 22, 26]) // 100)]))
+        edited = list(own)
+        for at in rng.sample(range(len(own)), max(1, len(own) * rng.choice([1, 2, 3]) // 100)):
+            edited[at] = rng.choice(words)
+        texts.append(" ".join(edited))
+    appended = " ".join(f"x{i}" for i in range(500))
+    texts += [appended, appended + " " + " ".join(f"y{i}" for i in range(80)), "", "", None]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_stage(rows)
+    assert sorted(r.doc_id for r in parity_join.one_of_each_group(docs).collect()) == expected
+    narrow = [r.doc_id for r in parity_join.one_of_each_group(docs, parity_join.CONTRACT).collect()]
+    assert len(narrow) > len(expected)
+
+
+def test_linked_sets_share_a_first_element():
+    rng = np.random.default_rng(3)
+    rule = parity_join.NEAR_COPIES
+    for size in [*range(1, 60), 100, 333, 1000, 4000]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            gone = rng.integers(0, size // 5 + 1)
+            b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 1 << 63, rng.integers(0, size // 5 + 1), dtype=np.uint64)])
+            both = size - gone
+            if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+                continue
+            frequent = np.sort(rng.permutation(a)[: size // 2])
+            shared = set(parity_join.groups_of(len(a), rule)) & set(parity_join.groups_of(len(b), rule))
+            assert any(np.intersect1d(*(parity_join.first_keys(x, g, rule, frequent) for x in (a, b))).size for g in shared)
+            for g in shared:
+                p, q = (parity_join.compact_sketch(x, g, rule).view(np.uint64) for x in (a, b))
+                assert int(np.bitwise_count(p ^ q).sum()) <= rule.allowed(len(a) + len(b))
