@@ -2,7 +2,9 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by their form. These seed
 entities then teach where personal data stands: the words before an entity are a pattern.
-Patterns and instances (identifiers with digits, whatever their form) make up a graph. In each
+Patterns and instances (entities, and candidates of unknown form) make up a graph. Candidates are
+runs of tokens with digits, spaced, bracketed or in one piece, for every kind, and addresses in
+other at-forms, with or without digits, for e-mail alone. In each
 iteration a pattern's confidence is the score of its instances over their number, held back
 where few different seeds support it, and an instance's score is the highest confidence of a
 pattern that it occurs with. Instances that occur after patterns of high confidence are found
@@ -31,8 +33,22 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: An identifier of unknown form: letters and digits in one piece, with at least four digits.
-CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z]{0,6}[0-9])[A-Za-z0-9](?:[._@-]?+[A-Za-z0-9]){5,63}+(?![A-Za-z0-9@_])"
+# A token holds a digit; its joints are within it. Tokens are joined by a space, brackets, a dash,
+# a slash or a spaced dot, and a plain word ends the run; a few capitals may stand between digits.
+_TOKEN = r"(?=[A-Za-z._@-]{0,64}[0-9])[A-Za-z0-9](?:[._@-]?+[A-Za-z0-9]){0,63}+(?![A-Za-z0-9@_])"
+_SPACE = "[  ]"
+_JOINT = rf"[)\]]?(?:{_SPACE}?[-–/]{_SPACE}?|{_SPACE}\.{_SPACE}|{_SPACE}?[(\[]|{_SPACE}|(?<=[)\]]))"
+#: An identifier of unknown form: a run of tokens, with at least four digits and six letters or digits.
+CANDIDATE = rf"(?<![A-Za-z0-9@._%+-])\+?[(\[]?{_TOKEN}(?:{_JOINT}(?:[A-Z]{{1,4}}{_SPACE}(?=[0-9]))?{_TOKEN}){{0,15}}+"
+
+_AT = r"(?i:at|ät|arroba|arobase|@)"
+_DOT = rf"(?:\.| \. (?=\p{{Ll}})| ?[(\[{{<] ?(?i:dot|punkt|point|punto|\.) ?[)\]}}>] ?| (?i:dot|punkt|point|punto) )"
+#: An e-mail address of unknown form: any mark for at; an at between blanks asks for a dot after it.
+MAIL = (
+    r"(?<![\p{L}0-9._%+-])[\p{L}0-9%+]++(?:[._-][\p{L}0-9%+]++){0,10}?"
+    rf"(?:(?: ?@ ?| ?[(\[{{<] ?{_AT} ?[)\]}}>] ?)[\p{{L}}0-9-]++(?:{_DOT}[\p{{L}}0-9-]++){{0,8}}+"
+    rf"|[ _-](?i:at)[ _-][\p{{L}}0-9-]++(?:{_DOT}[\p{{L}}0-9-]++){{1,8}}+)"
+)
 
 #: Words of context before an entity, and how many of its characters are looked at.
 CONTEXT = 48
@@ -73,6 +89,11 @@ def _digits(token: Column) -> Column:
     return F.regexp_replace(token, "[^0-9]", "")
 
 
+def _is_run(token: Column) -> Column:
+    """Whether a candidate may be of any kind; others may be e-mail addresses only."""
+    return token.rlike(f"^(?:{CANDIDATE})$") & (F.length(_digits(token)) >= 4) & (F.length(F.regexp_replace(token, "[^A-Za-z0-9]", "")) >= 6)
+
+
 def _passes_luhn(digits: Column) -> Column:
     """Whether a string of digits has a valid check digit."""
     every = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.lit(0)))
@@ -116,8 +137,10 @@ def find_entities(docs: DataFrame) -> DataFrame:
     pattern = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     keep = [c for c in docs.columns if c not in ("text", "base", "others")]
     base = F.concat(*[_spans(_matches(text, pattern[k], likely[k]), k) for k in KINDS])
+    runs = F.filter(_matches(text, CANDIDATE, text.rlike("[0-9]")), lambda m: _is_run(m["token"]))
+    mails = F.filter(_matches(text, MAIL, text.rlike(rf"@|[(\[{{<] ?{_AT} ?[)\]}}>]|[ _-](?i:at)[ _-]")), lambda m: ~_is_run(m["token"]))
     others = F.transform(
-        F.filter(_matches(text, CANDIDATE, text.rlike("[0-9]")), lambda m: F.length(_digits(m["token"])) >= 4),
+        F.concat(runs, mails),
         lambda m: F.struct(F.lit(None).cast("int").alias("kind"), m["begin"].alias("begin"), (m["begin"] + F.length(m["token"])).alias("end"), m["token"].alias("token"), m["left"].alias("left")),
     )
     found = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("base"), others.alias("others"))
@@ -131,30 +154,35 @@ def _pattern(left: Column) -> Column:
     return F.nullif(F.concat_ws(" ", F.slice(F.reverse(F.transform(words, lambda w: F.regexp_replace(w, "[0-9]", "0"))), 1, 2)), F.lit(""))
 
 
+def _mail_only(entity: str) -> Column:
+    return F.col(f"{entity}.kind").isNull() & ~_is_run(F.col(f"{entity}.token"))
+
+
 def pattern_confidences(found: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """``pattern``, ``kind``, ``confidence``: how surely a pattern precedes a kind of entity."""
-    entity = F.explode(F.concat("base", "others"))
+    entity, is_mail = F.explode(F.concat("base", "others")), F.col("kind") == KINDS.index("email")
     edges = stored(
-        found.select(entity.alias("e")).select(_pattern(F.col("e.left")).alias("pattern"), F.col("e.token").alias("instance"), F.col("e.kind").alias("kind"))
+        found.select(entity.alias("e")).select(_pattern(F.col("e.left")).alias("pattern"), F.col("e.token").alias("instance"), F.col("e.kind").alias("kind"), _mail_only("e").alias("mail"))
         .where("pattern is not null").distinct()
     )
     seeds = edges.where("kind is not null")
     supported = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
-    usable = stored(supported.join(total, "pattern"))
-    candidates = stored(edges.where("kind is null").join(usable.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance"))
+    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("every"), F.count_if("mail").alias("mails"))
+    instances = F.col("every") - F.when(is_mail, 0).otherwise(F.col("mails"))
+    usable = stored(supported.join(total, "pattern").select("pattern", "kind", "seeds", instances.alias("instances")))
+    candidates = stored(edges.where("kind is null").join(usable.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance", "mail"))
     scores = None
     for _ in range(iterations):
         share = F.col("seeds") / (F.col("instances") + HELD_BACK)
         if scores is None:
             confident = usable.select("pattern", "kind", share.alias("confidence"))
         else:
-            gained = candidates.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
+            gained = candidates.join(scores, "instance").where(~F.col("mail") | is_mail).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
             confident = usable.join(gained, ["pattern", "kind"], "left").select(
                 "pattern", "kind", (share + F.coalesce("gained", F.lit(0.0)) / (F.col("instances") + HELD_BACK)).alias("confidence")
             )
         confident = stored(confident)
-        scores = stored(candidates.join(confident, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score")))
+        scores = stored(candidates.join(confident, "pattern").where(~F.col("mail") | is_mail).groupBy("instance", "kind").agg(F.max("confidence").alias("score")))
     return confident
 
 
@@ -168,12 +196,15 @@ def extract(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFram
     keep = [c for c in docs.columns if c not in ("text", "base", "found", "others", "_row")]
     entities = stored(find_entities(docs.select(*[F.col(f"`{c}`") for c in keep], "text", F.xxhash64("text").alias("_row"))))
     confident = pattern_confidences(entities).where(F.col("confidence") >= min_confidence)
-    best = confident.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    best = confident.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind")).withColumn("mail", F.lit(False))
+    best = best.unionByName(confident.where(F.col("kind") == KINDS.index("email")).select("pattern", "kind", F.lit(True).alias("mail")))
     # Texts are told apart by their hash and their candidates, so equal texts are searched once.
     one = entities.where(F.size("others") > 0).select("_row", F.explode("others").alias("o")).select(
-        "_row", "o.begin", "o.end", _pattern(F.col("o.left")).alias("pattern")
+        "_row", "o.begin", "o.end", _pattern(F.col("o.left")).alias("pattern"), _mail_only("o").alias("mail")
     ).distinct()
-    hits = one.join(best, "pattern").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("kind", "begin", "end"))).alias("found"))
+    # A run and an address that begin together are one entity, the longer.
+    longest = one.join(best, ["pattern", "mail"]).groupBy("_row", "kind", "begin").agg(F.max("end").alias("end"))
+    hits = longest.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("kind", "begin", "end"))).alias("found"))
     plain = F.transform("base", lambda b: F.struct(b["kind"], b["begin"], b["end"]))
     none = F.array().cast("array<struct<kind:int,begin:int,end:int>>")
     return (

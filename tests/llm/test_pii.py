@@ -93,3 +93,27 @@ def test_query_columns(spark, tmp_path):
 
 def test_no_documents(spark):
     assert pii.extract(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+FORMS = {
+    "card": ["4539 5787 6362 1487", "AB-123456", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "[4539]-5787-6362"],
+    "phone": ["030 123 4567", "(030) 1234567", "030 / 123 45 67", "030-123-4567", "030 (123) 4567", "030.123.4567"],
+    "email": ["anna(at)firma.de", "anna.b [at] firma [dot] de", "anna at firma dot de", "anna @ firma.de", "anna_at_firma.de", "änne{at}firma.de", "anna77(at)firma.de"],
+}
+
+
+def test_patterns_find_spaced_bracketed_and_digit_free_forms(spark):
+    before = {"card": "charged to card", "phone": "please call line", "email": "write mail under"}
+    rows = [(i, t) for i, t in planted() if i < 20]
+    rows += [(100 + i, f"lo mi please call line +49 30 55512{i:02d} ta") for i in range(20)]
+    rows += [(200 + i, f"lo mi write mail under user{i}@example.org ta") for i in range(30)]
+    planned = {300 + i: x for i, x in enumerate((k, f) for k in FORMS for f in FORMS[k])}
+    rows += [(i, f"lo mi {before[k]} {f} ta ru sen") for i, (k, f) in planned.items()]
+    rows += [(400, "lo charged to card anna(at)firma.de ta"), (401, "lo order number is (030) 1234567 ta"), (402, "lo charged to card well-known ta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(pii.KINDS[s.kind], s.begin, s.end) for s in r.found] for r in pii.extract(docs).collect()}
+    text = dict(rows)
+    for i, (kind, form) in planned.items():
+        at = text[i].index(form)
+        assert found[i] == [(kind, at, at + len(form))], (form, found[i])
+    assert not any(found[i] for i in found if i not in planned)
