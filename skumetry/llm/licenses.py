@@ -142,23 +142,29 @@ def matches(words: np.ndarray, template: np.ndarray, min_coverage: float) -> lis
         return []
     width = int(size * (1 + STRETCH)) + 1
     upto = np.r_[0, np.cumsum(known)]
-    held = upto[np.minimum(np.arange(len(words)) + width, len(words))] - upto[:-1]
-    can = np.flatnonzero(known & (held >= min_coverage * size))
-    out, target, at = [], template.tolist(), 0
-    while at < len(can):
-        # The best of the windows that begin within a template's length of this one.
-        near = can[at: np.searchsorted(can, can[at] + size)]
-        fullest = near[held[near] == held[near].max()]
-        begins = sorted({int(fullest[0]), int(fullest[-1]), int(near[0])})
-        best = _best(target, words, [(b, b + width) for b in begins], None)
-        if best:  # the window may have begun too early or late: look around what was matched
-            best = _best(target, words, [(max(best[1] - size // 4, 0), best[2] + 1 + size // 4)], best)
-        if best and best[0] >= min_coverage * size:
-            out.append((best[0] / size, best[1], best[2]))
-            at = int(np.searchsorted(can, best[2] + 1))
-        else:
-            at += 1
-    return out
+    out, target, todo = [], template.tolist(), [(0, len(words))]
+    while todo:
+        low, high = todo.pop()
+        held = upto[np.minimum(np.arange(low, high) + width, high)] - upto[low:high]
+        can = low + np.flatnonzero(known[low:high] & (held >= min_coverage * size))
+        at, free = 0, low
+        while at < len(can):
+            # The best of the windows that begin within a template's length of this one.
+            near = can[at: np.searchsorted(can, can[at] + size)]
+            fullest = near[held[near - low] == held[near - low].max()]
+            begins = sorted({int(fullest[0]), int(fullest[-1]), int(near[0])})
+            best = _best(target, words, [(b, min(b + width, high)) for b in begins], None)
+            if best:  # the window may have begun too early or late: look around what was matched
+                best = _best(target, words, [(max(best[1] - size // 4, free), min(best[2] + 1 + size // 4, high))], best)
+            if best and best[0] >= min_coverage * size:
+                out.append((best[0] / size, best[1], best[2]))
+                # Stretches that end before the match are still to be looked at.
+                todo.append((max(min(int(can[at]), best[1] - width), free), best[1]))
+                free = best[2] + 1
+                at = int(np.searchsorted(can, free))
+            else:
+                at += 1
+    return sorted(out, key=lambda m: m[1])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:

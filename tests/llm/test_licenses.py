@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pyarrow as pa
+import pytest
+
 from skumetry.llm import licenses
 
 
@@ -59,3 +62,30 @@ def test_scan(spark):
             first, last = licenses.TEMPLATES[m.name].lower().split()[0], licenses.TEMPLATES[m.name].lower().split()[-1].rstrip(".")
             assert words.startswith(first) and words.endswith(last)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def brute(words, template):
+    """Of the stretches that align, over all windows, the best, then the best that does not overlap, and so on."""
+    target, words = template.tolist(), words.tolist()
+    width, found = int(len(target) * (1 + licenses.STRETCH)) + 1, set()
+    for a in range(len(words)):
+        for b in range(a + 1, min(a + width, len(words)) + 1):
+            pairs = licenses.align(target, words[a:b])
+            if len(pairs) >= licenses.MIN_COVERAGE * len(target):
+                found.add((-len(pairs), pairs[-1][1] - pairs[0][1], a + pairs[0][1], a + pairs[-1][1]))
+    out = []
+    for n, _, i, j in sorted(found):
+        if all(j < p or i > q for _, p, q in out):
+            out.append((-n / len(target), i, j))
+    return sorted(out, key=lambda m: m[1])
+
+
+@pytest.mark.parametrize("name, drop", [("MIT-notice", [2]), ("MIT-notice", [0]), ("CC-BY-4.0", [3, 9]), ("GPL-3.0-line", [5])])
+@pytest.mark.parametrize("order", ["ex", "xe", "eex", "exe", "exx", "xex", "eexe", " e x"])
+def test_adjacent_notices_equal_brute_force(name, drop, order):
+    exact = licenses.TEMPLATES[name].replace(".", " ").replace("-", " ").split()
+    edited = [w for i, w in enumerate(exact) if i not in drop]
+    text = " ".join(" ".join({"e": edited, "x": exact, " ": ["river"] * 3}[c]) for c in order)
+    template, words = (licenses.hashed_words(pa.array([t]))[0] for t in (licenses.TEMPLATES[name], text))
+    got = licenses.matches(words, template, licenses.MIN_COVERAGE)
+    assert len(got) == len(order.replace(" ", "")) and got == brute(words, template)
