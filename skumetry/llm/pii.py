@@ -222,8 +222,8 @@ def listed(spans: Column) -> Column:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``base`` and ``found`` in its text replaced by ``[KIND]``.
 
-    Where spans of different kinds overlap, the one that begins first is replaced, and of those
-    the longest. ``base`` and ``found`` are dropped.
+    Where spans overlap, all that they cover is replaced by the kind of the one that begins first,
+    and of those the longest. ``base`` and ``found`` are dropped.
     """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     spans = F.array_sort(
@@ -233,7 +233,7 @@ def masked(docs: DataFrame) -> DataFrame:
     pieces = F.aggregate(
         spans,
         start,
-        lambda acc, s: F.when(s["begin"] < acc["at"], acc).otherwise(
+        lambda acc, s: F.when(s["begin"] < acc["at"], F.struct(F.greatest(acc["at"], -s["minus_end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct((-s["minus_end"]).alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["begin"] - acc["at"]), names[s["kind"]])).alias("out"))
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),

@@ -117,3 +117,10 @@ def test_patterns_find_spaced_bracketed_and_digit_free_forms(spark):
         at = text[i].index(form)
         assert found[i] == [(kind, at, at + len(form))], (form, found[i])
     assert not any(found[i] for i in found if i not in planned)
+
+
+def test_overlapping_spans_are_masked_to_the_last_end(spark):
+    rows = [(1, "at 10.0.0.0 4539578763621486 it"), (2, "at 10.0.0.0 or 4539578763621486 it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.masked(pii.extract(docs).join(docs, "doc_id")).collect()}
+    assert got == {1: "at [IP] it", 2: "at [IP] or [CARD] it"}
