@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skumetry.llm import byte_bpe, chunk_dedup, licenses, mixing, mtree, parity_join, pii, quality, suffix_dedup, toxicity
+from skumetry.llm import (
+    byte_bpe, chunk_dedup, hard_negatives, language_codes, lexical, licenses, mixing, mtree, parity_join, pii, quality, suffix_dedup, toxicity,
+)
 from skumetry.llm.shared import shipped, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +80,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN)
 
 
+def op11_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    model = language_codes.learn(docs.where(fold != 2), F.col("lang"))
+    found = language_codes.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous", "bits")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = {
         "op1_chunk_dedup": op1_chunk_dedup,
@@ -90,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mtree_top_k": op9_mtree_top_k,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_language_codes": op11_language_codes,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_hard_negatives": op13_hard_negatives,
     }
     return {name: shipped(run) for name, run in every.items()}
 
@@ -97,4 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_hierarchical_mix": mixing.mix_sql("SELECT * FROM documents", "doc_id, domain, lang, source, mix_tokens AS n_words, epoch"),
+        "op9_mtree_top_k": mtree.ORACLE_SQL,
+        "op12_lexical_search": lexical.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
