@@ -7,6 +7,7 @@ total of the ranges before it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from skumetry.session import written
 RANGE = "_range"
 #: Rows that are looked at, for each range, to place its borders.
 BORDER_SAMPLE = 40
+#: A table with fewer rows for each range gets fewer ranges: sorting so many takes one task no time.
+LEAST_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -33,14 +36,15 @@ class SortKey:
         return F.col(self.name).desc() if self.falling else F.col(self.name).asc()
 
 
-def _borders(df: DataFrame, keys: Sequence[SortKey], ranges: int) -> list[Row]:
+def _borders(df: DataFrame, keys: Sequence[SortKey], ranges: int, rows: int) -> list[Row]:
     """The first rows of all ranges but the first, from a sample whose size the ranges bound.
 
     Rows are drawn by a hash of all their sort columns, so equal leading values are drawn, and
     split, like any others.
     """
+    if ranges < 2:
+        return []
     names = [k.name for k in keys]
-    rows = df.count()
     wanted = BORDER_SAMPLE * ranges
     share = max(1, rows // wanted)
     sample = df.where(F.pmod(F.xxhash64(*names), F.lit(share)) == 0).select(*names)
@@ -48,14 +52,35 @@ def _borders(df: DataFrame, keys: Sequence[SortKey], ranges: int) -> list[Row]:
     return [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else []
 
 
-def _not_before(keys: Sequence[SortKey], border: Row, types: Mapping[str, T.DataType]) -> Column:
-    """Whether a row stands at or behind a border."""
-    result = F.lit(True)
-    for key, value in reversed(list(zip(keys, border))):
-        limit = F.lit(value).cast(types[key.name])
-        behind = F.col(key.name) < limit if key.falling else F.col(key.name) > limit
-        result = behind | ((F.col(key.name) == limit) & result)
-    return result
+def _range_number(keys: Sequence[SortKey], borders: Sequence[Row], types: Mapping[str, T.DataType]) -> Column:
+    """How many borders a row stands at or behind, by binary search.
+
+    The borders are one constant array and the search is one fold over its halving steps, so the
+    expression is as deep for thousands of ranges as for two.
+    """
+    if not borders:
+        return F.lit(0)
+    # One text is parsed once, while the plan is optimized; an expression for each border would
+    # make the plan itself grow.
+    fields = T.StructType([T.StructField(f"k{i}", types[k.name]) for i, k in enumerate(keys)])
+    texts = [{f"k{i}": value if isinstance(value, (int, float)) else str(value) for i, value in enumerate(border)} for border in borders]
+    sorted_borders = F.from_json(F.lit(json.dumps(texts)), T.ArrayType(fields))
+    steps = [1 << bit for bit in reversed(range(len(borders).bit_length()))]
+
+    def not_before(border: Column) -> Column:
+        result = F.lit(True)
+        for i, key in reversed(list(enumerate(keys))):
+            value, limit = F.col(key.name), border[f"k{i}"]
+            behind = value < limit if key.falling else value > limit
+            result = behind | ((value == limit) & result)
+        return result
+
+    def halve(passed: Column, step: Column) -> Column:
+        further = passed + step
+        # get() counts from 0 and gives null behind the end, where no row stands.
+        return F.when(not_before(F.get(sorted_borders, further - 1)), further).otherwise(passed)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
 
 
 def running_totals(
@@ -68,16 +93,15 @@ def running_totals(
 
     ``keys`` must be a total order. ``df`` is read several times, so it should be a written
     table. Range borders are constants, so a row's range depends on the row alone, and the rows
-    are shuffled once. Equal leading sort values are split by the later sort columns, so a value
+    are shuffled once. There are as many ranges as ``ranges`` says, or as the session has shuffle
+    partitions if the table has rows for them. Equal leading sort values are split by the later sort columns, so a value
     shared by many rows does not end up in one range.
     """
     inputs = {name: f"_{name}" for name in measures}
-    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    borders = _borders(df, keys, wanted)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    number = F.lit(0)
-    for border in borders:
-        number = number + _not_before(keys, border, types).cast("int")
+    rows = df.count()
+    wanted = ranges or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // LEAST_ROWS + 1)
+    borders = _borders(df, keys, wanted, rows)
+    number = _range_number(keys, borders, {f.name: f.dataType for f in df.schema.fields})
     split = df.withColumns({inputs[name]: value for name, value in measures.items()} | {RANGE: number})
     # One row per range, a number set by the session: the single-task window and the
     # broadcast below do not grow with the data.

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from skumetry.operators import ranking
@@ -44,13 +44,50 @@ def test_running_totals_equal_the_single_task_window(spark, name, ranges):
     assert sorted(map(tuple, ours.select(columns).collect())) == sorted(map(tuple, naive.collect()))
 
 
+def range_sizes(data, keys, ranges):
+    borders = ranking._borders(data, keys, ranges, data.count())
+    number = ranking._range_number(keys, borders, {f.name: f.dataType for f in data.schema.fields})
+    return {r["n"]: r["count"] for r in data.groupBy(number.alias("n")).count().collect()}
+
+
 def test_equal_values_are_spread_over_ranges(spark):
-    data = table(spark, [5.0] * 6000)
-    borders = ranking._borders(data, KEYS, 6)
-    types = {f.name: f.dataType for f in data.schema.fields}
-    number = sum((ranking._not_before(KEYS, b, types).cast("int") for b in borders), F.lit(0))
-    sizes = [r["count"] for r in data.groupBy(number).count().collect()]
-    assert len(sizes) == 6 and max(sizes) < 2000
+    sizes = range_sizes(table(spark, [5.0] * 6000), KEYS, 6)
+    assert len(sizes) == 6 and max(sizes.values()) < 2000
+
+
+@pytest.mark.parametrize("borders", [0, 1, 2, 3, 7, 8, 4000])
+def test_binary_search_counts_the_borders_passed(spark, borders):
+    rows = sorted({(random.randint(0, 600), f"S{random.randint(0, 99):02d}") for _ in range(30_000)}, key=lambda r: (-r[0], r[1]))
+    chosen = sorted(random.sample(range(len(rows)), borders))
+    limits = [Row(total_revenue=Decimal(rows[i][0]), stock_code=rows[i][1]) for i in chosen]
+    data = spark.createDataFrame([(c, Decimal(v), p) for p, (v, c) in enumerate(rows)], "stock_code string, total_revenue decimal(18,2), place int")
+    number = ranking._range_number(KEYS, limits, {f.name: f.dataType for f in data.schema.fields})
+    found = {r.place: r.n for r in data.select("place", number.alias("n")).collect()}
+    assert found == {p: sum(i <= p for i in chosen) for p in range(len(rows))}
+
+
+def test_more_ranges_than_a_deep_expression_could_hold(spark):
+    values = [round(random.paretovariate(0.9), 2) for _ in range(20_000)]
+    data = ranking.written(table(spark, values).repartition(4))
+    ours = ranking.running_totals(data, KEYS, {"rev": F.col("total_revenue"), "n": F.lit(1).cast("long")}, 400)
+    running, total = Decimal(0), sum(Decimal(str(v)) for v in values)
+    expected = {}
+    for place, (value, code) in enumerate(sorted(((Decimal(str(v)), f"S{i:05d}") for i, v in enumerate(values)), key=lambda r: (-r[0], r[1]))):
+        running += value
+        expected[code] = (running, place + 1, total, len(values))
+    found = {r.stock_code: (r.rev_running, r.n_running, r.rev_total, r.n_total) for r in ours.collect()}
+    assert found == expected
+
+
+def test_small_tables_get_few_ranges_and_the_plan_stays_flat(spark):
+    data = ranking.written(table(spark, REVENUES["skewed"]))
+    session_ranges = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        plan = ranking.running_totals(data, KEYS, {"n": F.lit(1).cast("long")})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", session_ranges)
+    assert "REPARTITION_BY_NUM" in plan and ", 3000), REPARTITION" not in plan
 
 
 @pytest.mark.parametrize("values", [
