@@ -623,6 +623,60 @@ FROM (
   FROM graded AS g JOIN weekly AS w ON g.stock_code = w.stock_code
   WHERE weeks >= 3 AND cv IS NOT NULL AND xyz = 'Z' GROUP BY g.stock_code, abc
 )""",
+        "ext_stock_gap": f"""WITH {rop_cte()}, moves AS (
+  SELECT stock_code, CAST(invoice_date AS DATE) AS day, sum(CASE WHEN quantity < 0 THEN -quantity ELSE 0 END) AS back,
+         sum(CASE WHEN quantity > 0 THEN quantity ELSE 0 END) AS out
+  FROM tx WHERE stock_code IN (SELECT stock_code FROM rop) GROUP BY ALL
+), balance AS (
+  SELECT stock_code, day, sum(back) OVER w AS back, sum(out) OVER w AS out FROM moves WINDOW w AS (PARTITION BY stock_code ORDER BY day)
+), reviews AS (
+  SELECT stock_code, last_day(unnest(generate_series(date_trunc('month', min(day)), date_trunc('month', max(day)), INTERVAL 1 MONTH))) AS review
+  FROM moves GROUP BY stock_code
+), found AS (
+  SELECT rop.*, review, CAST(ceil(mean * 4) AS BIGINT) AS opening, CAST(coalesce(back, 0) AS BIGINT) AS back, CAST(coalesce(out, 0) AS BIGINT) AS out
+  FROM reviews ASOF LEFT JOIN balance ON reviews.stock_code = balance.stock_code AND review >= day JOIN rop ON reviews.stock_code = rop.stock_code
+)
+SELECT stock_code, abc AS abc_class, cell AS abc_xyz, CAST(review AS VARCHAR) AS review_day, opening AS opening_stock, back AS received_to_date,
+       out AS issued_to_date, opening + back - out AS stock_on_hand, CAST(point AS BIGINT) AS reorder_point,
+       CAST(opening + back - out - point AS BIGINT) AS stock_gap, opening + back - out < point AS below_reorder_point
+FROM found""",
+        "ext_measured_lead_time": f"""WITH {rop_cte()}, days AS (
+  SELECT clean.stock_code, date_diff('day', CAST(o_orderdate AS DATE), CAST(invoice_date AS DATE)) AS d
+  FROM clean JOIN orders ON CAST(o_orderkey AS VARCHAR) = invoice_no WHERE clean.stock_code IN (SELECT stock_code FROM rop)
+), own AS (SELECT stock_code, count(*) AS events, avg(d) AS m, var_samp(d) AS v FROM days WHERE d >= 0 GROUP BY ALL),
+of_class AS (
+  SELECT abc, count(*) AS cn, avg(d) AS cm, var_samp(d) AS cv2 FROM days JOIN rop USING (stock_code) WHERE d >= 0 GROUP BY ALL
+), filled AS (
+  SELECT rop.stock_code, rop.abc, mean, std, z, coalesce(events, 0) AS n, CASE WHEN cn > 1 THEN cm ELSE lt * 7 END AS m0, m,
+         CASE WHEN cn > 1 THEN cv2 ELSE pow(CASE rop.abc WHEN 'A' THEN 3.5 WHEN 'B' THEN 5.25 ELSE 7.0 END, 2) END AS v0, v
+  FROM rop LEFT JOIN own USING (stock_code) LEFT JOIN of_class ON rop.abc = of_class.abc
+), shrunk AS (
+  SELECT *, (n * coalesce(m, m0) + 10 * m0) / (n + 10) / 7 AS lm, (n * coalesce(v, v0) + 10 * v0) / (n + 10) / 49 AS lv FROM filled
+)
+SELECT stock_code, abc AS abc_class, n AS n_lead_times, round(lm, 6) AS lead_time_weeks, round(sqrt(lv), 6) AS lead_time_std_weeks,
+       round(z * sqrt(lm * std * std + mean * mean * lv), 6) AS safety_stock,
+       round(mean * lm + z * sqrt(lm * std * std + mean * mean * lv), 6) AS reorder_point FROM shrunk""",
+        "ext_lead_time_percentile": f"""WITH {graded_cte()}, erratic AS (
+  SELECT stock_code, abc, CASE abc WHEN 'A' THEN 2 WHEN 'B' THEN 3 ELSE 4 END AS lead, CASE abc WHEN 'A' THEN 0.98 WHEN 'B' THEN 0.95 ELSE 0.90 END AS level
+  FROM graded WHERE weeks >= 3 AND cv IS NOT NULL AND xyz = 'Z'
+), calendar AS (
+  SELECT stock_code, abc, lead, level, unnest(generate_series(first_week, last_week, INTERVAL 7 DAY))::DATE AS week_start
+  FROM erratic JOIN (SELECT stock_code, min(week_start) AS first_week, max(week_start) AS last_week FROM weekly GROUP BY ALL) USING (stock_code)
+), series AS (
+  SELECT calendar.*, coalesce(qty, 0) AS qty, count(*) OVER (PARTITION BY calendar.stock_code) AS n,
+         row_number() OVER (PARTITION BY calendar.stock_code ORDER BY calendar.week_start) AS place
+  FROM calendar LEFT JOIN weekly ON calendar.stock_code = weekly.stock_code AND calendar.week_start = weekly.week_start
+), sums AS (
+  SELECT a.stock_code, a.abc, a.lead, a.level, a.n, a.place, sum(b.qty)::DOUBLE AS demand
+  FROM series AS a JOIN series AS b ON a.stock_code = b.stock_code AND b.place BETWEEN a.place AND a.place + a.lead - 1
+  WHERE a.place <= greatest(1, a.n - a.lead + 1) GROUP BY ALL
+), points AS (
+  SELECT stock_code, abc, lead, n, CASE abc WHEN 'A' THEN quantile_cont(demand, 0.98) WHEN 'B' THEN quantile_cont(demand, 0.95) ELSE quantile_cont(demand, 0.90) END AS point
+  FROM sums GROUP BY stock_code, abc, lead, n
+)
+SELECT p.stock_code, abc AS abc_class, CAST(n AS INTEGER) AS series_weeks, round(point, 6) AS reorder_point,
+       round(greatest(point - total * least(lead, n) / n, 0), 6) AS safety_stock
+FROM points AS p JOIN (SELECT stock_code, sum(qty)::DOUBLE AS total FROM weekly GROUP BY ALL) AS t ON p.stock_code = t.stock_code""",
         "sku_master_script": _master(True),
         "abc_summary_script": _abc_summary(True),
         "xyz_summary_script": _xyz_summary(True),

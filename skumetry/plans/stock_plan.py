@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skumetry import schemas
-from skumetry.operators import classes, cleaning, exports, extensions, rationalise, reorder, reports, sku, summaries
+from skumetry.operators import classes, cleaning, exports, extensions, ledger, rationalise, reorder, reports, sku, summaries
 from skumetry.policy import Policy
 from skumetry.session import written
 
@@ -32,7 +32,8 @@ class StockPlan:
     """``transactions`` is a table, or a source that gives the asked-for columns of one.
 
     A source, called with columns, can leave out the work behind columns a stage does not
-    read, such as joins. One with a method ``text_counts`` counts descriptions itself.
+    read, such as joins. One with methods ``text_counts``, ``buyer_pairs`` or ``lead_events``
+    counts descriptions, finds buyers or measures lead times itself.
     """
 
     def __init__(self, transactions: DataFrame | TransactionSource, policy: Policy | None = None) -> None:
@@ -67,15 +68,28 @@ class StockPlan:
     def demand_stats(self) -> DataFrame:
         return sku.demand_stats(self.week_rollup, self.policy)
 
+    def buyers_of(self, codes: DataFrame | None = None) -> DataFrame:
+        """Distinct invoices and customers of each SKU, or of each of ``codes``, whose lines alone are read."""
+        find = getattr(self._transactions, "buyer_pairs", None)
+        if find is not None:
+            pairs = find(CLEANING, self._clean_typed, codes)
+        else:
+            lines = self.clean(BUYERS)
+            pairs = lines if codes is None else lines.join(codes, "stock_code", "left_semi")
+        return sku.sku_buyers(pairs)
+
     @cached_property
     def buyers(self) -> DataFrame:
-        return sku.sku_buyers(self.clean(BUYERS))
+        return self.buyers_of()
+
+    def _clean_typed(self, lines: DataFrame) -> DataFrame:
+        return cleaning.clean_transactions(self._typed(lines), self.policy)
 
     def descriptions_of(self, codes: DataFrame | None = None) -> DataFrame:
         """One description for each SKU, or for each of ``codes``, whose lines alone are counted."""
         count = getattr(self._transactions, "text_counts", None)
         if count is not None:
-            texts = count(CLEANING, lambda lines: cleaning.clean_transactions(self._typed(lines), self.policy), codes)
+            texts = count(CLEANING, self._clean_typed, codes)
         else:
             lines = self.clean(TEXTS)
             texts = sku.text_counts(lines if codes is None else lines.join(codes, "stock_code", "left_semi"))
@@ -173,13 +187,15 @@ class StockPlan:
     @cached_property
     def rationalisation_list(self) -> DataFrame:
         cz = self.graded.where(F.col("abc_xyz") == "CZ")
-        master = cz.join(self.buyers, "stock_code").join(self.descriptions_of(cz.select("stock_code")), "stock_code")
+        codes = cz.select("stock_code")
+        master = cz.join(self.buyers_of(codes), "stock_code").join(self.descriptions_of(codes), "stock_code")
         return rationalise.rationalisation_list(master, self.policy)
 
     @cached_property
     def rationalisation_numbers(self) -> DataFrame:
         """The rationalisation list without descriptions."""
-        return rationalise.rationalisation_list(self.graded_with_buyers, self.policy)
+        cz = self.graded.where(F.col("abc_xyz") == "CZ")
+        return rationalise.rationalisation_list(cz.join(self.buyers_of(cz.select("stock_code")), "stock_code"), self.policy)
 
     def rationalisation_summary(self) -> DataFrame:
         return rationalise.rationalisation_summary(self.rationalisation_numbers, self.policy)
@@ -195,6 +211,29 @@ class StockPlan:
     def percentile_safety_stock(self) -> DataFrame:
         return extensions.percentile_safety_stock(self.graded, self.week_rollup, self.policy)
 
+    def lead_time_percentile(self) -> DataFrame:
+        return extensions.lead_time_percentile(self.graded, self.week_rollup, self.policy)
+
+    def stock_gap(self) -> DataFrame:
+        """Stock on hand of the best sellers at every month's end against their reorder points.
+
+        All lines with a real stock code move stock, cancelled and free ones too.
+        """
+        rop = written(self.reorder_numbers)
+        lines = self.transactions(("stock_code", "quantity", "invoice_date")).join(rop.select("stock_code"), "stock_code", "left_semi")
+        movements = written(ledger.stock_movements(lines))
+        return ledger.stock_gap(rop, movements, ledger.month_ends(movements), self.policy)
+
+    def measured_lead_time(self) -> DataFrame:
+        """Reorder points of the best sellers from measured lead times, if the source measures them."""
+        top = written(reorder.best_sellers(self.graded, self.policy))
+        measure = getattr(self._transactions, "lead_events", None)
+        if measure is None:
+            events = top.sparkSession.createDataFrame([], "stock_code string, lead_days int")
+        else:
+            events = measure(CLEANING + ("invoice_date",), self._clean_typed, top.select("stock_code"))
+        return extensions.measured_lead_time(top, events, self.policy)
+
     # Reports ----------------------------------------------------------------------------
 
     def summary_stats(self) -> DataFrame:

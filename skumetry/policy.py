@@ -177,6 +177,9 @@ class Policy:
     #: Extensions: weeks and multiple of a recent spike, deviation of lead times in weeks.
     spike_weeks: int = 4
     spike_factor: int = 2
+    #: Extensions: opening stock in weeks of mean demand; events that a class's lead time counts like.
+    opening_stock_weeks: int = 4
+    lead_time_prior: int = 10
     lead_time_std_weeks: tuple[tuple[str, Decimal], ...] = (("A", Decimal("0.5")), ("B", Decimal("0.75")), ("C", Decimal("1.0")))
 
     def __post_init__(self) -> None:

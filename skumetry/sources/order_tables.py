@@ -82,6 +82,28 @@ class OrderTables:
         named = counted.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
         return named.groupBy("stock_code", "description").agg(F.sum("n").alias("n_lines"))
 
+    def _cleaned(self, columns: Iterable[str], clean: Callable[[DataFrame], DataFrame], codes: DataFrame | None, *keys: str) -> DataFrame:
+        """Clean lines, those of ``codes`` if given, with keys of other tables; nothing is joined yet."""
+        expressions = _transaction_columns()
+        lines = clean(self.table("lineitem").select(*keys, *[expressions[c].alias(c) for c in columns]))
+        return lines if codes is None else lines.join(codes, "stock_code", "left_semi")
+
+    def buyer_pairs(self, columns: Iterable[str], clean: Callable[[DataFrame], DataFrame], codes: DataFrame | None = None) -> DataFrame:
+        """The different ``stock_code``, ``invoice_no``, ``customer_id`` of clean lines.
+
+        Lines are filtered to ``codes`` and reduced to one for each order before orders are joined.
+        """
+        pairs = self._cleaned(columns, clean, codes, "l_orderkey").select("stock_code", "l_orderkey", "invoice_no").distinct()
+        orders = self.table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer_id"))
+        return pairs.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("stock_code", "invoice_no", "customer_id")
+
+    def lead_events(self, columns: Iterable[str], clean: Callable[[DataFrame], DataFrame], codes: DataFrame) -> DataFrame:
+        """``stock_code`` and ``lead_days``, from order to shipping, of the clean lines of ``codes``."""
+        lines = self._cleaned(columns, clean, codes, "l_orderkey").select("stock_code", "l_orderkey", "invoice_date")
+        orders = self.table("orders").select("o_orderkey", "o_orderdate")
+        dated = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return dated.select("stock_code", F.datediff("invoice_date", "o_orderdate").alias("lead_days"))
+
 
 def _transaction_columns() -> dict[str, Column]:
     returned = F.col("l_returnflag") == "R"
