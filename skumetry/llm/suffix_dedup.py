@@ -148,8 +148,10 @@ class _Block:
         self.docs, self.offsets = docs, np.r_[0, np.cumsum(sizes)]
         keys, self.starts, self.ends = _minimizers(self.data, self.offsets)
         self.doc = docs[np.searchsorted(self.offsets, self.starts, "right") - 1] if len(keys) else np.zeros(0, np.int64)
-        # The first bits name the part, the next 40 the minimizer; equal strings agree in both.
-        self.keys = keys >> np.uint64(64 - bits - 8 * _KEY_BYTES)
+        # The first bits name the part, the next 40 the minimizer; equal strings agree in both. A
+        # minimizer is the least of many hashes, so its own first bits are crowded near 0; mixing
+        # is one to one and spreads them over all parts.
+        self.keys = textbytes.mix(keys) >> np.uint64(64 - bits - 8 * _KEY_BYTES)
         self.unique, self.which = np.unique(self.keys, return_inverse=True)
         part = (self.unique >> np.uint64(8 * _KEY_BYTES)).astype(np.int64)
         self.parts = np.unique(part)
