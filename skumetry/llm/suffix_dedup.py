@@ -81,25 +81,28 @@ def intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     """
     size = len(symbols)
     order = suffix_array(symbols, length)
-    place = np.empty(size + 1, np.int64)
-    place[order] = np.arange(size)
+    place = np.empty(size + 1, np.int32)
+    place[order] = np.arange(size, dtype=np.int32)
     place[size] = 0
     psi = place[order + 1]
     first = symbols[order]
     settled = np.zeros(size, bool)
     settled[:1] = True
     interval = np.zeros(size, np.int32)
-    open_ = np.arange(1, size)
+    # Rows, and the rows that they and the rows above them extend. Settled rows are left out from
+    # time to time: a settled row stays so, as intervals only get smaller.
+    rows, below, above, known = np.arange(1, size, dtype=np.int32), psi[1:], psi[:-1], 0
     for step in range(length):
-        if step == 0:
-            new = first[open_] != first[open_ - 1]
-        else:
-            new = interval[psi[open_]] != interval[psi[open_ - 1]]
-        if not new.any() and step:
+        new = interval[below] != interval[above] if step else first[1:] != first[:-1]
+        count = int(np.count_nonzero(new))
+        if count == known and step:
             # Nothing ends here; the next length sees the same intervals only if none changed.
             break
-        settled[open_[new]] = True
-        open_ = open_[~new]
+        settled[rows[new]] = True
+        known = count
+        if 8 * count > len(rows):
+            left = ~new
+            rows, below, above, known = rows[left], below[left], above[left], 0
         interval = np.cumsum(settled, dtype=np.int32)
     return order, interval
 
