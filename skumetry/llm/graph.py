@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skumetry.llm.shared import stored
+from skumetry.llm.shared import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         steps = stored(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
         for _ in range(2):
             further = steps.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            steps = stored(steps.join(further, "to").select("a", F.col("next").alias("to")))
+            former, steps = steps, stored(steps.join(further, "to").select("a", F.col("next").alias("to")))
+            discard(former)
+        former_labels, former_edges = labels, edges
         labels = stored(
             labels.join(steps.withColumnRenamed("a", "component"), "component", "left")
             .select("node", F.coalesce("to", "component").alias("component"))
@@ -31,4 +33,6 @@ def components(links: DataFrame) -> DataFrame:
             .join(steps.select(F.col("a").alias("b"), F.col("to").alias("c")), "b")
             .select("a", F.col("c").alias("b")).where("a <> b").distinct()
         )
+        discard(former_labels, former_edges, steps)
+    discard(edges)
     return labels

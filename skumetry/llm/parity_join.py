@@ -13,8 +13,9 @@ linked sets can differ in elements, so linked sets agree in at least one whole p
 that are no links, and the rest is verified on the sets themselves.
 
 Equal sets are one class from the start. A part that many classes share never gives all their
-pairs: first every class is compared with one class of its part only, then with the nearest of each
-other component, and what links is united; just the pairs of different components remain. Large parts are cut into blocks and handled
+pairs: first every class is compared with one class of its part only; then a spanning forest of the
+components in a part, nearest sketches first, is verified; what links is united, and just the
+pairs of components that are still apart remain. Large parts are cut into blocks and handled
 block against block; sketches are compared inside the tasks and only pairs close enough leave
 them. This finds every component exactly.
 
@@ -37,18 +38,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skumetry.llm import textbytes
 from skumetry.llm.graph import components
-from skumetry.llm.shared import stored
+from skumetry.llm.shared import discard, stored
 
 #: Rounds in which each class meets one other class of each part it shares, and then rounds in
-#: which it meets the nearest class of each other component in the part.
+#: which a spanning forest of each part's components is verified.
 LEADER_ROUNDS, NEAREST_ROUNDS = 1, 1
 #: Classes of one part that a task compares at a time.
-BLOCK = 256
+BLOCK = 2048
+#: Bits of a compact sketch for each element that may differ.
+SKETCH_BITS = 16
+#: Classes whose numbers are sent to all tasks at most, to pick out their texts before a shuffle.
+MOST_SENT = 1_000_000
 #: The least similarity, in hundredths, for which parts of sketches are the keys.
 LEAST_FOR_PARTS = 90
 #: Texts in the sample that tells frequent shingles, the share of them that makes a shingle
@@ -127,8 +132,9 @@ def first_keys(hashes: np.ndarray, band: int, rule: Rule, frequent: np.ndarray)
 
 
 def compact_sketch(hashes: np.ndarray, band: int, rule: Rule = CONTRACT) -> np.ndarray:
-    """A sketch of 8 bits for each element that may differ, as 64-bit words."""
-    return np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x14057B7EF767814F)), 64 * (differing(band, rule) // 8 + 1))).view(np.int64)
+    """A sketch of ``SKETCH_BITS`` for each element that may differ, as 64-bit words."""
+    words = differing(band, rule) * SKETCH_BITS // 64 + 1
+    return np.packbits(parity(textbytes.mix(hashes ^ np.uint64(0x14057B7EF767814F)), 64 * words)).view(np.int64)
 
 
 def shingle_sets(texts: pa.Array, n: int = CONTRACT.words) -> list[np.ndarray]:
@@ -230,6 +236,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                     links.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(m := pa.array(links)), batch.column(1).filter(m)], ["a", "b"])
 
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    if asked.count() <= MOST_SENT:
+        texts = texts.join(F.broadcast(asked), "node", "left_semi")
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("of_a")), "a")
     rows = rows.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("of_b")), "b")
     return rows.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
@@ -261,7 +270,7 @@ def _close(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
 def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool, rule: Rule) -> DataFrame:
     """Pairs of different components that share a part and whose compact sketches are near enough.
 
-    With ``nearest`` a class gives one pair for each other component: that with the nearest class.
+    With ``nearest`` a block gives a spanning forest of its components only, nearest pairs first.
     """
     sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
@@ -273,13 +282,31 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool, rule: Rule
     )
     rows = rows.join(sketches, ["node", "guest"]).select("key", "low", "high", "block", "node", "component", "n", "sketch")
 
+    def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Which of the pairs of components, nearest first, unite two that are not united yet."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        kept = []
+        for i in np.argsort(apart, kind="stable").tolist():
+            p, q = root(int(a[i])), root(int(b[i]))
+            if p != q:
+                parent[p] = q
+                kept.append(i)
+        return np.array(kept, np.int64)
+
     def near(held: list[pa.RecordBatch]) -> tuple[list, list]:
         table = pa.Table.from_batches(held).to_pydict()
         nodes, comps, n = (np.array(table[c], np.int64) for c in ("node", "component", "n"))
         block = np.array(table["block"])
         words = np.array(table["sketch"], np.int64).view(np.uint64)
         one_block = table["low"][0] == table["high"][0]
-        a, b = [], []
+        a, b, far = [], [], []
         for i in range(len(nodes)):
             j = slice(i + 1, None)
             apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
@@ -288,10 +315,14 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool, rule: Rule
             if nearest and len(at) > 1:
                 at = at[np.lexsort((apart[at], comps[i + 1:][at]))]
                 at = at[np.r_[True, comps[i + 1:][at][1:] != comps[i + 1:][at][:-1]]]
-            at = at + i + 1
-            a += [int(nodes[i])] * len(at)
-            b += nodes[at].tolist()
-        return a, b
+            far.append(apart[at])
+            a.append(np.full(len(at), i))
+            b.append(at + i + 1)
+        a, b, far = (np.concatenate(x) for x in (a, b, far))
+        if nearest:
+            kept = forest(comps[a], comps[b], far)
+            a, b = a[kept], b[kept]
+        return nodes[a].tolist(), nodes[b].tolist()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
@@ -323,8 +354,10 @@ def _class_links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     entries = nodes.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("guest")).union(
         nodes.select(F.explode("guest_keys").alias("key"), "node", F.lit(True).alias("guest"))
     )
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    mixed = stored(entries.join(shared, "key").distinct().withColumn("component", F.col("node")))
+    # One shuffle of the entries: which classes a key has is seen where its rows stand.
+    same = Window.partitionBy("key")
+    several = entries.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)}).where("low <> high")
+    mixed = stored(several.select("key", "node", "guest").distinct().withColumn("component", F.col("node")))
     texts = stored(_texts(docs, signed, mixed.select("node").distinct()))
     sketches = stored(_sketches(signed))
     found = None
@@ -338,14 +371,18 @@ def _class_links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
             pairs = _close(met.select(F.col("node").alias("a"), F.col("guest").alias("guest_a"), "b", "guest_b").distinct(), sketches, rule)
         else:
             pairs = _near_pairs(mixed, sketches, nearest=turn < last, rule=rule)
+        pairs = stored(pairs)
         links = _verified(pairs, texts, rule)
-        found = stored(links if found is None else found.unionByName(links))
+        former, found = found, stored(links if found is None else found.unionByName(links))
+        discard(pairs, *([former] if former is not None else []))
         if turn < last:
             labels = components(found)
             united = mixed.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            united = stored(united.select("key", "node", "guest", "component"))
-            several = united.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            mixed = stored(united.join(several, "key"))
+            united = united.select("key", "node", "guest", "component")
+            apart = united.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same)}).where("low <> high")
+            former, mixed = mixed, stored(apart.drop("low", "high"))
+            discard(former, labels)
+    discard(mixed, texts, sketches)
     return found if found is not None else signed.sparkSession.createDataFrame([], "a long, b long")
 
 

@@ -173,3 +173,21 @@ def test_linked_sets_share_a_first_element():
             for g in shared:
                 p, q = (parity_join.compact_sketch(x, g, rule).view(np.uint64) for x in (a, b))
                 assert int(np.bitwise_count(p ^ q).sum()) <= rule.allowed(len(a) + len(b))
+
+
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Many texts a few edits away from one: pairs that leave the tasks do not grow with their square."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 1, 2, 4])):
+            own[at] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(own)))
+    given = []
+    near = parity_join._near_pairs
+    monkeypatch.setattr(parity_join, "_near_pairs", lambda *a, **k: given.append(parity_join.stored(near(*a, **k))) or given[-1])
+    got = sorted(map(tuple, parity_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(g.count() for g in given) < 5 * len(rows)
