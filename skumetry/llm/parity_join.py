@@ -152,7 +152,7 @@ def shingle_sets(texts: pa.Array, n: int = CONTRACT.words) -> list[np.ndarray]:
     return out
 
 
-SIGNATURES = "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, guest_keys array<long>, sketch array<long>, guest_sketch array<long>"
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, node long, sketch array<long>, guest_sketch array<long>"
 
 
 def frequent_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
@@ -170,33 +170,60 @@ def frequent_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in many.collect()], np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """Set size, class (``node``), keys and compact sketches of each document."""
-    by_parts = rule.percent >= LEAST_FOR_PARTS
-    frequent = None if by_parts else frequent_shingles(docs, rule)
+def _node(own: np.ndarray) -> int:
+    """The class of a set that is not empty."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
+
 
-    def keys_of(own: np.ndarray, band: int) -> np.ndarray:
-        return part_keys(own, band, rule) if by_parts else first_keys(own, band, rule, frequent)
+def signatures(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """Set size, class (``node``) and compact sketches of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textbytes.slices(batches):
-            sizes, nodes, keys, sketches = [], [], ([], []), ([], [])
+            sizes, nodes, sketches = [], [], ([], [])
             for own in shingle_sets(batch.column("text"), rule.words):
                 sizes.append(len(own))
-                nodes.append(int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)) if len(own) else None)
+                nodes.append(_node(own) if len(own) else None)
                 groups = groups_of(len(own), rule) if len(own) else []
                 for i in (0, 1):
-                    keys[i].append(keys_of(own, groups[i]).view(np.int64) if i < len(groups) else [])
                     sketches[i].append(compact_sketch(own, groups[i], rule) if i < len(groups) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 *(pa.array(k, pa.list_(pa.int64())) for k in (*keys, *sketches))],
-                ["doc_id", "text_hash", "n_shingles", "node", "keys", "guest_keys", "sketch", "guest_sketch"],
+                 *(pa.array(k, pa.list_(pa.int64())) for k in sketches)],
+                ["doc_id", "text_hash", "n_shingles", "node", "sketch", "guest_sketch"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, SIGNATURES)
 
 
+def _entries(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``key``, ``node``, ``guest``: the keys of each class, by its own band and by the one it is a guest in.
+
+    Keys are many times a text's class number, so they are made where they are sent from and never written
+    to a table. A class may come several times, once for each slice of texts that has it.
+    """
+    by_parts = rule.percent >= LEAST_FOR_PARTS
+    frequent = None if by_parts else frequent_shingles(docs, rule)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textbytes.slices(batches):
+            keys, nodes, guests, done = [], [], [], set()
+            for own in shingle_sets(batch.column("text"), rule.words):
+                node = _node(own) if len(own) else None
+                if node is None or node in done:
+                    continue
+                done.add(node)
+                for guest, band in enumerate(groups_of(len(own), rule)):
+                    found = part_keys(own, band, rule) if by_parts else first_keys(own, band, rule, frequent)
+                    keys.append(found.view(np.int64))
+                    nodes.append(np.full(len(found), node, np.int64))
+                    guests.append(np.full(len(found), bool(guest)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, guests)], ["key", "node", "guest"])
+
+    return docs.select("text").mapInArrow(give, "key long, node long, guest boolean")
+
+
 def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """One compressed text of each class in ``nodes``."""
     wanted = (
@@ -350,10 +377,7 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool, rule: Rule
 
 def _class_links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a``, ``b`` between classes, enough to connect every component."""
-    nodes = signed.where("node is not null")
-    entries = nodes.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("guest")).union(
-        nodes.select(F.explode("guest_keys").alias("key"), "node", F.lit(True).alias("guest"))
-    )
+    entries = _entries(docs, rule)
     # One shuffle of the entries: which classes a key has is seen where its rows stand.
     same = Window.partitionBy("key")
     several = entries.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)}).where("low <> high")
