@@ -129,8 +129,8 @@ def running_totals(
     )
 
 
-def quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+def quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = (), sketch_k: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group, or sketched ones if ``sketch_k`` is given.
 
     Groups are classes or measures, a handful; their sizes are broadcast, so values are never
     shuffled by group.
@@ -140,6 +140,8 @@ def quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Seq
     wanted position.
     """
     by = list(by)
+    if sketch_k is not None:
+        return sketched_quantiles(df, value, fractions, by, sketch_k)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_value"))
@@ -170,6 +172,39 @@ def quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Seq
     return around.select(*by, *result)
 
 
+def sketched_quantiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = (), k: int = 3200) -> DataFrame:
+    """Approximate quantiles, one row per group, from one pass: the values of ranks near the wanted ones.
+
+    Without interpolation: a result is one of the values. See ``rank_error`` for how near its rank is.
+    """
+    return sketch_quantiles(merged_sketches(quantile_sketches(df, value, by, k), by, k), fractions, by)
+
+
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str] = (), k: int = 3200) -> DataFrame:
+    """A KLL sketch of the values of each group; nulls are left out.
+
+    Sketches have a bounded size (some tens of KB for the default ``k``, whatever they describe) and can be
+    kept and merged, for instance one for each period, so new data never needs old lines again.
+    """
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = (), k: int = 3200) -> DataFrame:
+    """One sketch for each group of rows with sketches, which may come from different periods."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """The quantiles that sketches hold; groups without values have none."""
+    filled = sketches.where(F.col("sketch").isNotNull() & (F.kll_sketch_get_n_double("sketch") > 0))
+    return filled.select(*by, *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(f))).alias(name) for name, f in fractions.items()])
+
+
+def rank_error(k: int) -> float:
+    """How far, as a share of all values, a sketched quantile's rank may be off; holds with 99 % confidence."""
+    return 2.296 / k**0.9021
+
+
 def top_by(df: DataFrame, measure: str, n: int, key: str = "stock_code") -> DataFrame:
     """The ``n`` rows with the greatest ``measure``; equal values go by ``key``."""
     return df.orderBy(F.col(measure).desc(), F.col(key).asc()).limit(n)

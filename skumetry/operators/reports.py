@@ -236,13 +236,13 @@ def cz_scatter(cz: DataFrame) -> DataFrame:
     return cz.select("stock_code", "n_customers", "total_revenue", "loyal_customer_flag")
 
 
-def cz_axis_caps(cz: DataFrame) -> DataFrame:
+def cz_axis_caps(cz: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Chart limits from the 98th percentiles of customers and revenue."""
     measures = cz.select(
         F.col("n_customers").cast("double").alias("n_customers"),
         F.col("total_revenue").cast("double").alias("total_revenue"),
     ).unpivot([], ["n_customers", "total_revenue"], "measure", "reading")
-    p98 = quantiles(measures, "reading", {"p98": 0.98}, by=["measure"])
+    p98 = quantiles(measures, "reading", {"p98": 0.98}, by=["measure"], sketch_k=policy.sketch_k if policy else None)
     limit = F.when(F.col("measure") == "n_customers", F.col("p98") + 2).otherwise(F.col("p98") * 1.1)
     return p98.withColumn("axis_limit", limit)
 

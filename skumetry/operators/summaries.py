@@ -62,7 +62,7 @@ def xyz_summary(graded: DataFrame, policy: Policy, complete: bool = False) -> Da
     classes = graded.groupBy("xyz_class").agg(
         F.count(F.lit(1)).alias("sku_count"), F.avg(F.col("cv").cast("double")).alias("cv_mean")
     )
-    medians = quantiles(graded, "cv", {"cv_median": 0.5}, by=["xyz_class"])
+    medians = quantiles(graded, "cv", {"cv_median": 0.5}, by=["xyz_class"], sketch_k=policy.sketch_k)
     summary = classes.join(medians, "xyz_class", "left").select(
         "xyz_class",
         "sku_count",
@@ -144,9 +144,9 @@ def class_revenue_floor(graded: DataFrame) -> DataFrame:
     )
 
 
-def sku_distribution(graded: DataFrame) -> DataFrame:
+def sku_distribution(graded: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Median weekly demand and mean CV over all SKUs."""
-    median = quantiles(graded, "weekly_demand_mean", {"median_weekly_demand": 0.5})
+    median = quantiles(graded, "weekly_demand_mean", {"median_weekly_demand": 0.5}, sketch_k=policy.sketch_k if policy else None)
     mean = graded.agg(F.avg(F.col("cv").cast("double")).alias("mean_cv"))
     return median.select("median_weekly_demand", mean.scalar().alias("mean_cv"))
 

@@ -174,6 +174,8 @@ class Policy:
     code_pattern: str = STOCK_CODE_PATTERN
     stop_at_odd_code: bool = False
     class_terms: tuple[ClassTerms, ...] = field(default=CLASS_TERMS)
+    #: Size of the sketches that medians and percentiles come from; none: exact ones.
+    sketch_k: int | None = None
     #: Extensions: weeks and multiple of a recent spike, deviation of lead times in weeks.
     spike_weeks: int = 4
     spike_factor: int = 2

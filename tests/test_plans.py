@@ -8,6 +8,7 @@ import __spark_entry__ as registry
 from skumetry import Policy, StockPlan
 from skumetry.operators import classes, sku
 from skumetry.session import written
+from skumetry.sources.order_tables import CODE_PATTERN, OrderTables
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL, SCRIPT = Policy(), Policy(semantics="script")
@@ -120,3 +121,21 @@ def test_key_figures_read_no_orders(spark, monkeypatch):
     plan = StockPlan(OrderTables(spark, SF_DIR), Policy(code_pattern=r"^[0-9A-Z]{5,}\z"))
     extent_only = __import__("skumetry.operators.reports", fromlist=["extent"]).extent(plan.graded)
     assert extent_only.count() == 1 and "orders" not in asked
+
+
+def test_buyers_of_few_skus_read_only_their_lines(spark):
+    plan = StockPlan(OrderTables(spark, SF_DIR), Policy(code_pattern=CODE_PATTERN))
+    codes = plan.weekly_demand.select("stock_code").distinct().limit(3)
+    few = plan.buyers_of(codes)
+    every = {r.stock_code: tuple(r) for r in plan.buyers.collect()}
+    assert sorted(map(tuple, few.collect())) == sorted(every[r.stock_code] for r in codes.collect())
+    text = few._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("o_orderkey") < text.index("LeftSemi")  # the codes filter lines below the join with orders
+
+
+def test_policy_chooses_sketched_medians(spark):
+    exact = StockPlan(OrderTables(spark, SF_DIR), Policy(code_pattern=CODE_PATTERN))
+    near = StockPlan(OrderTables(spark, SF_DIR), Policy(code_pattern=CODE_PATTERN, sketch_k=3200))
+    medians = [{r.xyz_class: r.cv_median for r in p.xyz_summary().collect()} for p in (exact, near)]
+    assert medians[0].keys() == medians[1].keys()
+    assert all(abs(medians[0][c] - medians[1][c]) < 0.02 for c in medians[0])

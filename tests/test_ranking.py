@@ -111,3 +111,34 @@ def test_top_by_breaks_ties_by_key(spark):
     data = table(spark, [1.0, 9.0, 9.0, 9.0])
     top = ranking.add_rank(ranking.top_by(data, "total_revenue", 2), "total_revenue", "rank")
     assert [(r["rank"], r.stock_code) for r in top.orderBy("rank").collect()] == [(1, "S00001"), (2, "S00002")]
+
+
+@pytest.mark.parametrize("k", [200, 3200])
+def test_sketched_quantiles_stay_within_their_rank_error(spark, k):
+    rng = np.random.default_rng(8)
+    groups = {"even": rng.uniform(0, 1, 20_000), "skewed": rng.pareto(0.8, 20_000), "few": rng.integers(0, 5, 20_000).astype(float), "one": np.array([7.0])}
+    data = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None)], "g string, v double").repartition(6)
+    wanted = {"q10": 0.1, "median": 0.5, "p98": 0.98}
+    found = {r.g: r for r in ranking.quantiles(data, "v", wanted, by=["g"], sketch_k=k).collect()}
+    assert set(found) == set(groups)
+    for g, values in groups.items():
+        values = np.sort(values)
+        for name, fraction in wanted.items():
+            value = found[g][name]
+            below, upto = np.searchsorted(values, value, "left") / len(values), np.searchsorted(values, value, "right") / len(values)
+            assert value in values and below - ranking.rank_error(k) <= fraction <= upto + ranking.rank_error(k)
+
+
+def test_sketches_of_periods_merge(spark):
+    data = spark.createDataFrame([(i % 4, i % 2, float(i)) for i in range(4000)], "period int, g int, v double")
+    kept = ranking.written(ranking.quantile_sketches(data, "v", ["period", "g"]))
+    assert kept.count() == 4
+    merged = {r.g: r.m for r in ranking.sketch_quantiles(ranking.merged_sketches(kept, ["g"]), {"m": 0.5}, ["g"]).collect()}
+    assert all(abs(merged[g] - (2000 + g)) <= 4000 * ranking.rank_error(3200) + 2 for g in (0, 1))
+    assert ranking.sketched_quantiles(data.limit(0), "v", {"m": 0.5}).count() == 0
+
+
+def test_a_sketch_takes_one_pass_without_a_written_table(spark):
+    data = spark.createDataFrame([(1, 2.0)], "g int, v double")
+    plan = ranking.quantiles(data, "v", {"m": 0.5}, by=["g"], sketch_k=200)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Window" not in plan

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skumetry import Policy, StockPlan, schemas
 from skumetry.operators import cleaning, rationalise
@@ -178,3 +179,72 @@ def test_files_are_written_in_order(spark, lines, tmp_path):
         keys = [tuple((-float(r[c]) if falls else float(r[c])) if c in numbers else r[c] for c, falls in order) for r in rows]
         assert keys == sorted(keys) and len(rows) == tables[name].count(), name
     assert "Sort [" not in plan.rationalisation_list._jdf.queryExecution().optimizedPlan().toString()
+
+
+def small_run(spark, value):
+    return {name: spark.createDataFrame([(f"{name}-{value}", value)], "name string, value int") for name in outputs.OUTPUT_TABLES}
+
+
+RUN_SCHEMAS = {name: T.StructType().add("name", "string").add("value", "integer") for name in outputs.OUTPUT_TABLES}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_failed_run_leaves_the_former_one_readable(spark, tmp_path, monkeypatch, fmt):
+    folder = str(tmp_path)
+    monkeypatch.setattr(outputs, "FILE_ORDER", {})
+    with pytest.raises(outputs.EmptyMaster):
+        outputs.load_run(spark, folder, RUN_SCHEMAS)
+    first = outputs.save_run(spark, small_run(spark, 1), folder, fmt)
+    save, calls = outputs.save_table, []
+
+    def failing(df, *args):
+        calls.append(args)
+        if len(calls) > 3:
+            raise OSError("disk full")
+        return save(df, *args)
+
+    monkeypatch.setattr(outputs, "save_table", failing)
+    with pytest.raises(OSError):
+        outputs.save_run(spark, small_run(spark, 2), folder, fmt)
+    monkeypatch.setattr(outputs, "save_table", save)
+    assert outputs.runs(spark, folder) == [first]
+    assert {r.value for t in outputs.load_run(spark, folder, RUN_SCHEMAS).values() for r in t.collect()} == {1}
+    third = outputs.save_run(spark, small_run(spark, 3), folder, fmt)
+    assert outputs.runs(spark, folder) == [first, third]
+    assert {r.value for t in outputs.load_run(spark, folder, RUN_SCHEMAS).values() for r in t.collect()} == {3}
+    assert {r.value for t in outputs.load_run(spark, folder, RUN_SCHEMAS, first).values() for r in t.collect()} == {1}
+
+
+def test_a_run_with_an_empty_master_is_no_run_to_report_on(spark, tmp_path):
+    outputs.save_run(spark, {"sku_master": spark.createDataFrame([], "StockCode string, total_revenue double")}, str(tmp_path))
+    with pytest.raises(outputs.EmptyMaster):
+        outputs.load_run(spark, str(tmp_path), {"sku_master": T.StructType().add("StockCode", "string")})
+
+
+def dates(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "day string")
+
+
+def test_dates_vote_on_their_format(spark):
+    month_first = dates(spark, "12/1/2010 8:26", "1/2/2011 9:00", "1/13/2011 9:00", None, "n/a")
+    day_first = dates(spark, "1/12/2010 8:26", "13/1/2011 9:00", "31/1/2011 9:00", "12/31/2011 9:00")
+    assert invoices_csv.infer_formats(month_first, "day") == ("M/d/yyyy H:mm",)
+    assert invoices_csv.infer_formats(day_first, "day") == ("d/M/yyyy H:mm",)
+    mixture = dates(spark, "2010-12-01 08:26:00", "2010-12-02 08:26:00", "13/1/2011 9:00", "24.12.2010 8:00")
+    assert invoices_csv.infer_formats(mixture, "day") == ("yyyy-MM-dd HH:mm:ss", "d/M/yyyy H:mm", "d.M.yyyy H:mm")
+    assert invoices_csv.infer_formats(dates(spark, None, "soon"), "day") == invoices_csv.TIMESTAMP_FORMATS
+
+
+def test_a_tie_of_day_and_month_is_an_error(spark):
+    with pytest.raises(invoices_csv.AmbiguousDates, match="2 dates fit both"):
+        invoices_csv.infer_formats(dates(spark, "1/2/2011 9:00", "3/4/2011 9:00"), "day")
+    with pytest.raises(invoices_csv.AmbiguousDates):
+        invoices_csv.infer_formats(dates(spark, "13/2/2011 9:00", "2/13/2011 9:00"), "day")
+
+
+def test_a_day_first_file(spark, tmp_path):
+    path = tmp_path / "days.csv"
+    path.write_text("InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+                    "1,85123A,X,1,3/2/2011 8:26,1.00,1,UK\n2,85123A,X,1,28/2/2011 8:26,1.00,1,UK\n", encoding="latin-1")
+    found = [str(r.invoice_date) for r in invoices_csv.read_invoices(spark, str(path), formats=None).orderBy("invoice_no").collect()]
+    assert found == ["2011-02-03 08:26:00", "2011-02-28 08:26:00"]
