@@ -99,7 +99,9 @@ def running_totals(
     """
     inputs = {name: f"_{name}" for name in measures}
     rows = df.count()
-    wanted = ranges or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // LEAST_ROWS + 1)
+    # Two at least: a range number that is constant would make the join with the offsets a nested loop.
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = ranges or max(2, min(most, rows // LEAST_ROWS + 1))
     borders = _borders(df, keys, wanted, rows)
     number = _range_number(keys, borders, {f.name: f.dataType for f in df.schema.fields})
     split = df.withColumns({inputs[name]: value for name, value in measures.items()} | {RANGE: number})
