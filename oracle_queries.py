@@ -553,6 +553,9 @@ SELECT count(*) AS sku_count, {money('coalesce(sum(rev), 0)')} AS revenue FROM g
 SELECT abc AS abc_class, {money('min(rev)')} AS min_revenue, round(log10({money('min(rev)')}), 9) AS log_min_revenue
 FROM graded WHERE abc IN ('A', 'B') GROUP BY abc""",
         "sku_master": _master(False),
+        "refreshed_master": _master(False),
+        "refreshed_demand_stats": f"""WITH {stats_cte(False)}
+SELECT stock_code, mean AS weekly_demand_mean, std AS weekly_demand_std, weeks AS weeks_with_demand, cv FROM stats""",
         "master_export": f"""SELECT stock_code AS "StockCode", description, abc_class AS "ABC", xyz_class AS "XYZ",
        abc_xyz AS "ABC_XYZ", total_revenue, total_qty_sold, n_invoices, n_customers, avg_unit_price, weekly_demand_mean,
        weekly_demand_std, cv, weeks_with_demand, weeks_active_pct, first_sale_date, last_sale_date, revenue_cum_pct

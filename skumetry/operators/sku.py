@@ -32,6 +32,15 @@ def week_rollup(clean: DataFrame) -> DataFrame:
     )
 
 
+def merge_rollups(partials: DataFrame) -> DataFrame:
+    """One roll-up of several over different lines: sums add up, dates are extremes."""
+    return partials.groupBy("stock_code", "week_start").agg(
+        *[F.sum(c).alias(c) for c in ("qty_sold", "revenue_cents", "price_cents", "n_lines")],
+        F.min("first_sale").alias("first_sale"),
+        F.max("last_sale").alias("last_sale"),
+    )
+
+
 def weekly_demand(rollup: DataFrame) -> DataFrame:
     """SKU × week quantities with the ISO week label."""
     return rollup.select(

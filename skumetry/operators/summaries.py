@@ -1,13 +1,16 @@
 """Class, cell and distribution summaries of the graded SKU table.
 
-Every aggregate here has at most nine groups, so the unpartitioned windows that turn sums
-into shares run over a handful of rows.
+The graded table is aggregated once, to the sums of its at most nine cells (``class_cells``).
+Classes, matrix, pivots and margins are levels of one cube over these cells; each function
+takes the graded table or its cells. All sums are exact, so results do not depend on partitions.
+The unpartitioned windows that turn sums into shares run over a handful of rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skumetry.functions.exact import rounded_mean, rounded_share, share
 from skumetry.operators.classes import abc_spine, cell_spine, xyz_spine
@@ -28,16 +31,54 @@ def _money(column: str, policy: Policy) -> Column:
     return F.round(column, 0) if policy.rounded else F.col(column)
 
 
+MONEY_TOTAL = "decimal(28,2)"
+#: Doubles are summed as whole multiples of 10^-15, in any order the same; decimals as they are.
+EXACT_SUM = "decimal(38,15)"
+
+
+def _exact(column: str, df: DataFrame) -> Column:
+    return F.col(column).cast(EXACT_SUM) if df.schema[column].dataType == T.DoubleType() else F.col(column)
+
+
+def class_cells(graded: DataFrame) -> DataFrame:
+    """Counts and exact sums of each occupied ABC-XYZ cell."""
+    return graded.groupBy("abc_class", "xyz_class").agg(
+        F.count(F.lit(1)).alias("cell_skus"),
+        F.sum("total_revenue").cast(MONEY_TOTAL).alias("cell_revenue"),
+        F.sum(_exact("avg_unit_price", graded)).alias("cell_prices"),
+        F.count("cv").alias("cell_cvs"),
+        F.sum(_exact("cv", graded)).alias("cell_cv_sum"),
+    )
+
+
+def class_cube(graded: DataFrame) -> DataFrame:
+    """The cells with every margin and the grand total: ``level`` 0 cells, 1 ABC, 2 XYZ, 3 all.
+
+    ``graded`` is the graded table or its ``class_cells``. ``avg_cv`` is the exact mean of the CVs
+    there are, null without any.
+    """
+    cells = graded if "cell_skus" in graded.columns else class_cells(graded)
+    cube = cells.cube("abc_class", "xyz_class").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.sum("cell_skus").alias("sku_count"),
+        F.sum("cell_revenue").cast(MONEY_TOTAL).alias("revenue"),
+        F.sum("cell_prices").alias("prices"),
+        share(F.sum("cell_cv_sum"), F.nullif(F.sum("cell_cvs"), F.lit(0).cast("long"))).alias("avg_cv"),
+    )
+    # A cube over no cells still has its grand total, as a row without SKUs.
+    return cube.withColumn("sku_count", F.coalesce("sku_count", F.lit(0).cast("long")))
+
+
+def _level(graded: DataFrame, level: int) -> DataFrame:
+    return class_cube(graded).where(F.col("level") == level)
+
+
 def abc_summary(graded: DataFrame, policy: Policy, complete: bool = False) -> DataFrame:
     """Count, revenue, shares and mean price per ABC class.
 
     ``complete`` adds a row of zeros for a class without SKUs, and the class's implication.
     """
-    classes = graded.groupBy("abc_class").agg(
-        F.count(F.lit(1)).alias("sku_count"),
-        F.sum("total_revenue").alias("total_revenue"),
-        F.sum("avg_unit_price").alias("_prices"),
-    )
+    classes = _level(graded, 1).withColumnsRenamed({"revenue": "total_revenue", "prices": "_prices"})
     mean_price = (
         rounded_mean(F.col("_prices") * 100, F.col("sku_count") * 100, 4)
         if policy.rounded
@@ -77,12 +118,7 @@ def xyz_summary(graded: DataFrame, policy: Policy, complete: bool = False) -> Da
 
 def matrix_long(graded: DataFrame, policy: Policy) -> DataFrame:
     """One row per occupied ABC-XYZ cell."""
-    cells = graded.groupBy("abc_class", "xyz_class").agg(
-        F.count(F.lit(1)).alias("sku_count"),
-        F.sum("total_revenue").alias("revenue"),
-        F.avg(F.col("cv").cast("double")).alias("avg_cv"),
-    )
-    return cells.select(
+    return _level(graded, 0).select(
         "abc_class",
         "xyz_class",
         "sku_count",
@@ -95,25 +131,26 @@ def matrix_long(graded: DataFrame, policy: Policy) -> DataFrame:
 
 def _pivot(graded: DataFrame, measure: Column) -> DataFrame:
     """3 × 3 cross table; a class without SKUs is a row of zeros."""
-    cross = graded.groupBy("abc_class").pivot("xyz_class", list(XYZ_CLASSES)).agg(measure)
+    cross = _level(graded, 0).groupBy("abc_class").pivot("xyz_class", list(XYZ_CLASSES)).agg(measure)
     spine = abc_spine(graded.sparkSession).select("abc_class")
     return _complete(spine, cross, ["abc_class"], list(XYZ_CLASSES))
 
 
 def matrix_counts(graded: DataFrame) -> DataFrame:
-    return _pivot(graded, F.count(F.lit(1)))
+    return _pivot(graded, F.first("sku_count"))
 
 
 def matrix_revenue(graded: DataFrame) -> DataFrame:
-    return _pivot(graded, F.sum("total_revenue"))
+    return _pivot(graded, F.first("revenue"))
 
 
 def matrix_margins(graded: DataFrame, policy: Policy) -> DataFrame:
     """The count matrix with each ABC class's total count, revenue and revenue share."""
-    rows = graded.groupBy("abc_class").agg(
-        *[F.count_if(F.col("xyz_class") == c).alias(c) for c in XYZ_CLASSES],
-        F.count(F.lit(1)).alias("row_total"),
-        F.sum("total_revenue").alias("revenue"),
+    cube = class_cube(graded).where(F.col("level") < 2)
+    rows = cube.groupBy("abc_class").agg(
+        *[F.coalesce(F.max(F.when(F.col("xyz_class") == c, F.col("sku_count"))), F.lit(0).cast("long")).alias(c) for c in XYZ_CLASSES],
+        F.max(F.when(F.col("level") == 1, F.col("sku_count"))).alias("row_total"),
+        F.max(F.when(F.col("level") == 1, F.col("revenue"))).alias("revenue"),
     )
     rows = rows.withColumn("pct_revenue", _share_of_all("revenue", 1, policy))
     spine = abc_spine(graded.sparkSession).select("abc_class")
@@ -122,17 +159,16 @@ def matrix_margins(graded: DataFrame, policy: Policy) -> DataFrame:
 
 def cell_policy(graded: DataFrame) -> DataFrame:
     """All nine cells with count, revenue (0 when empty) and their stocking policy."""
-    cells = graded.groupBy("abc_xyz").agg(
-        F.count(F.lit(1)).alias("sku_count"), F.sum("total_revenue").alias("revenue")
-    )
+    cells = _level(graded, 0).select(F.concat("abc_class", "xyz_class").alias("abc_xyz"), "sku_count", "revenue")
     return _complete(cell_spine(graded.sparkSession), cells, ["abc_xyz"], ["sku_count", "revenue"])
 
 
 def high_value_volatile(graded: DataFrame) -> DataFrame:
     """Count and revenue of the valuable but erratic cells AZ and BZ."""
-    return graded.where(F.col("abc_xyz").isin("AZ", "BZ")).agg(
-        F.count(F.lit(1)).alias("sku_count"),
-        F.coalesce(F.sum("total_revenue"), F.lit(0).cast("decimal(28,2)")).alias("revenue"),
+    cells = _level(graded, 0).where(F.col("abc_class").isin("A", "B") & (F.col("xyz_class") == "Z"))
+    return cells.agg(
+        F.coalesce(F.sum("sku_count"), F.lit(0).cast("long")).alias("sku_count"),
+        F.coalesce(F.sum("revenue"), F.lit(0)).cast(MONEY_TOTAL).alias("revenue"),
     )
 
 

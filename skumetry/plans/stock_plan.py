@@ -32,8 +32,8 @@ class StockPlan:
     """``transactions`` is a table, or a source that gives the asked-for columns of one.
 
     A source, called with columns, can leave out the work behind columns a stage does not
-    read, such as joins. One with methods ``text_counts``, ``buyer_pairs`` or ``lead_events``
-    counts descriptions, finds buyers or measures lead times itself.
+    read, such as joins. One with methods ``text_counts``, ``buyer_pairs``, ``week_rollup`` or
+    ``lead_events`` counts descriptions, finds buyers, sums weeks or measures lead times itself.
     """
 
     def __init__(self, transactions: DataFrame | TransactionSource, policy: Policy | None = None) -> None:
@@ -58,7 +58,8 @@ class StockPlan:
 
     @cached_property
     def week_rollup(self) -> DataFrame:
-        return sku.week_rollup(self.clean(SALES))
+        find = getattr(self._transactions, "week_rollup", None)
+        return sku.week_rollup(self.clean(SALES)) if find is None else find()
 
     @cached_property
     def weekly_demand(self) -> DataFrame:
@@ -68,15 +69,17 @@ class StockPlan:
     def demand_stats(self) -> DataFrame:
         return sku.demand_stats(self.week_rollup, self.policy)
 
-    def buyers_of(self, codes: DataFrame | None = None) -> DataFrame:
-        """Distinct invoices and customers of each SKU, or of each of ``codes``, whose lines alone are read."""
+    def buyer_pairs_of(self, codes: DataFrame | None = None) -> DataFrame:
+        """``stock_code``, ``invoice_no`` and ``customer_id``, with repeats, of all lines or those of ``codes``."""
         find = getattr(self._transactions, "buyer_pairs", None)
         if find is not None:
-            pairs = find(CLEANING, self._clean_typed, codes)
-        else:
-            lines = self.clean(BUYERS)
-            pairs = lines if codes is None else lines.join(codes, "stock_code", "left_semi")
-        return sku.sku_buyers(pairs)
+            return find(CLEANING, self._clean_typed, codes)
+        lines = self.clean(BUYERS).select("stock_code", "invoice_no", "customer_id")
+        return lines if codes is None else lines.join(codes, "stock_code", "left_semi")
+
+    def buyers_of(self, codes: DataFrame | None = None) -> DataFrame:
+        """Distinct invoices and customers of each SKU, or of each of ``codes``, whose lines alone are read."""
+        return sku.sku_buyers(self.buyer_pairs_of(codes))
 
     @cached_property
     def buyers(self) -> DataFrame:
@@ -85,15 +88,17 @@ class StockPlan:
     def _clean_typed(self, lines: DataFrame) -> DataFrame:
         return cleaning.clean_transactions(self._typed(lines), self.policy)
 
-    def descriptions_of(self, codes: DataFrame | None = None) -> DataFrame:
-        """One description for each SKU, or for each of ``codes``, whose lines alone are counted."""
+    def text_counts_of(self, codes: DataFrame | None = None) -> DataFrame:
+        """How many lines carry each text of each SKU, or of each of ``codes``."""
         count = getattr(self._transactions, "text_counts", None)
         if count is not None:
-            texts = count(CLEANING, self._clean_typed, codes)
-        else:
-            lines = self.clean(TEXTS)
-            texts = sku.text_counts(lines if codes is None else lines.join(codes, "stock_code", "left_semi"))
-        return sku.sku_descriptions(texts, self.policy)
+            return count(CLEANING, self._clean_typed, codes)
+        lines = self.clean(TEXTS)
+        return sku.text_counts(lines if codes is None else lines.join(codes, "stock_code", "left_semi"))
+
+    def descriptions_of(self, codes: DataFrame | None = None) -> DataFrame:
+        """One description for each SKU, or for each of ``codes``, whose lines alone are counted."""
+        return sku.sku_descriptions(self.text_counts_of(codes), self.policy)
 
     @cached_property
     def descriptions(self) -> DataFrame:
@@ -128,6 +133,11 @@ class StockPlan:
         ranked = classes.with_abc(classes.rank_by_revenue(self.totals, self.policy), self.policy)
         return classes.with_cell(written(ranked), self.policy)
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Sums of each ABC-XYZ cell, written once: class tables, matrix and pivots all come from these nine rows."""
+        return written(summaries.class_cells(self.graded))
+
     @cached_property
     def graded_with_buyers(self) -> DataFrame:
         return self.graded.join(self.buyers, "stock_code")
@@ -152,13 +162,13 @@ class StockPlan:
     # Summaries --------------------------------------------------------------------------
 
     def abc_summary(self, complete: bool = False) -> DataFrame:
-        return summaries.abc_summary(self.graded, self.policy, complete)
+        return summaries.abc_summary(self.cells, self.policy, complete)
 
     def xyz_summary(self, complete: bool = False) -> DataFrame:
         return summaries.xyz_summary(self.volatility, self.policy, complete)
 
     def matrix_long(self) -> DataFrame:
-        return summaries.matrix_long(self.graded, self.policy)
+        return summaries.matrix_long(self.cells, self.policy)
 
     # Decisions --------------------------------------------------------------------------
 

@@ -30,16 +30,20 @@ def local_session(app_name: str, cores: int = 8, shuffle_partitions: int | None
     return session
 
 
+def shared_path(session: SparkSession, kind: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; every session has to name one."""
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, columns as they are needed.
 
-    The folder is the one ``spark.checkpoint.dir`` names; every session has to name one. What
-    follows depends on these files, not on executors that may be lost.
+    What follows depends on these files, not on executors that may be lost.
     """
     session = df.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = f"{folder}/written-{uuid.uuid4().hex}"
+    path = shared_path(session, "written")
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)

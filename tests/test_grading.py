@@ -126,3 +126,40 @@ def test_order_of_input_does_not_matter(lines):
     for policy in (SQL, SCRIPT):
         first, second = StockPlan(data, policy).sku_master, StockPlan(shuffled, policy).sku_master
         assert first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
+
+
+def test_one_cube_gives_cells_margins_and_the_total(spark, graded):
+    cube = {(r.level, r.abc_class, r.xyz_class): r for r in summaries.class_cube(graded).collect()}
+    assert len(cube) == 3 + 2 + 2 + 1
+    assert (cube[0, "C", "Z"].sku_count, cube[0, "C", "Z"].revenue, cube[0, "C", "Z"].avg_cv) == (2, Decimal(20), 1.75)
+    assert (cube[1, "A", None].sku_count, cube[1, "A", None].revenue, cube[1, "A", None].avg_cv) == (2, Decimal(80), 0.4)
+    assert (cube[2, None, "Z"].sku_count, cube[2, None, "Z"].revenue) == (3, Decimal(30))
+    assert (cube[3, None, None].sku_count, cube[3, None, None].revenue, cube[3, None, None].prices) == (4, Decimal(100), Decimal(10))
+    assert cube[0, "A", "Z"].avg_cv is None
+    empty = summaries.class_cube(graded.limit(0)).collect()
+    assert [(r.level, r.sku_count) for r in empty] in ([], [(3, 0)])
+
+
+def test_views_of_cells_equal_views_of_skus(graded):
+    cells = summaries.class_cells(graded)
+    views = (
+        lambda g: summaries.abc_summary(g, SQL), lambda g: summaries.abc_summary(g, SCRIPT, complete=True), lambda g: summaries.matrix_long(g, SQL),
+        summaries.matrix_counts, summaries.matrix_revenue, lambda g: summaries.matrix_margins(g, SQL), summaries.cell_policy, summaries.high_value_volatile,
+    )
+    for view in views:
+        assert sorted(map(str, view(graded).collect())) == sorted(map(str, view(cells).collect()))
+
+
+def test_means_of_doubles_do_not_depend_on_partitions(spark):
+    values = [(f"S{i}", "A", "X", 0.1 + i / 7, 1.0 / (i + 1), 1.0) for i in range(300)]
+    df = spark.createDataFrame(values, "stock_code string, abc_class string, xyz_class string, cv double, avg_unit_price double, revenue double")
+    df = df.withColumn("total_revenue", F.col("revenue").cast(schemas.MONEY))
+    found = {tuple(summaries.class_cube(df.repartition(n, "stock_code")).where("level = 0").first())[3:] for n in (1, 3, 17)}
+    assert len(found) == 1
+
+
+def test_the_graded_table_is_aggregated_once(lines):
+    plan = StockPlan(revenues(lines, *range(1, 40)))
+    plan.abc_summary().collect()
+    for view in (plan.abc_summary(), plan.matrix_long(), summaries.matrix_counts(plan.cells), summaries.matrix_margins(plan.cells, SQL)):
+        assert set(view.inputFiles()) <= set(plan.cells.inputFiles())

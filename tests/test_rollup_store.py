@@ -1,0 +1,125 @@
+import datetime as dt
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from skumetry import Policy, StockPlan
+from skumetry.sources import rollup_store
+from skumetry.sources.rollup_store import BatchConflict, RollupStore
+
+SQL, SCRIPT = Policy(), Policy(semantics="script")
+
+
+def day(n):
+    return dt.datetime(2011, 1, 3, 10) + dt.timedelta(days=n)
+
+
+@pytest.fixture(scope="module")
+def batches(lines):
+    """Weeks, invoices, customers, and texts of one SKU come in several batches; the third has no clean line."""
+    first = [{"stock_code": f"SKU{i % 5:03d}", "quantity": 1 + i % 7, "invoice_no": str(i // 3), "customer_id": f"c{i % 4}" if i % 9 else None,
+              "invoice_date": day(i), "unit_price": f"{1 + i % 3}.25", "description": "ab"[i % 2]} for i in range(60)]
+    second = [{"stock_code": f"SKU{i % 6:03d}", "quantity": 2 + i % 11, "invoice_no": str(i // 3 + 15), "customer_id": f"c{i % 6}",
+               "invoice_date": day(i // 2 + 40), "description": "bc"[i % 2]} for i in range(80)]
+    return lines(*first), lines(*second), lines({"quantity": -1}, {"invoice_no": "C1"})
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def tables(plan):
+    return {"master": rows(plan.sku_master), "weeks": rows(plan.weekly_demand), "matrix": rows(plan.matrix_long()),
+            "reorder": rows(plan.reorder_points), "list": rows(plan.rationalisation_list)}
+
+
+@pytest.mark.parametrize("policy", [SQL, SCRIPT])
+def test_batches_equal_a_full_run(spark, tmp_path, batches, policy):
+    first, second, third = batches
+    store = RollupStore(spark, str(tmp_path))
+    store.add(StockPlan(first, policy), "1")
+    assert tables(StockPlan(store, policy)) == tables(StockPlan(first, policy))
+    store.add(StockPlan(second, policy), "2")
+    store.add(StockPlan(third, policy), "3")
+    full = tables(StockPlan(first.unionByName(second).unionByName(third), policy))
+    assert tables(StockPlan(store, policy)) == full and full["master"]
+    store.add(StockPlan(second, policy), "2")  # once more
+    assert tables(StockPlan(store, policy)) == full
+    assert store.compact() and store.batches == ["1", "2", "3"] and store.compact() is None
+    assert tables(StockPlan(store, policy)) == full
+
+
+def test_a_batch_is_replaced_as_a_whole(spark, tmp_path, batches):
+    first, second, _ = batches
+    store = RollupStore(spark, str(tmp_path))
+    store.add(StockPlan(first), "1")
+    store.add(StockPlan(second), "1")
+    assert tables(StockPlan(store)) == tables(StockPlan(second))
+
+
+def test_adding_reads_no_old_line_and_only_new_weeks(spark, tmp_path, batches):
+    first, second, _ = batches
+    store = RollupStore(spark, str(tmp_path / "store"))
+    first.write.parquet(str(tmp_path / "first"))
+    second.write.parquet(str(tmp_path / "second"))
+    store.add(StockPlan(spark.read.parquet(str(tmp_path / "first"))), "1")
+    plan = StockPlan(spark.read.parquet(str(tmp_path / "second")))
+    for table in (plan.week_rollup, plan.buyer_pairs_of(), plan.text_counts_of()):
+        assert [f for f in table.inputFiles() if "/second/" not in f] == []
+    store.add(plan, "2")
+    weeks = {r.week_start for r in second.selectExpr("trunc(invoice_date, 'week') AS week_start").distinct().collect()}
+    newest = store._versions()[-1].version
+    assert {r.week_start for r in spark.read.parquet(f"{tmp_path}/store/{newest}/weeks").collect()} == weeks
+    read = StockPlan(store)
+    for table in (read.week_rollup, read.buyers, read.descriptions):
+        assert table.inputFiles() and all("/store/" in f for f in table.inputFiles())
+
+
+def test_a_failed_batch_leaves_the_former_state(spark, tmp_path, batches, monkeypatch):
+    first, second, _ = batches
+    store = RollupStore(spark, str(tmp_path))
+    store.add(StockPlan(first), "1")
+    before = tables(StockPlan(store))
+
+    class Failing(StockPlan):
+        def buyer_pairs_of(self, codes=None):
+            return super().buyer_pairs_of(codes).selectExpr("raise_error('lost') AS stock_code", "invoice_no", "customer_id")
+
+    with pytest.raises(Exception, match="lost"):
+        store.add(Failing(second), "2")
+    assert store.batches == ["1"] and tables(StockPlan(store)) == before
+
+
+def test_conflicts_and_an_empty_store(spark, tmp_path, batches):
+    first, second, _ = batches
+    store = RollupStore(spark, str(tmp_path))
+    assert store.batches == [] and store.compact() is None
+    assert StockPlan(store).sku_master.count() == 0
+    with pytest.raises(LookupError):
+        StockPlan(store).clean(("stock_code",))
+    store.add(StockPlan(first), "1")
+    with pytest.raises(BatchConflict, match="cleaned"):
+        store.add(StockPlan(second, SCRIPT), "2")
+    store.add(StockPlan(second), "2")
+    store.compact()
+    with pytest.raises(BatchConflict, match="merged"):
+        store.add(StockPlan(second), "2")
+
+
+def test_other_errors_than_a_missing_manifest_are_raised(spark, tmp_path, monkeypatch):
+    class Odd(AnalysisException):
+        def getCondition(self):
+            return "OTHER"
+
+    def fail(*_):
+        raise Odd("odd")
+
+    store = RollupStore(spark, str(tmp_path))
+    monkeypatch.setattr(type(spark.read), "json", fail)
+    with pytest.raises(AnalysisException):
+        store.batches  # noqa: B018
+
+
+def test_columns_of_the_partial_tables():
+    assert RollupStore._columns("weeks") == ["stock_code", "week_start", "qty_sold", "revenue_cents", "price_cents", "n_lines", "first_sale", "last_sale"]
+    assert set(rollup_store._TABLES) == {"weeks", "texts", "buyers"}
