@@ -7,9 +7,11 @@ n-gram of a text was counted, the table of the highest order alone scores any do
 back-off at scoring time.
 
 That table is kept as sorted hash arrays: ascending 64-bit keys (24 bits of the language's
-CRC-32, 40 bits of the five bytes) beside their log probabilities. It is sent to the tasks only
-if a count shows that it has at most ``model_rows`` entries of 12 bytes; a larger one is joined
-to the documents' own n-gram counts by a shuffle instead, with the same results.
+CRC-32, 40 bits of the five bytes) beside their costs, negative log probabilities in whole units
+of 2^-20. It is sent to the tasks only if a count shows that it has at most ``model_rows``
+entries of 12 bytes. A larger one stays where it is: texts are dealt to blocks, a block asks for
+its different n-grams once, and its task looks its texts up in a sorted hash array of the answers.
+Costs are whole numbers, so both ways give the same bits.
 
 A document's statistic is its mean negative log probability a byte (the logarithm of its
 perplexity). Each language's band is the median plus and minus multiples of the median absolute
@@ -37,6 +39,11 @@ ORDER = 5
 GRAM_BITS = 8 * ORDER
 #: Entries of the model that may be broadcast: 96 MB.
 MODEL_ROWS = 8_000_000
+#: Costs are whole multiples of one part of this many.
+COST_UNIT = 1 << 20
+#: Different texts of a block, for models that are not broadcast; tasks that hold blocks.
+BLOCK_BYTES = 16 << 20
+MOST_TASKS = 20_000
 #: Counts that a task gathers before it hands them on.
 TASK_GRAMS = 1_500_000
 #: The band: so many scaled median absolute deviations below and above the median.
@@ -143,7 +150,9 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         context = F.shiftright("gram", 8).alias("context")
         counted = orders[k].select("lang24", "gram", "n", context)
-        totals = counted.groupBy("lang24", "context").agg(F.sum("n").alias("total"), F.sum(discount).alias("held_back"))
+        # Whole counts times discounts: the same bits in whatever order partial sums were merged.
+        held_back = sum((F.count_if(found) * d for found, d in ((F.col("n") == 1, d1), (F.col("n") == 2, d2), (F.col("n") > 2, d3))), F.lit(0.0))
+        totals = counted.groupBy("lang24", "context").agg(F.sum("n").alias("total"), held_back.alias("held_back"))
         p = counted.join(totals, ["lang24", "context"]).select(
             "lang24", "gram", ((F.col("n") - discount) / F.col("total")).alias("own"), (F.col("held_back") / F.col("total")).alias("rest")
         )
@@ -189,80 +198,145 @@ def text_statistics(texts: list[str | None], data: np.ndarray, offsets: np.ndarr
     return out
 
 
-def _scored(docs: DataFrame, model) -> DataFrame:
-    """Statistics of each document and, with a model, ``sum_logp`` over its bytes."""
-    keep = [c for c in docs.columns if c not in ("text", "n_bytes", "sum_logp", *STATISTICS)]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for name in (*STATISTICS, "n_bytes"):
+def _statistics(docs: DataFrame, model=None) -> DataFrame:
+    """``row``, ``lang``, ``text_key`` (if there), the statistics and, with a model, ``cost`` of each text."""
+    keep = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*keep).schema
+    for name in (*STATISTICS, "n_bytes", "cost"):
         schema = schema.add(name, "long")
-    schema = schema.add("sum_logp", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = model.value if model else (None, None)
         for batch in textbytes.slices(batches):
             column = batch.column("text")
             data, offsets = textbytes.flatten(column)
             stats = text_statistics(column.to_pylist(), data, offsets)
-            sums = np.zeros(batch.num_rows)
-            if model and len(data):
-                own = gram_keys(data, offsets, batch.column("lang").to_pylist())
-                order = np.argsort(own)  # sorted look-ups walk through the array once
-                found = np.empty(len(own), np.float32)
-                found[order] = logs[np.searchsorted(keys, own[order])]
-                running = np.r_[0.0, np.cumsum(found, dtype=np.float64)]
-                sums = running[offsets[1:]] - running[offsets[:-1]]
+            costs = text_costs(data, offsets, batch.column("lang").to_pylist(), *model.value) if model else np.zeros(batch.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(stats[s], pa.int64()) for s in STATISTICS]
-                + [pa.array(np.diff(offsets)), pa.array(sums)], [*keep, *STATISTICS, "n_bytes", "sum_logp"],
+                + [pa.array(np.diff(offsets)), pa.array(costs)], schema.names,
             )
 
     return docs.mapInArrow(score, schema)
 
 
-def _joined_sums(docs: DataFrame, logs: DataFrame) -> DataFrame:
-    """``text_key`` and ``sum_logp`` of each different (language, text), by a shuffle join."""
+def text_costs(data: np.ndarray, offsets: np.ndarray, langs: list[str | None], keys: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """The sum of the costs of each text's bytes, whole numbers, from sorted ``keys`` and their ``costs``."""
+    own = gram_keys(data, offsets, langs)
+    if not len(own):
+        return np.zeros(len(offsets) - 1, np.int64)
+    order = np.argsort(own)  # sorted look-ups walk through the array once
+    found = np.empty(len(own), np.int64)
+    found[order] = costs[np.searchsorted(keys, own[order])]
+    running = np.r_[0, np.cumsum(found)]
+    return running[offsets[1:]] - running[offsets[:-1]]
+
+
+def _sorted_arrays(keys: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys.astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], costs[order].astype(np.int32)
+
+
+def _block_costs(docs: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``text_key`` and ``cost`` of each different (language, text), for a model of any size.
+
+    Different texts are dealt to blocks of about ``block_bytes``. A block asks for its different
+    grams once; the answers and its texts meet in one task, which holds one block at a time.
+    """
+    full = docs.where(F.octet_length("text") > 0).select("text_key", "lang", "text")
+    size = full.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    tasks = min(blocks, MOST_TASKS)
+    block = F.pmod(F.xxhash64("text_key"), F.lit(blocks)).alias("block")
+    texts = stored(full.select(block, "*").repartition(tasks, "block").dropDuplicates(["block", "text_key"]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = {}, 0
+
+        def out():
+            for number, keys in held.items():
+                keys = np.unique(np.concatenate(keys)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number, np.int64)), pa.array(keys)], ["block", "key"])
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textbytes.slices(batches):
             data, offsets = textbytes.flatten(batch.column("text"))
             keys = gram_keys(data, offsets, batch.column("lang").to_pylist())
-            for row, text_key in enumerate(batch.column("text_key").to_pylist()):
-                k, n = np.unique(keys[offsets[row]: offsets[row + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([text_key] * len(k), pa.string()), pa.array((k >> np.uint64(GRAM_BITS)).astype(np.int64)),
-                     pa.array((k & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64)), pa.array(n.astype(np.int64))],
-                    ["text_key", "lang24", "gram", "n"],
-                )
+            owners = np.repeat(batch.column("block").to_numpy(), np.diff(offsets))
+            for number in np.unique(owners).tolist():
+                own = np.unique(keys[owners == number])
+                held.setdefault(number, []).append(own)
+                count += len(own)
+            if count > TASK_GRAMS:
+                yield from out()
+                held, count = {}, 0
+        yield from out()
+
+    asked = texts.mapInArrow(ask, "block long, key long")
+    answers = asked.join(model, "key").select(
+        "block", F.lit(0).alias("kind"), "key", "cost", F.lit(None).cast("string").alias("text_key"), F.lit(None).cast("string").alias("lang"),
+        F.lit(None).cast("string").alias("text"),
+    )
+    asking = texts.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("cost"), "text_key", "lang", "text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, keys, costs, arrays = None, [], [], None
+        for batch in textbytes.slices(batches):
+            owners, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((owners[1:] != owners[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                part = batch.slice(start, stop - start)
+                if owners[start] != number:
+                    number, keys, costs, arrays = owners[start], [], [], None
+                if kinds[start] == 0:
+                    keys.append(part.column("key").to_numpy())
+                    costs.append(part.column("cost").to_numpy())
+                    continue
+                if arrays is None:  # all answers of a block come before its texts
+                    arrays = _sorted_arrays(np.concatenate(keys), np.concatenate(costs))
+                    keys, costs = [], []
+                data, offsets = textbytes.flatten(part.column("text"))
+                sums = text_costs(data, offsets, part.column("lang").to_pylist(), *arrays)
+                yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array(sums)], ["text_key", "cost"])
+
+    together = answers.unionByName(asking).repartition(tasks, "block").sortWithinPartitions("block", "kind")
+    return together.mapInArrow(score, "text_key string, cost long")
+
+
+def _score(docs: DataFrame, model_rows: int) -> DataFrame:
+    """``row``, ``lang``, the statistics, ``n_bytes`` and ``log_perplexity`` of ``row, lang, text``."""
+    logs = stored(kneser_ney(stored(count_grams(docs))))
+    model = logs.select(F.shiftleft("lang24", GRAM_BITS).bitwiseOR(F.col("gram")).alias("key"), F.round(F.col("logp") * -COST_UNIT).cast("int").alias("cost"))
+    if logs.count() <= model_rows:
+        rows = model.toArrow()  # at most ``model_rows``
+        arrays = _sorted_arrays(rows.column("key").to_numpy(), rows.column("cost").to_numpy())
+        scored = _statistics(docs, docs.sparkSession.sparkContext.broadcast(arrays))
+    else:
+        # The language's length keeps ("a", "b c") and ("a b", "c") apart.
+        lang = F.coalesce("lang", F.lit(""))
+        keyed = docs.withColumn("text_key", F.sha2(F.concat(F.octet_length(lang).cast("string"), F.lit(":"), lang, F.coalesce("text", F.lit(""))), 256))
+        costs = stored(_block_costs(keyed, model))
+        scored = _statistics(keyed).drop("cost").join(costs, "text_key", "left").withColumn("cost", F.coalesce("cost", F.lit(0).cast("long")))
+    log_perplexity = F.when(F.col("n_bytes") > 0, F.col("cost") / (F.col("n_bytes") * COST_UNIT)).otherwise(0.0)
+    return scored.select("row", "lang", *STATISTICS, "n_bytes", log_perplexity.alias("log_perplexity"))
 
-    own = docs.select("text", "lang", "text_key").dropDuplicates(["text_key"]).mapInArrow(explode, "text_key string, lang24 long, gram long, n long")
-    return own.join(logs, ["lang24", "gram"]).groupBy("text_key").agg(F.sum(F.col("n") * F.col("logp")).alias("joined_logp"))
+
+def _with_row(docs: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` as ``row, lang, text``, and the columns that a result with ``added`` takes from ``row``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in added], F.lit(0).alias("text")).alias("row")
+    return docs.select(row, "lang", "text"), [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text" and c not in added]
 
 
 def score_documents(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     """``docs`` without its text, with the base statistics, ``n_bytes`` and ``log_perplexity``.
 
     Null and empty texts count as texts without words; their log perplexity is 0. A null
-    language is a language of its own. Columns of ``docs`` that bear the name of a result column
-    are replaced, other columns are kept.
+    language counts as the empty one. Columns of ``docs`` that bear the name of a result column
+    are replaced, other columns are kept. Results are the same, to the last bit, on either side
+    of ``model_rows``.
     """
-    keep = [c for c in docs.columns if c not in ("text", "n_bytes", "log_perplexity", *STATISTICS)]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
-    logs = stored(kneser_ney(stored(count_grams(docs))))
-    if logs.count() <= model_rows:
-        key = F.shiftleft("lang24", GRAM_BITS).bitwiseOR(F.col("gram")).alias("key")
-        rows = logs.select(key, F.col("logp").cast("float")).toArrow()
-        keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        arrays = keys[order], rows.column("logp").to_numpy()[order].astype(np.float32)
-        scored = _scored(docs, docs.sparkSession.sparkContext.broadcast(arrays))
-    else:
-        text_key = F.sha2(F.concat_ws(" ", F.coalesce("lang", F.lit("")), "text"), 256)
-        keyed = docs.withColumn("text_key", text_key)
-        sums = stored(_joined_sums(keyed, logs))
-        scored = _scored(keyed, None).join(sums, "text_key", "left").withColumn("sum_logp", F.coalesce("joined_logp", F.lit(0.0)))
-    log_perplexity = F.when(F.col("n_bytes") > 0, -F.col("sum_logp") / F.col("n_bytes")).otherwise(0.0)
-    return scored.select(*[F.col(f"`{c}`") for c in keep], *STATISTICS, "n_bytes", log_perplexity.alias("log_perplexity"))
+    added = (*STATISTICS, "n_bytes", "log_perplexity")
+    rows, kept = _with_row(docs, added)
+    return _score(rows, model_rows).select(*kept, *added)
 
 
 def base_failed() -> Column:
@@ -303,9 +377,9 @@ def quality_verdicts(docs: DataFrame, model_rows: int = MODEL_ROWS, below: float
     ``kept`` is false where the base rules fail or the log perplexity lies outside the band of
     the document's language. An empty table gives an empty result.
     """
-    clash = ("base_failed", "kept", "lowest", "highest", "_lang", "_salt")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in clash])
-    scored = stored(score_documents(docs, model_rows))
+    added = (*STATISTICS, "n_bytes", "log_perplexity", "base_failed", "kept")
+    rows, kept = _with_row(docs, added)
+    scored = stored(_score(rows, model_rows))
     bands = perplexity_bands(scored, below, above).withColumnRenamed("lang", "_lang")
     inside = F.col("log_perplexity").between(F.col("lowest"), F.col("highest"))
     rows = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_salt", F.pmod(F.hash("n_bytes", "log_perplexity"), F.lit(SALTS)))
@@ -314,12 +388,8 @@ def quality_verdicts(docs: DataFrame, model_rows: int = MODEL_ROWS, below: float
         banded = rows.join(F.broadcast(bands), "_lang", "left")
     else:
         banded = rows.join(bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_lang", "_salt"], "left")
-    return (
-        banded
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-        .drop("_lang", "_salt", "lowest", "highest")
-    )
+    banded = banded.withColumn("base_failed", base_failed())
+    return banded.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).select(*kept, *added)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -97,5 +97,48 @@ def test_band_rejects_a_text_unlike_its_language(spark):
     assert got == {i: (False, i != 99) for i, _, _ in rows}
 
 
+def both_ways(docs, **band):
+    return [{r.doc_id: r for r in quality.quality_verdicts(docs, limit, **band).collect()} for limit in (quality.MODEL_ROWS, 0)]
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 3000])
+def test_both_look_ups_agree_to_the_last_bit(spark, rows, monkeypatch, block_bytes):
+    """Also where a blank in ``lang`` makes two (language, text) pairs read alike, and with texts of several blocks."""
+    monkeypatch.setattr(quality._block_costs, "__defaults__", (block_bytes,))
+    # Bands as narrow as this have texts at and beyond their edges.
+    given = rows[:60] + [(300, "a", "b c " + rows[1][2]), (301, "a b", "c " + rows[1][2]), (302, "a", rows[2][2]), (303, "en", None), (304, "", "x")]
+    docs = spark.createDataFrame(given, "doc_id long, lang string, text string")
+    small, large = both_ways(docs, below=0.5, above=0.5)
+    assert small == large and len({r.kept for r in small.values()}) == 2
+    assert small[300].log_perplexity != small[301].log_perplexity
+
+
+def test_texts_longer_than_a_slice(spark, rows):
+    long = " ".join(r[2] for r in rows[:60]) * 60
+    assert len(long) > 1 << 20
+    docs = spark.createDataFrame([(1, "en", long), (2, "en", rows[0][2]), (3, "en", long)], "doc_id long, lang string, text string")
+    small, large = both_ways(docs)
+    assert small == large
+    for doc_id, text in ((1, long), (2, rows[0][2])):
+        assert tuple(small[doc_id][s] for s in quality.STATISTICS) == brute_statistics(text)
+    assert small[1][1:] == small[3][1:]
+
+
+def test_columns_of_any_name_are_kept(spark, rows):
+    extra = ("lowest", "highest", "_lang", "_salt", "text_key", "cost", "row", "key", "block", "kind", "sum_logp", "a.b")
+    docs = spark.createDataFrame([(*r, *map(str, range(len(extra)))) for r in rows[:20]],
+                                 "doc_id long, lang string, text string, " + ", ".join(f"`{c}` string" for c in extra))
+    for limit in (quality.MODEL_ROWS, 0):
+        got = quality.quality_verdicts(docs, limit)
+        assert got.columns[: 2 + len(extra)] == ["doc_id", "lang", *extra]
+        assert all(tuple(r)[2: 2 + len(extra)] == tuple(map(str, range(len(extra)))) for r in got.collect())
+
+
+def test_a_text_at_the_edge_of_its_band_is_kept(spark):
+    scored = spark.createDataFrame([("x", 60, 0, v) for v in (1.0, 1.0, 1.0)], "lang string, n_words long, n_repeat_words long, log_perplexity double")
+    band = quality.perplexity_bands(scored, 0.0, 0.0).first()
+    assert band.lowest == band.highest == 1.0
+
+
 def test_no_documents(spark):
     assert quality.quality_verdicts(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
