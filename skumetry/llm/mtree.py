@@ -20,27 +20,73 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skumetry.llm.shared import stored
+from skumetry.llm.tiles import PLAIN, Best, Vectors, by_length
 
 #: The bound on the sample of pivots.
 PIVOTS = 64
 #: Vectors of a tree, about; entries of a page; trees of a group; queries of a block.
 TREE, PAGE, GROUP, BLOCK = 4096, 256, 8, 256
 SLACK = 1e-6
+#: Queries of a block that is multiplied in tiles.
+TILE_BLOCK = 1024
 
 
-def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id`` and ``v``, an array of long, of every row that has an id and only finite components."""
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """``vec_id`` and ``x``, an array of double, of every row that has an id and only finite components."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    x = F.transform("embedding", lambda x: x.cast("double"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+
+
+def is_ordinary() -> Column:
+    """Whether 64 bits hold every inner product of a vector with others of its kind."""
+    return F.forall("x", lambda x: F.abs(x * 256) <= PLAIN)
+
+
+def _whole(vectors: DataFrame) -> DataFrame:
+    """``vec_id`` and ``v``, the whole numbers of ordinary vectors."""
+    return vectors.select("vec_id", F.transform("x", lambda x: F.floor(x * 256).cast("long")).alias("v"))
+
+
+def _by_tiles(rows: DataFrame, asked: DataFrame, k: int) -> list[DataFrame]:
+    """``query_id``, ``vec_id``, ``score`` of pairs that trees cannot hold, a table for each block of queries.
+
+    A block has a bounded number of queries; every task reads its rows once and hands on the best
+    ``k`` for each query. Scores beyond 64 bits count as the nearest long.
+    """
+    blocks = asked.count() // TILE_BLOCK + 1
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)))
+    return [_of_block(rows, asked.where(F.col("block") == b).orderBy("vec_id", "x").collect(), k) for b in range(blocks)]
+
+
+def _of_block(rows: DataFrame, chosen: list, k: int) -> DataFrame:
+    ids = np.array([q.vec_id for q in chosen], np.int64)
+    lengths = np.array([len(q.x) for q in chosen], np.int64)
+    given = [q.x for q in chosen]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
+        tiles = {n: Vectors(np.array([given[i] for i in np.flatnonzero(lengths == n)], np.float64)) for n in set(lengths.tolist()) if n}
+        for batch in batches:
+            others = batch.column("vec_id").to_numpy()
+            for at, x in by_length(batch.column("x")):
+                if x.shape[1] in tiles:
+                    own = np.flatnonzero(lengths == x.shape[1])
+                    scores = tiles[x.shape[1]].scores(Vectors(x))
+                    best.add(own, scores, others[at], ids[own][:, None] != others[at][None, :])
+        number, found, scores = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[number], found, scores)], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(best, "query_id long, vec_id long, score long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -168,9 +214,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     id, and vectors that are null or hold null or non-finite components, take no part. A query's
     candidates are the rows of its own length with another ``vec_id``. Ties go to the smaller
     id; repeated rows are ranked one after the other. Few candidates give few rows.
+
+    Trees hold vectors whose whole numbers have at most 21 bits; pairs with a longer one are
+    multiplied as whole numbers of any size, and scores beyond 64 bits count as the nearest long.
     """
-    rows = stored(whole_vectors(vectors))
-    asked = stored(whole_vectors(queries).dropDuplicates(["vec_id", "v"]))
+    every = stored(usable_vectors(vectors))
+    wanted = usable_vectors(queries).dropDuplicates(["vec_id", "x"])
+    rows, asked = stored(_whole(every.where(is_ordinary()))), stored(_whole(wanted.where(is_ordinary())))
+    wide, wide_asked = stored(every.where(~is_ordinary())), stored(wanted.where(~is_ordinary()))
+    tiled = [] if wide.isEmpty() else _by_tiles(wide, wanted.where(is_ordinary()), k)
+    tiled += [] if wide_asked.isEmpty() else _by_tiles(every, wide_asked, k)
     square = F.aggregate("v", F.lit(0).cast("long"), lambda acc, x: acc + x * x)
     longest, count = rows.agg(F.max(square), F.count(F.lit(1))).first()
     longest = longest or 0
@@ -225,8 +278,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             if done is not None:
                 yield done
 
-    dealt = trees.unionByName(blocks).repartition(groups, "g").sortWithinPartitions(*order)
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
+    # One group a task: group numbers name partitions, they are not hashed into them.
+    dealt = trees.unionByName(blocks).repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions(*order)
+    found = reduce(DataFrame.unionByName, tiled, dealt.mapInArrow(search, "query_id long, vec_id long, score long"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

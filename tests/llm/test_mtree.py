@@ -37,6 +37,36 @@ def test_equals_brute_force(spark, monkeypatch, tree, page):
     assert sorted(map(tuple, got.collect())) == brute(vectors(), set(range(0, 1000, 50)))
 
 
+def whole(x):
+    return int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_finite_vectors_of_any_size(spark, monkeypatch, block):
+    """Products are exact, whatever their size; scores beyond 64 bits count as the nearest long."""
+    monkeypatch.setattr(mtree, "TILE_BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(1, 40)]
+    rows += [(50, [1e300, 1.0, 0.5]), (51, [-1e300, 1.0, 2.0]), (52, [1e300, -1e300, 3.0]), (100, [2.0**40, 1.0, -3.0]), (101, [1.5e13, 0.25, 0.0]), (101, [1.5e13, 0.25, 0.0]),
+             (150, [0.0, 0.5, 1.0]), (151, [8192.0, -8192.0, 8191.99]), (200, [1e300]), (201, [2.0]), (202, [-1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, df.where("vec_id % 50 = 0"))
+    expected = []
+    for i, q in rows:
+        if i % 50 == 0:
+            pairs = [(max(min(sum(whole(a) * whole(b) for a, b in zip(q, v)), 2**63 - 1), -(2**63) + 1), j) for j, v in rows if j != i and len(v) == len(q)]
+            expected += [(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(pairs, key=lambda p: (-p[0], p[1]))[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_each_group_has_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE", 20)
+    monkeypatch.setattr(mtree, "GROUP", 2)
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>")
+    plan = mtree.top_k(df, df.where("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_ID" in plan.upper() or "passthrough" in plan.lower() or "direct" in plan.lower(), plan
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, mtree.top_k(df, df.where("vec_id = 0")).collect())) == [(0, 1, 1, 256 * 512), (0, 2, 2, 256 * 512)]
