@@ -50,8 +50,9 @@ from skumetry.llm.shared import discard, stored
 LEADER_ROUNDS, NEAREST_ROUNDS = 1, 1
 #: Classes of one part that a task compares at a time.
 BLOCK = 2048
-#: Bits of a compact sketch for each element that may differ.
-SKETCH_BITS = 16
+#: Bits of a compact sketch for each element that may differ. Sketches travel with every key of a
+#: class, so they are kept short; what passes them is verified on the sets.
+SKETCH_BITS = 8
 #: Classes whose numbers are sent to all tasks at most, to pick out their texts before a shuffle.
 MOST_SENT = 1_000_000
 #: The least similarity, in hundredths, for which parts of sketches are the keys.
@@ -375,13 +376,25 @@ def _near_pairs(mixed: DataFrame, sketches: DataFrame, nearest: bool, rule: Rule
     return dealt.mapInArrow(compare, "a long, b long").select(*_ordered("a", "b")).distinct()
 
 
+def _different_groups(shared: DataFrame) -> DataFrame:
+    """One ``key`` for each different group of classes that share a key; other keys of a group give the same pairs.
+
+    Groups are told apart by their size and 128 bits, combined from their members in any order.
+    """
+    bits = [F.bit_xor(F.xxhash64("node", "guest", F.lit(i))).alias(f"bits{i}") for i in (0, 1)]
+    groups = shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *bits)
+    return groups.groupBy("rows", "bits0", "bits1").agg(F.min("key").alias("key")).select("key")
+
+
 def _class_links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a``, ``b`` between classes, enough to connect every component."""
     entries = _entries(docs, rule)
     # One shuffle of the entries: which classes a key has is seen where its rows stand.
     same = Window.partitionBy("key")
     several = entries.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)}).where("low <> high")
-    mixed = stored(several.select("key", "node", "guest").distinct().withColumn("component", F.col("node")))
+    shared = stored(several.select("key", "node", "guest").distinct().withColumn("component", F.col("node")))
+    mixed = stored(shared.join(_different_groups(shared), "key", "left_semi"))
+    discard(shared)
     texts = stored(_texts(docs, signed, mixed.select("node").distinct()))
     sketches = stored(_sketches(signed))
     found = None

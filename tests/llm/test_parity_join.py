@@ -191,3 +191,9 @@ def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
     got = sorted(map(tuple, parity_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
     assert sum(g.count() for g in given) < 5 * len(rows)
+
+
+def test_one_key_stays_for_each_group(spark):
+    rows = [(k, n, g) for k, members in ((1, "ab"), (2, "ba"), (3, "abc"), (4, "ab"), (5, "cd"), (6, "cd")) for n, g in ((ord(m), k == 4) for m in members)]
+    got = parity_join._different_groups(spark.createDataFrame(rows, "key long, node long, guest boolean"))
+    assert sorted(r.key for r in got.collect()) == [1, 3, 4, 5]
