@@ -45,7 +45,7 @@ COST_UNIT = 1 << 20
 BLOCK_BYTES = 16 << 20
 MOST_TASKS = 20_000
 #: Counts that a task gathers before it hands them on.
-TASK_GRAMS = 1_500_000
+TASK_GRAMS = 750_000
 #: The band: so many scaled median absolute deviations below and above the median.
 BELOW, ABOVE = 6.0, 4.0
 #: The least scale, so that a language of very regular texts keeps a band of some width.
