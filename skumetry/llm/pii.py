@@ -7,7 +7,10 @@ runs of tokens with digits, spaced, bracketed or in one piece, for every kind, a
 other at-forms, with or without digits, for e-mail alone. In each
 iteration a pattern's confidence is the score of its instances over their number, held back
 where few different seeds support it, and an instance's score is the highest confidence of a
-pattern that it occurs with. Instances that occur after patterns of high confidence are found
+pattern that it occurs with. Instances that reach the confidence to extract are seeds of the
+next iteration, so words that only ever precede discovered identifiers become patterns too.
+What is learned over more steps is less sure, as each step multiplies by a confidence below one.
+Instances that occur after patterns of high confidence are found
 as well, under the kind of entity that taught the pattern.
 
 Everything is DataFrame functions. Texts are read once; what follows works on the entities and
@@ -35,19 +38,20 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 # A token holds a digit; its joints are within it. Tokens are joined by a space, brackets, a dash,
 # a slash or a spaced dot, and a plain word ends the run; a few capitals may stand between digits.
-_TOKEN = r"(?=[A-Za-z._@-]{0,64}[0-9])[A-Za-z0-9](?:[._@-]?+[A-Za-z0-9]){0,63}+(?![A-Za-z0-9@_])"
+_TOKEN = r"(?=[A-Za-z._@-]*+[0-9])[A-Za-z0-9](?:[._@-]?+[A-Za-z0-9])*+(?![A-Za-z0-9@_])"
 _SPACE = "[  ]"
 _JOINT = rf"[)\]]?(?:{_SPACE}?[-–/]{_SPACE}?|{_SPACE}\.{_SPACE}|{_SPACE}?[(\[]|{_SPACE}|(?<=[)\]]))"
 #: An identifier of unknown form: a run of tokens, with at least four digits and six letters or digits.
-CANDIDATE = rf"(?<![A-Za-z0-9@._%+-])\+?[(\[]?{_TOKEN}(?:{_JOINT}(?:[A-Z]{{1,4}}{_SPACE}(?=[0-9]))?{_TOKEN}){{0,15}}+"
+CANDIDATE = rf"(?<![A-Za-z0-9@._%+-])\+?[(\[]?{_TOKEN}(?:{_JOINT}(?:[A-Z]{{1,4}}{_SPACE}(?=[0-9]))?{_TOKEN})*+"
 
 _AT = r"(?i:at|ät|arroba|arobase|@)"
 _DOT = rf"(?:\.| \. (?=\p{{Ll}})| ?[(\[{{<] ?(?i:dot|punkt|point|punto|\.) ?[)\]}}>] ?| (?i:dot|punkt|point|punto) )"
 #: An e-mail address of unknown form: any mark for at; an at between blanks asks for a dot after it.
+#: The part before the mark ends where a joint, "at" and a joint follow.
 MAIL = (
-    r"(?<![\p{L}0-9._%+-])[\p{L}0-9%+]++(?:[._-][\p{L}0-9%+]++){0,10}?"
-    rf"(?:(?: ?@ ?| ?[(\[{{<] ?{_AT} ?[)\]}}>] ?)[\p{{L}}0-9-]++(?:{_DOT}[\p{{L}}0-9-]++){{0,8}}+"
-    rf"|[ _-](?i:at)[ _-][\p{{L}}0-9-]++(?:{_DOT}[\p{{L}}0-9-]++){{1,8}}+)"
+    r"(?<![\p{L}0-9._%+-])[\p{L}0-9%+]++(?:(?![_-](?i:at)[_-])[._-][\p{L}0-9%+]++)*+"
+    rf"(?:(?: ?@ ?| ?[(\[{{<] ?{_AT} ?[)\]}}>] ?)[\p{{L}}0-9-]++(?:{_DOT}[\p{{L}}0-9-]++)*+"
+    rf"|[ _-](?i:at)[ _-][\p{{L}}0-9-]++(?:{_DOT}[\p{{L}}0-9-]++)++)"
 )
 
 #: Words of context before an entity, and how many of its characters are looked at.
@@ -61,7 +65,7 @@ HELD_BACK = 1.0
 
 
 def _matches(text: Column, pattern: str, likely: Column) -> Column:
-    """Every match as ``begin`` (code points), ``token`` and the ``left`` end of the text between.
+    """Every match as ``begin`` (code points), ``token`` and ``left``, the end of the text before it.
 
     Texts that cannot hold a match, by the cheap test ``likely``, are not searched.
     """
@@ -69,19 +73,18 @@ def _matches(text: Column, pattern: str, likely: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("token"), F.slice(between, 1, F.size(between) - 1).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    placed = F.aggregate(
-        pairs,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["token"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("begin"), x["token"].alias("token"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("out"))
+
+    def place(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        left = F.right(F.concat(acc["before"], x["gap"]), F.lit(CONTEXT))
+        return F.struct(
+            (begin + F.length(x["token"])).alias("at"),
+            F.right(F.concat(left, x["token"]), F.lit(CONTEXT)).alias("before"),
+            F.concat(acc["out"], F.array(F.struct(begin.alias("begin"), x["token"].alias("token"), left.alias("left")))).alias("out"),
+        )
+
+    placed = F.aggregate(pairs, start, place, lambda acc: acc["out"])
     return F.when(likely, placed).otherwise(none)
 
 
@@ -158,31 +161,34 @@ def _mail_only(entity: str) -> Column:
     return F.col(f"{entity}.kind").isNull() & ~_is_run(F.col(f"{entity}.token"))
 
 
-def pattern_confidences(found: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """``pattern``, ``kind``, ``confidence``: how surely a pattern precedes a kind of entity."""
+def pattern_confidences(found: DataFrame, iterations: int = ITERATIONS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """``pattern``, ``kind``, ``confidence``: how surely a pattern precedes a kind of entity.
+
+    A pattern needs ``MIN_SEEDS`` different seeds of the kind: base entities, and from the second
+    iteration on candidates whose score reached ``min_confidence`` in the one before.
+    """
     entity, is_mail = F.explode(F.concat("base", "others")), F.col("kind") == KINDS.index("email")
     edges = stored(
         found.select(entity.alias("e")).select(_pattern(F.col("e.left")).alias("pattern"), F.col("e.token").alias("instance"), F.col("e.kind").alias("kind"), _mail_only("e").alias("mail"))
         .where("pattern is not null").distinct()
     )
-    seeds = edges.where("kind is not null")
-    supported = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("every"), F.count_if("mail").alias("mails"))
+    total = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("every"), F.count_if("mail").alias("mails")))
+    base = stored(edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("entities")))
+    candidates = edges.where("kind is null").select("pattern", "instance", "mail")
     instances = F.col("every") - F.when(is_mail, 0).otherwise(F.col("mails"))
-    usable = stored(supported.join(total, "pattern").select("pattern", "kind", "seeds", instances.alias("instances")))
-    candidates = stored(edges.where("kind is null").join(usable.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance", "mail"))
-    scores = None
-    for _ in range(iterations):
-        share = F.col("seeds") / (F.col("instances") + HELD_BACK)
-        if scores is None:
-            confident = usable.select("pattern", "kind", share.alias("confidence"))
-        else:
-            gained = candidates.join(scores, "instance").where(~F.col("mail") | is_mail).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-            confident = usable.join(gained, ["pattern", "kind"], "left").select(
-                "pattern", "kind", (share + F.coalesce("gained", F.lit(0.0)) / (F.col("instances") + HELD_BACK)).alias("confidence")
-            )
-        confident = stored(confident)
-        scores = stored(candidates.join(confident, "pattern").where(~F.col("mail") | is_mail).groupBy("instance", "kind").agg(F.max("confidence").alias("score")))
+    support = base.select("*", F.lit(0.0).alias("gained"), F.lit(0).alias("discovered"))
+    for step in range(iterations):
+        if step:
+            reached = candidates.join(scores, "instance").where(~F.col("mail") | is_mail)  # noqa: F821
+            gained = reached.groupBy("pattern", "kind").agg(F.sum("score").alias("gained"), F.count_if(F.col("score") >= min_confidence).alias("discovered"))
+            support = base.join(gained, ["pattern", "kind"], "full")
+        none = {"entities": 0, "gained": 0.0, "discovered": 0}
+        seeded = support.fillna(none).where(F.col("entities") + F.col("discovered") >= MIN_SEEDS)
+        confident = stored(
+            seeded.join(total, "pattern").select("pattern", "kind", ((F.col("entities") + F.col("gained")) / (instances + HELD_BACK)).alias("confidence"))
+        )
+        if step + 1 < iterations:
+            scores = stored(candidates.join(confident, "pattern").where(~F.col("mail") | is_mail).groupBy("instance", "kind").agg(F.max("confidence").alias("score")))
     return confident
 
 
@@ -190,12 +196,13 @@ def extract(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFram
     """``docs`` without its text, with ``base`` and ``found``, arrays of ``kind``, ``begin``, ``end``.
 
     ``found`` are the entities that context alone gives away. They overlap no base entity. Null
-    and empty texts have neither. Repeated rows and null ids are kept; columns of ``docs`` that
-    bear a result's name are replaced.
+    and empty texts have neither. Repeated rows and null ids are kept; columns of ``docs`` named
+    ``base`` or ``found`` are replaced, all others are kept.
     """
-    keep = [c for c in docs.columns if c not in ("text", "base", "found", "others", "_row")]
-    entities = stored(find_entities(docs.select(*[F.col(f"`{c}`") for c in keep], "text", F.xxhash64("text").alias("_row"))))
-    confident = pattern_confidences(entities).where(F.col("confidence") >= min_confidence)
+    keep = [c for c in docs.columns if c not in ("text", "base", "found")]
+    own = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    entities = stored(find_entities(docs.select(*own, "text", F.xxhash64("text").alias("_row"))))
+    confident = pattern_confidences(entities, min_confidence=min_confidence).where(F.col("confidence") >= min_confidence)
     best = confident.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind")).withColumn("mail", F.lit(False))
     best = best.unionByName(confident.where(F.col("kind") == KINDS.index("email")).select("pattern", "kind", F.lit(True).alias("mail")))
     # Texts are told apart by their hash and their candidates, so equal texts are searched once.
@@ -209,7 +216,7 @@ def extract(docs: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFram
     none = F.array().cast("array<struct<kind:int,begin:int,end:int>>")
     return (
         entities.join(stored(hits), "_row", "left")
-        .select(*[F.col(f"`{c}`") for c in keep], plain.alias("base"), F.coalesce("found", none).alias("found"))
+        .select(*[F.col(f"row.`{c}`") for c in keep], plain.alias("base"), F.coalesce("found", none).alias("found"))
     )
 
 

@@ -124,3 +124,74 @@ def test_overlapping_spans_are_masked_to_the_last_end(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.masked(pii.extract(docs).join(docs, "doc_id")).collect()}
     assert got == {1: "at [IP] it", 2: "at [IP] or [CARD] it"}
+
+
+def brute_confidences(edges, iterations=pii.ITERATIONS, least=pii.MIN_CONFIDENCE):
+    """``edges`` are different (pattern, instance, kind or None, whether it may be e-mail only)."""
+    fits = lambda kind, mail: kind == 0 or not mail
+    scores, confident = {}, {}
+    for _ in range(iterations):
+        confident = {}
+        for p in {e[0] for e in edges}:
+            own = [e for e in edges if e[0] == p]
+            for kind in range(len(pii.KINDS)):
+                known = sum(e[2] == kind for e in own)
+                reached = [scores[e[1], kind] for e in own if e[2] is None and fits(kind, e[3]) and (e[1], kind) in scores]
+                if known + sum(x >= least for x in reached) >= pii.MIN_SEEDS:
+                    confident[p, kind] = (known + sum(reached)) / (sum(fits(kind, e[3]) for e in own) + pii.HELD_BACK)
+        scores = {}
+        for p, instance, kind, mail in edges:
+            for (q, k), c in confident.items():
+                if kind is None and q == p and fits(k, mail):
+                    scores[instance, k] = max(scores.get((instance, k), 0.0), c)
+    return confident
+
+
+def test_confidences_equal_a_plain_graph(spark):
+    rng = random.Random(12)
+    words = ["card", "call", "ref", "mail", "konto", "acct"]
+    known = {0: [f"u{i}@x.org" for i in range(12)], 2: [f"card{i}" for i in range(14)], 3: [f"+{i}" for i in range(9)]}
+    unknown = [f"AB-{1000 + i}" for i in range(25)] + [f"u{i}(at)x.org" for i in range(10)]
+    span = lambda kind, token, word: (kind, 0, 1, token, f"see {word} ")
+    rows = []
+    for _ in range(160):
+        kind = rng.choice(list(known))
+        base = [span(kind, rng.choice(known[kind]), rng.choice(words[:2 + kind]))]
+        others = [span(None, rng.choice(unknown), rng.choice(words)) for _ in range(rng.randint(0, 1))]
+        rows.append((base, others))
+    entity = "array<struct<kind:int,begin:int,end:int,token:string,left:string>>"
+    got = {(r.pattern, r.kind): r.confidence for r in pii.pattern_confidences(spark.createDataFrame(rows, f"base {entity}, others {entity}")).collect()}
+    edges = {(" ".join(reversed(left.split())), token, kind, kind is None and "(at)" in token) for row in rows for spans in row for kind, _, _, token, left in spans}
+    want = brute_confidences(edges)
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_found_identifiers_teach_further_patterns(spark):
+    """Accounts found behind a card's words stand behind other words too, where no card ever stands."""
+    rows = [(i, t) for i, t in planted() if i < 20]
+    rows += [(100 + i, f"lo charged to card AB{i}9-1234-XY ta") for i in range(2)]
+    seeds = [f"KD-{7000 + i}-55" for i in range(12)]
+    stems = [str(453957870000000 + 13 * i) for i in range(60)]
+    rows += [(500 + i, f"lo charged to card {next(x + str(d) for d in range(10) if luhn(x + str(d)))} ta") for i, x in enumerate(stems)]
+    rows += [(200 + i, f"lo charged to card {s} ta") for i, s in enumerate(seeds)]
+    rows += [(300 + i, f"ru belongs to konto {s} vo") for i, s in enumerate(seeds)]
+    rows += [(400, "ru belongs to konto ZZ-8811-77 vo"), (401, "ru order of vase ZZ-8811-78 vo")]
+    found = {r.doc_id: [(pii.KINDS[s.kind], s.begin, s.end) for s in r.found] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = dict(rows)[400].index("ZZ")
+    assert found[400] == [("card", at, at + len("ZZ-8811-77"))] and not found[401]
+
+
+def test_runs_of_any_length_and_columns_of_any_name(spark):
+    long = " ".join(["4444"] * 3_000 + ["5"])
+    rows = [(i, t, 1, "o") for i, t in planted() if i < 20] + [(90, f"lo charged to card {long} ta", 2, "p"), (91, "a." * 30_000 + " at " + "a-at-" * 30_000, 3, "q"), (92, "A" * 200_000 + "-1 " + "1a " * 60_000, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, others string")
+    got = {r.doc_id: r for r in pii.extract(docs).collect()}
+    assert [(s.begin, s.end) for s in got[90].found] == [(len("lo charged to card "), len("lo charged to card ") + len(long))]
+    assert got[90].others == "p" and got[90]["_row"] == 2 and got[92].others is None
+
+
+def test_context_reaches_behind_the_match_before(spark):
+    docs = spark.createDataFrame([(1, "call 10.0.0.0 10.0.0.1 now")], "doc_id long, text string")
+    lefts = [b.left for b in pii.find_entities(docs).first().base]
+    assert lefts == ["call ", "call 10.0.0.0 "]
