@@ -1,11 +1,14 @@
 """Toxicity by a weighted grammar of finite-state transducers (operator 5).
 
-A lexical transducer, a set of words and word beginnings with weights, turns the words of a
-clause into symbols: insult, threat, target, negation, reporting verb or other. Three small
-transducers read these symbols: one weakens what reported speech governs, one weakens what
-follows a negation closely, one strengthens what has a target in the clause. Their composition
-is one transducer that scores a clause in one pass. A document's evidence is its strongest
-clause and a part of the others; a logistic curve turns evidence into a score.
+A lexicon of words and word beginnings with weights turns the words of a clause into symbols:
+insult, threat, target, negation, reporting verb or other. Five small transducers read these
+symbols. The insult transducer accepts an insult near a target or near another insult, the
+threat transducer a threat near a target; what belongs to no such phrase is a lone word and
+keeps a quarter of its weight. The others weaken what reported speech governs, weaken what
+follows a negation closely, and strengthen what has a target before it in the clause. Their
+composition is one transducer, and a clause weighs what its heaviest accepted path weighs. A
+document's evidence is its strongest clause and a part of the others; a logistic curve turns
+evidence into a score.
 
 Weights and curve are learned from labels. Words come from a bounded sample of labelled rows
 (``TRAIN_ROWS``, those with the smallest hashes) as log odds; the curve is fitted on counts by
@@ -14,10 +17,11 @@ evidence over the same rows. Held-out rows, and language, source and id, never e
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,44 +47,89 @@ THREATS = {w: 3.0 for w in "kill murder hurt destroy shoot stab strangle töten
 INSULTS = {w: 3.0 for w in "idiot idiots moron stupid loser scum trash worthless pathetic disgusting dumpfbacke trottel imbécile crétin imbécil idiota".split()}
 # End of fixed values.
 
-Arcs = dict[tuple[int, str], tuple[str, float, int]]
+#: What a state and a symbol lead to: any number of (symbol written, factor, next state).
+Arcs = dict[tuple[int, str], tuple[tuple[str, float, int], ...]]
 SYMBOLS = "IWTNRO"
+#: What a word outside every phrase keeps of its weight.
+LONE = 0.25
 
 
-def _transducer(states: int, special: dict[tuple[int, str], tuple[str, float, int]]) -> Arcs:
-    """All symbols pass unchanged, but for the arcs in ``special``."""
-    return {(s, x): (x, 1.0, s) for s in range(states) for x in SYMBOLS} | special
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs from state 0 on, and the states in which a clause may end."""
 
+    arcs: Arcs
+    finals: frozenset[int]
 
+
+def _plain(states: int, special: dict[tuple[int, str], tuple[str, float, int]]) -> Transducer:
+    """All symbols pass unchanged, but for the arcs in ``special``; a clause may end anywhere."""
+    arcs = {(s, x): (x, 1.0, s) for s in range(states) for x in SYMBOLS} | special
+    return Transducer({k: (arc,) for k, arc in arcs.items()}, frozenset(range(states)))
+
+
+def _phrase(word: str, partners: str, before: int, after: int) -> Transducer:
+    """Accepts ``word`` in full at most ``before`` symbols behind or ``after`` symbols ahead of a partner.
+
+    State 0 has no partner near. States 1 to ``before`` count the symbols for which the last partner
+    stays near. In the states above, a word taken in full still waits for its partner, and no
+    clause may end there.
+    """
+    arcs = {}
+    for state in range(before + after + 1):
+        waits = state > before
+        further = state - 1 if state != before + 1 else None
+        for symbol in SYMBOLS:
+            to = before if symbol in partners else further
+            out = [(symbol, LONE if symbol == word else 1.0, to)]
+            if symbol == word:
+                # Near a partner, or waiting as the word before does, whose partner is near both.
+                out += [(symbol, 1.0, to)] if state else []
+                out += [] if waits else [(symbol, 1.0, before + after)]
+            arcs[state, symbol] = tuple((y, w, max(to, 0)) for y, w, to in out if to is not None)
+    return Transducer(arcs, frozenset(range(before + 1)))
+
+
+#: An insult up to four words behind, or three ahead of, a target or another insult.
+INSULT = _phrase("I", "TI", 4, 3)
+#: A threat up to four words behind, or three ahead of, a target.
+THREAT = _phrase("W", "T", 4, 3)
 #: Behind a reporting verb insults and threats count little.
-REPORTED = _transducer(2, {(s, "R"): ("R", 1.0, 1) for s in (0, 1)} | {(1, x): (x, 0.4, 1) for x in "IW"})
+REPORTED = _plain(2, {(s, "R"): ("R", 1.0, 1) for s in (0, 1)} | {(1, x): (x, 0.4, 1) for x in "IW"})
 #: Within three words of a negation they count half.
-NEGATED = _transducer(4, {(s, x): (x, 0.5 if s and x in "IW" else 1.0, max(s - 1, 0)) for s in range(4) for x in SYMBOLS} | {(s, "N"): ("N", 1.0, 3) for s in range(4)})
-#: With a target in the clause they count more.
-TARGETED = _transducer(2, {(s, "T"): ("T", 1.0, 1) for s in (0, 1)} | {(1, x): (x, 1.5, 1) for x in "IW"})
+NEGATED = _plain(4, {(s, x): (x, 0.5 if s and x in "IW" else 1.0, max(s - 1, 0)) for s in range(4) for x in SYMBOLS} | {(s, "N"): ("N", 1.0, 3) for s in range(4)})
+#: With a target before them in the clause they count more.
+TARGETED = _plain(2, {(s, "T"): ("T", 1.0, 1) for s in (0, 1)} | {(1, x): (x, 1.5, 1) for x in "IW"})
 
 
-def compose(first: Arcs, second: Arcs) -> Arcs:
+def compose(first: Transducer, second: Transducer) -> Transducer:
     """The transducer that reads what ``first`` reads and writes what ``second`` makes of it."""
-    seconds = 1 + max(s for s, _ in second)
-    out = {}
-    for (s, x), (y, w, s2) in first.items():
-        for t in range(seconds):
-            z, v, t2 = second[t, y]
-            out[s * seconds + t, x] = (z, w * v, s2 * seconds + t2)
-    return out
+    seconds = 1 + max(s for s, _ in second.arcs)
+    arcs = {
+        (s * seconds + t, x): tuple((z, w * v, s2 * seconds + t2) for y, w, s2 in out for z, v, t2 in second.arcs[t, y])
+        for (s, x), out in first.arcs.items()
+        for t in range(seconds)
+    }
+    return Transducer(arcs, frozenset(s * seconds + t for s in first.finals for t in second.finals))
 
 
-GRAMMAR = compose(compose(REPORTED, NEGATED), TARGETED)
+GRAMMAR = functools.reduce(compose, [REPORTED, NEGATED, TARGETED, INSULT, THREAT])
 
 
 def clause_weight(symbols: list[tuple[str, float]]) -> float:
-    """The weight of a clause: what its insults and threats weigh after the grammar."""
-    state, total = 0, 0.0
+    """The weight of a clause: what its insults and threats weigh on the heaviest accepted path."""
+    if not any(weight for _, weight in symbols):
+        return 0.0
+    best = {0: 0.0}
     for symbol, weight in symbols:
-        _, factor, state = GRAMMAR[state, symbol]
-        total += weight * factor if symbol in "IW" else 0.0
-    return total
+        ahead: dict[int, float] = {}
+        for state, total in best.items():
+            for _, factor, to in GRAMMAR.arcs[state, symbol]:
+                value = total + weight * factor
+                if value > ahead.get(to, -1.0):
+                    ahead[to] = value
+        best = ahead
+    return max(value for state, value in best.items() if state in GRAMMAR.finals)
 
 
 _PARTS = np.zeros(256, bool)
@@ -224,9 +273,9 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         return run
 
     steps = training.select("toxic", "text").mapInArrow(weigh(["toxic"]), T.StructType([training.schema["toxic"], T.StructField("evidence", T.DoubleType())]))
-    # At most 401 steps of evidence.
-    counts = steps.groupBy(F.least(F.round(F.col("evidence") * 4), F.lit(400.0)).alias("step")).agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n"))
-    slope, offset = fit_curve([(r.step / 4, r.t, r.n - r.t) for r in counts.collect()])
+    # At most 1,601 steps of evidence.
+    counts = steps.groupBy(F.least(F.round(F.col("evidence") * 16), F.lit(1600.0)).alias("step")).agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"), F.count(F.lit(1)).alias("n"))
+    slope, offset = fit_curve([(r.step / 16, r.t, r.n - r.t) for r in counts.collect()])
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("evidence", T.DoubleType())])
     score = 1 / (1 + F.exp(-F.least(F.greatest(slope * F.least("evidence", F.lit(100.0)) + offset, F.lit(-30.0)), F.lit(30.0))))
     scored = docs.mapInArrow(weigh(keep), schema).withColumn("score", score)
