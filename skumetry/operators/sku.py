@@ -10,7 +10,9 @@ and the text maximum would turn the hash aggregate into a sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skumetry.functions.exact import (
@@ -22,10 +24,15 @@ from skumetry.schemas import DEMAND, MONEY, RATIO, UNIT_COST
 
 def week_rollup(clean: DataFrame) -> DataFrame:
     """Sales of each SKU in each ISO week (weeks without sales have no row)."""
-    return clean.groupBy("stock_code", F.trunc("invoice_date", "week").alias("week_start")).agg(
+    return week_sums(clean, "stock_code", to_cents(F.col("unit_price")))
+
+
+def week_sums(clean: DataFrame, code: str, cents: Column) -> DataFrame:
+    """Sales of each ``code`` in each ISO week, of lines whose unit price in cents is ``cents``."""
+    return clean.groupBy(code, F.trunc("invoice_date", "week").alias("week_start")).agg(
         F.sum(F.col("quantity").cast("long")).alias("qty_sold"),
-        F.sum(F.col("quantity") * to_cents(F.col("unit_price"))).alias("revenue_cents"),
-        F.sum(to_cents(F.col("unit_price"))).alias("price_cents"),
+        F.sum(F.col("quantity") * cents).alias("revenue_cents"),
+        F.sum(cents).alias("price_cents"),
         F.count(F.lit(1)).alias("n_lines"),
         F.min("invoice_date").alias("first_sale"),
         F.max("invoice_date").alias("last_sale"),
@@ -121,6 +128,20 @@ def sku_buyers(clean: DataFrame) -> DataFrame:
     )
 
 
+def buyers_of_pairs(
+    pairs: DataFrame, code: str = "stock_code", invoice: Sequence[str] = ("invoice_no",), customer: str = "customer_id"
+) -> DataFrame:
+    """As ``sku_buyers``, for rows that hardly repeat; the first column of ``invoice`` is null where there is none.
+
+    Two distinct counts in one aggregate would double every row. Here one row of each invoice is
+    marked, the marks are added up by customer, and each SKU is left with sums of whole numbers.
+    """
+    of_invoice = Window.partitionBy(code, *invoice).orderBy(customer)
+    new = (F.row_number().over(of_invoice) == 1) & F.col(invoice[0]).isNotNull()
+    customers = pairs.select(code, customer, new.cast("long").alias("new")).groupBy(code, customer).agg(F.sum("new").alias("n"))
+    return customers.groupBy(code).agg(F.sum("n").alias("n_invoices"), F.count(customer).alias("n_customers"))
+
+
 def text_counts(clean: DataFrame) -> DataFrame:
     """How many lines carry each text of each SKU."""
     return clean.groupBy("stock_code", "description").agg(F.count(F.lit(1)).alias("n_lines"))

@@ -32,8 +32,9 @@ class StockPlan:
     """``transactions`` is a table, or a source that gives the asked-for columns of one.
 
     A source, called with columns, can leave out the work behind columns a stage does not
-    read, such as joins. One with methods ``text_counts``, ``buyer_pairs``, ``week_rollup`` or
-    ``lead_events`` counts descriptions, finds buyers, sums weeks or measures lead times itself.
+    read, such as joins. One with methods ``text_counts``, ``buyer_pairs``, ``buyer_counts``,
+    ``week_rollup`` or ``lead_events`` counts descriptions, finds or counts buyers, sums weeks or
+    measures lead times itself.
     """
 
     def __init__(self, transactions: DataFrame | TransactionSource, policy: Policy | None = None) -> None:
@@ -59,7 +60,7 @@ class StockPlan:
     @cached_property
     def week_rollup(self) -> DataFrame:
         find = getattr(self._transactions, "week_rollup", None)
-        return sku.week_rollup(self.clean(SALES)) if find is None else find()
+        return sku.week_rollup(self.clean(SALES)) if find is None else find(SALES, self._clean_typed)
 
     @cached_property
     def weekly_demand(self) -> DataFrame:
@@ -77,8 +78,16 @@ class StockPlan:
         lines = self.clean(BUYERS).select("stock_code", "invoice_no", "customer_id")
         return lines if codes is None else lines.join(codes, "stock_code", "left_semi")
 
+    @property
+    def pairs_differ(self) -> bool:
+        """Whether ``buyer_pairs_of`` gives each pair once."""
+        return getattr(self._transactions, "pairs_differ", False)
+
     def buyers_of(self, codes: DataFrame | None = None) -> DataFrame:
         """Distinct invoices and customers of each SKU, or of each of ``codes``, whose lines alone are read."""
+        count = getattr(self._transactions, "buyer_counts", None)
+        if count is not None:
+            return count(CLEANING, self._clean_typed, codes)
         return sku.sku_buyers(self.buyer_pairs_of(codes))
 
     @cached_property
@@ -86,7 +95,7 @@ class StockPlan:
         return self.buyers_of()
 
     def _clean_typed(self, lines: DataFrame) -> DataFrame:
-        return cleaning.clean_transactions(self._typed(lines), self.policy)
+        return cleaning.clean_present(self._typed(lines), self.policy)
 
     def text_counts_of(self, codes: DataFrame | None = None) -> DataFrame:
         """How many lines carry each text of each SKU, or of each of ``codes``."""
