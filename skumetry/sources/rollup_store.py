@@ -64,7 +64,8 @@ class RollupStore:
                 raise BatchConflict(f"the store was cleaned by {(version.semantics, version.code_pattern)}, this batch by {rules}")
             if batch in version.batches and len(version.batches) > 1:
                 raise BatchConflict(f"{batch} is merged with other batches")
-        tables = {"weeks": plan.week_rollup, "texts": plan.text_counts_of(), "buyers": plan.buyer_pairs_of().distinct()}
+        pairs = plan.buyer_pairs_of()
+        tables = {"weeks": plan.week_rollup, "texts": plan.text_counts_of(), "buyers": pairs if plan.pairs_differ else pairs.distinct()}
         return self._write(tables, rules, [batch])
 
     def compact(self) -> str | None:
@@ -118,7 +119,7 @@ class RollupStore:
             return self._spark.createDataFrame([], _TABLES[name])
         return self._spark.read.schema(_TABLES[name]).parquet(*paths)
 
-    def week_rollup(self) -> DataFrame:
+    def week_rollup(self, columns: Iterable[str] = (), clean: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Sales of each SKU in each week over all batches; a filter on weeks reaches the scan."""
         return sku.merge_rollups(self._table("weeks"))
 
@@ -134,5 +135,9 @@ class RollupStore:
         pairs = self._table("buyers")
         return pairs if codes is None else pairs.join(codes, "stock_code", "left_semi")
 
+    def buyer_counts(self, columns: Iterable[str], clean: Callable[[DataFrame], DataFrame] | None, codes: DataFrame | None = None) -> DataFrame:
+        """Distinct invoices and customers of each SKU over all batches, of ``codes`` if given."""
+        return sku.buyers_of_pairs(self.buyer_pairs(columns, clean, codes))
+
     def __call__(self, columns: Iterable[str]) -> DataFrame:
         raise LookupError("the store keeps no lines")

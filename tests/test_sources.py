@@ -11,6 +11,7 @@ from skumetry import Policy, StockPlan, schemas
 from skumetry.operators import cleaning, rationalise
 from skumetry.sources import invoices_csv, order_tables, outputs
 from skumetry.sources.order_tables import OrderTables
+from skumetry.sources.rollup_store import RollupStore
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -248,3 +249,60 @@ def test_a_day_first_file(spark, tmp_path):
                     "1,85123A,X,1,3/2/2011 8:26,1.00,1,UK\n2,85123A,X,1,28/2/2011 8:26,1.00,1,UK\n", encoding="latin-1")
     found = [str(r.invoice_date) for r in invoices_csv.read_invoices(spark, str(path), formats=None).orderBy("invoice_no").collect()]
     assert found == ["2011-02-03 08:26:00", "2011-02-28 08:26:00"]
+
+
+@pytest.fixture()
+def odd_orders(spark, tmp_path):
+    """Order tables with repeated keys, nulls and returned lines."""
+    line = "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
+    day = dt.datetime(1995, 3, 1)
+    rows = [
+        (1, 7, 2.0, 10.0, "N", day), (1, 7, 2.0, 10.0, "N", day), (1, 7, 3.0, 9.0, "R", day), (2, 7, 1.0, 4.0, None, day),
+        (3, 7, 1.0, 4.5, "A", day + dt.timedelta(days=200)), (None, 7, 1.0, 4.5, "A", day), (3, 8, 5.0, 5.0, "N", day + dt.timedelta(days=400)),
+        (2, 9, 0.0, 5.0, "N", day), (2, None, 1.0, 5.0, "N", day), (2, 8, 1.0, 5.0, "N", None), (4, 8, 1.0, 5.0, "N", day),
+    ]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 11), (1, 12), (1, 11), (2, 11), (3, None), (None, 13)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [(7, "red"), (7, "red"), (7, "green"), (8, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    return OrderTables(spark, str(tmp_path))
+
+
+def _same(one, other):
+    return one.columns == other.columns and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
+@pytest.mark.parametrize("semantics", ["sql", "script"])
+def test_order_tables_reduce_lines_as_a_table_of_transactions(odd_orders, semantics):
+    policy = Policy(semantics=semantics, code_pattern=order_tables.CODE_PATTERN, stop_at_odd_code=True)
+    by_number = StockPlan(odd_orders, policy)
+    plain = StockPlan(odd_orders.transactions(("invoice_no", "stock_code", "quantity", "unit_price", "invoice_date", "customer_id", "description")), policy)
+    # A line has no customer of its own, so repeated orders give repeated lines: only sets and counts of lines once each compare.
+    lines = StockPlan(odd_orders.transactions(("invoice_no", "stock_code", "quantity", "unit_price", "invoice_date")), policy)
+    assert _same(by_number.week_rollup, lines.week_rollup)
+    assert _same(by_number.buyers, plain.buyers)
+    assert _same(by_number.buyer_pairs_of(), plain.buyer_pairs_of().distinct())
+    assert _same(by_number.descriptions, plain.descriptions)
+    codes = plain.buyers.select("stock_code").where("n_invoices > 1")
+    assert _same(by_number.buyers_of(codes), plain.buyers_of(codes)) and not codes.isEmpty()
+
+
+def test_dated_lines_add_up_to_all(spark, odd_orders, tmp_path):
+    policy = Policy(code_pattern=order_tables.CODE_PATTERN, stop_at_odd_code=True)
+    store = RollupStore(spark, f"{tmp_path}/store")
+    store.add(StockPlan(odd_orders.dated(lambda day: day < "1995-06-15"), policy), "early")
+    for _ in range(2):
+        store.add(StockPlan(odd_orders.dated(lambda day: ~(day < "1995-06-15")), policy), "late")
+    refreshed, whole = StockPlan(store, policy), StockPlan(odd_orders, policy)
+    for name in ("week_rollup", "buyers", "descriptions", "demand_stats"):
+        assert _same(getattr(refreshed, name), getattr(whole, name)), name
+
+
+def test_lines_are_grouped_by_numbers_and_no_row_is_doubled(odd_orders):
+    plan = StockPlan(odd_orders, Policy(code_pattern=order_tables.CODE_PATTERN))
+    for table in (plan.week_rollup, plan.buyers, plan.text_counts_of()):
+        steps = table._jdf.queryExecution().executedPlan().toString().splitlines()
+        first = next(step for step in reversed(steps) if "Aggregate" in step)
+        assert "code_number" in first and "conv(" not in first, first
+        assert not any("Expand" in step for step in steps)
