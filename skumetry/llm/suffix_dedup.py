@@ -6,10 +6,10 @@ belongs to the smallest hash of the 16-byte strings in it, so equal strings meet
 stand. Neighbouring strings with one minimizer are kept as one stretch of text.
 
 1. Texts are packed into blocks, which are written once.
-2. Each block sends the minimizers it holds, five bytes each, to the part they belong to, and
+2. Each block sends the minimizers it holds, five bytes each, to the buckets they belong to, and
    hears which of them more than one document has. The others can share nothing.
 3. For the shared ones the block sends its different stretches with the smallest document id of
-   each. A part puts its different stretches into one text, builds suffix array and
+   each. A bucket deals them to its parts. A part puts its different stretches into one text, builds suffix array and
    Burrows-Wheeler transform, and finds the stretches' common strings: intervals of suffixes are
    extended backward, breadth first, so common prefixes come out by increasing length, up to 50
    and no further. Each interval that is left holds the places of one 50-byte string; the
@@ -17,8 +17,10 @@ stand. Neighbouring strings with one minimizer are kept as one stretch of text.
 4. Blocks hear the owners and cut what others own.
 
 A stretch is sent once by each block that has it, however many of its documents repeat it, so a
-passage that a third of all documents share costs a part a few rows for each block. Parts and
-blocks are of bounded size; their number grows with the input.
+passage that a third of all documents share costs a part a few rows for each block. Every block
+has something for nearly every bucket. Blocks and buckets therefore both grow with the square root
+of the input, up to ``MOST_BYTES``: there is one message for every ``MESSAGE_BYTES`` of input.
+Parts are of bounded size; their number grows with the input.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,9 @@ LENGTH, GRAM = 50, 16
 MOST_STARTS = 64
 #: Bytes of text for each part, about.
 PART_BYTES = 512 << 10
+#: Bytes of text for each message between a block and a bucket, about, and of a block or bucket at
+#: most. Messages of inputs beyond 32 GB, where both reach that size, get smaller.
+MESSAGE_BYTES, MOST_BYTES = 8 << 10, 16 << 20
 
 _LAST_ID = (1 << 63) - 1
 _KEY_BYTES = 5
@@ -143,22 +149,58 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.repeat(least[starts], pieces), begins, np.minimum(begins + MOST_STARTS, np.repeat(stops, pieces))
 
 
-class _Block:
-    """The strings of one block: runs, their minimizers and the part of each."""
+class _Deal(NamedTuple):
+    """Bits that name a bucket, and further bits that name a part of a bucket."""
+
+    bits: int
+    more: int
+
+    @classmethod
+    def of(cls, total: int) -> _Deal:
+        """For so many bytes of text."""
+        balanced = round(np.log2(max(1, total / MESSAGE_BYTES)) / 2)
+        bits = max(balanced, (total // MOST_BYTES).bit_length())
+        return cls(bits, max(0, (total // PART_BYTES).bit_length() - bits))
+
+    def block_bytes(self) -> int:
+        return min(MESSAGE_BYTES << self.bits, MOST_BYTES)
 
-    def __init__(self, packed: bytes, docs: np.ndarray, sizes: np.ndarray, bits: int):
-        self.data = np.frombuffer(textbytes.unpack(packed), np.uint8)
-        self.docs, self.offsets = docs, np.r_[0, np.cumsum(sizes)]
-        keys, self.starts, self.ends = _minimizers(self.data, self.offsets)
+    def buckets(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(8 * _KEY_BYTES)).astype(np.int64)
+
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        """The parts of all buckets in one order, the parts of a bucket together."""
+        return (keys >> np.uint64(8 * _KEY_BYTES - self.more)).astype(np.int64)
+
+
+class _Block:
+    """The strings of one block: runs, their minimizers and the bucket of each."""
+
+    def __init__(self, packed: list[bytes], counts: np.ndarray, docs: np.ndarray, sizes: np.ndarray, deal: _Deal, hashed: bool = True):
+        self.deal, self.docs, self.offsets = deal, docs, np.r_[0, np.cumsum(sizes)]
+        self.slices = self.offsets[np.r_[0, np.cumsum(counts)]]
+        datas, keys, starts, ends, hashes = [], [], [], [], []
+        # Slice by slice: what is needed for each byte is held for one slice only.
+        rows = np.r_[0, np.cumsum(counts)].tolist()
+        for piece, a, b in zip(packed, rows, rows[1:]):
+            data, begin = np.frombuffer(textbytes.unpack(piece), np.uint8), self.offsets[a]
+            found = _minimizers(data, self.offsets[a: b + 1] - begin)
+            datas.append(data)
+            for held, more in ((keys, found[0]), (starts, found[1] + begin), (ends, found[2] + begin)):
+                held.append(more)
+            if hashed:
+                hashes.append(textbytes.range_hashes(data, found[1], found[2] + LENGTH - 1))
+        self.data, keys, self.starts, self.ends = (np.concatenate(x) for x in (datas, keys, starts, ends))
+        self.hashes = np.concatenate(hashes) if hashed else None
         self.doc = docs[np.searchsorted(self.offsets, self.starts, "right") - 1] if len(keys) else np.zeros(0, np.int64)
-        # The first bits name the part, the next 40 the minimizer; equal strings agree in both. A
-        # minimizer is the least of many hashes, so its own first bits are crowded near 0; mixing
-        # is one to one and spreads them over all parts.
-        self.keys = textbytes.mix(keys) >> np.uint64(64 - bits - 8 * _KEY_BYTES)
+        # The first bits name the bucket, the next 40 the minimizer, and the first of these the part;
+        # equal strings agree in both. A minimizer is the least of many hashes, so its own first bits
+        # are crowded near 0; mixing is one to one and spreads them over all buckets.
+        self.keys = textbytes.mix(keys) >> np.uint64(64 - deal.bits - 8 * _KEY_BYTES)
         self.unique, self.which = np.unique(self.keys, return_inverse=True)
-        part = (self.unique >> np.uint64(8 * _KEY_BYTES)).astype(np.int64)
-        self.parts = np.unique(part)
-        self.cuts = np.searchsorted(part, np.r_[self.parts, 1 << 62])
+        bucket = deal.buckets(self.unique)
+        self.buckets = np.unique(bucket)
+        self.cuts = np.searchsorted(bucket, np.r_[self.buckets, 1 << 62])
 
     def several(self) -> np.ndarray:
         """For each different minimizer whether two documents of the block have it."""
@@ -171,9 +213,9 @@ class _Block:
         """Of the runs with shared minimizers: their numbers, which different stretch each is, and
         of each different stretch one run and the smallest document id."""
         runs = np.flatnonzero(shared[self.which])
-        hashes = textbytes.range_hashes(self.data, self.starts[runs], self.ends[runs] + LENGTH - 1)
-        # Sorted by part first, so that a part's stretches stand together.
-        part = self.keys[runs] >> np.uint64(8 * _KEY_BYTES)
+        hashes = self.hashes[runs]
+        # Sorted by part first, so that a part's stretches stand together, and those of a bucket.
+        part = self.deal.parts(self.keys[runs])
         order = np.lexsort((hashes, part))
         new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (part[order][1:] != part[order][:-1])][: len(order)]
         which = np.empty(len(runs), np.int64)
@@ -183,25 +225,25 @@ class _Block:
         np.minimum.at(least, which, self.doc[runs])
         return runs, which, one, least
 
-    def shared(self, parts: list[int], bitmaps: list[bytes]) -> np.ndarray:
+    def shared(self, buckets: list[int], bitmaps: list[bytes]) -> np.ndarray:
         out = np.zeros(len(self.unique), bool)
-        where = {p: i for i, p in enumerate(self.parts.tolist())}
-        for part, bitmap in zip(parts, bitmaps):
-            a, b = self.cuts[where[part]], self.cuts[where[part] + 1]
+        where = {p: i for i, p in enumerate(self.buckets.tolist())}
+        for bucket, bitmap in zip(buckets, bitmaps):
+            a, b = self.cuts[where[bucket]], self.cuts[where[bucket] + 1]
             out[a:b] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a).astype(bool)
         return out
 
 
-BLOCKS = "block long, docs array<long>, sizes array<long>, packed binary"
+BLOCK = ("block", "counts", "docs", "sizes", "packed")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[pa.RecordBatch, int, _Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], deal: _Deal, hashed: bool = True) -> Iterator[tuple[pa.RecordBatch, int, _Block]]:
     """Every block of the batches, with the batch and its row."""
     for batch in batches:
-        columns = [batch.column(c) for c in ("packed", "docs", "sizes")]
+        columns = [batch.column(c) for c in ("packed", "counts", "docs", "sizes")]
         for row in range(batch.num_rows):
-            packed, docs, sizes = (c[row] for c in columns)
-            yield batch, row, _Block(packed.as_py(), docs.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False), bits)
+            packed, *numbers = (c[row] for c in columns)
+            yield batch, row, _Block(packed.as_py(), *(n.values.to_numpy(zero_copy_only=False) for n in numbers), deal, hashed)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -229,43 +271,57 @@ def _in_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.
         yield held
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    """Blocks of texts: for each its number, its documents' rows, ids, sizes and compressed bytes."""
+def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of texts: for each its number, its documents' rows, ids and sizes, and slices of compressed bytes."""
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema["row"].dataType)), T.StructField("docs", T.ArrayType(T.LongType())),
-        T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType()),
+        T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("packed", T.ArrayType(T.BinaryType())),
     ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=1)
+        rows, docs, sizes, packed, held = [], [], [], [], 0
+
+        def out():
+            whole = pa.array([0, sum(map(len, docs))], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.ListArray.from_arrays(whole, pa.concat_arrays(x)) for x in (rows, docs)),
+                 pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([[len(x) for x in docs]], pa.list_(pa.int64())),
+                 pa.array([packed], pa.list_(pa.binary()))], schema.names,
+            )
+
         for batch in textbytes.slices(batches):
             data, offsets = textbytes.flatten(batch.column("text"))
-            whole = pa.array([0, batch.num_rows], pa.int32())
-            packed = compressor.compress(data.tobytes()) if len(data) else b""
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.ListArray.from_arrays(whole, batch.column("row")), pa.ListArray.from_arrays(whole, batch.column("doc")),
-                 pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([packed], pa.binary())], schema.names,
-            )
+            if held and held + len(data) > block_bytes:
+                yield out()
+                rows, docs, sizes, packed, held = [], [], [], [], 0
+            rows.append(batch.column("row"))
+            docs.append(batch.column("doc"))
+            sizes.append(np.diff(offsets))
+            packed.append(compressor.compress(data.tobytes()) if len(data) else b"")
+            held += len(data)
+        if docs:
+            yield out()
 
     return docs.mapInArrow(pack, schema)
 
 
-def _shared_minimizers(blocks: DataFrame, bits: int) -> DataFrame:
-    """For each block and part a bitmap of the block's minimizers that two documents have."""
+def _shared_minimizers(blocks: DataFrame, deal: _Deal) -> DataFrame:
+    """For each block and bucket a bitmap of the block's minimizers that two documents have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, block in _blocks(batches, bits):
+        for batch, row, block in _blocks(batches, deal, hashed=False):
             several = block.several()
             low = block.unique.view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]  # little-endian
             cuts = list(zip(block.cuts.tolist(), block.cuts.tolist()[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.parts), pa.array([batch.column("block")[row].as_py()] * len(cuts), pa.int64()),
+                [pa.array(block.buckets), pa.array([batch.column("block")[row].as_py()] * len(cuts), pa.int64()),
                  pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())],
-                ["part", "block", "keys", "several"],
+                ["bucket", "block", "keys", "several"],
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _in_groups(batches, "part"):
+        for held in _in_groups(batches, "bucket"):
             rows = pa.Table.from_batches(held)
             keys = [np.frombuffer(k, np.uint8).reshape(-1, _KEY_BYTES) for k in rows.column("keys").to_pylist()]
             wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
@@ -277,72 +333,79 @@ def _shared_minimizers(blocks: DataFrame, bits: int) -> DataFrame:
             cuts = np.cumsum([0, *map(len, keys)])
             hit = flagged[which]
             bitmaps = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(cuts, cuts[1:])]
-            out = pa.RecordBatch.from_arrays([rows.column("part").combine_chunks(), rows.column("block").combine_chunks(), pa.array(bitmaps, pa.binary())], ["part", "block", "bitmap"])
+            out = pa.RecordBatch.from_arrays([rows.column("bucket").combine_chunks(), rows.column("block").combine_chunks(), pa.array(bitmaps, pa.binary())], ["bucket", "block", "bitmap"])
             yield out.filter(out.column("bitmap").is_valid())
 
-    sent = blocks.select("block", "docs", "sizes", "packed").mapInArrow(send, "part long, block long, keys binary, several binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "part long, block long, bitmap binary")
+    sent = blocks.select(*BLOCK).mapInArrow(send, "bucket long, block long, keys binary, several binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "bucket long, block long, bitmap binary")
 
 
 def _of_block(answers: DataFrame, value: str) -> DataFrame:
-    """One row for each block with the parts and values it was sent; a block's size bounds it."""
-    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", value))).alias("answers")).select(
-        "block", F.col("answers.part").alias("parts"), F.col(f"answers.{value}").alias("values")
+    """One row for each block with the buckets and values it was sent; a block's size bounds it."""
+    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", value))).alias("answers")).select(
+        "block", F.col("answers.bucket").alias("buckets"), F.col(f"answers.{value}").alias("values")
     )
 
 
-def _owners(blocks: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """For each block and part the owners of the strings in the stretches that the block sent.
+def _owners(blocks: DataFrame, shared: DataFrame, deal: _Deal) -> DataFrame:
+    """For each block and bucket the owners of the strings in the stretches that the block sent.
 
     ``owners`` is a compressed array of 64-bit numbers: run lengths, then ids.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=1)
-        for batch, row, block in _blocks(batches, bits):
-            flags = block.shared(batch.column("parts")[row].as_py(), batch.column("values")[row].as_py())
+        for batch, row, block in _blocks(batches, deal):
+            flags = block.shared(batch.column("buckets")[row].as_py(), batch.column("values")[row].as_py())
             _, _, one, least = block.stretches(flags)
-            part = (block.keys[one] >> np.uint64(8 * _KEY_BYTES)).astype(np.int64)
-            parts = np.unique(part)
-            cuts = np.searchsorted(part, np.r_[parts, 1 << 62]).tolist()
-            texts, sizes, ids = [], [], []
+            bucket = deal.buckets(block.keys[one])
+            buckets = np.unique(bucket)
+            cuts = np.searchsorted(bucket, np.r_[buckets, 1 << 62]).tolist()
+            part = deal.parts(block.keys[one]) & ((1 << deal.more) - 1)
+            texts, sizes, ids, parts = [], [], [], []
             for a, b in zip(cuts, cuts[1:]):
                 starts, ends = block.starts[one[a:b]], block.ends[one[a:b]] + LENGTH - 1
                 texts.append(compressor.compress(_gather(block.data, starts, ends).tobytes()))
-                sizes.append((ends - starts).astype(np.int32).tobytes())
+                sizes.append((ends - starts).astype(np.uint8).tobytes())
                 ids.append(compressor.compress(least[a:b].tobytes()))
+                parts.append(np.bincount(part[a:b], minlength=1 << deal.more).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts), pa.array([batch.column("block")[row].as_py()] * len(parts), pa.int64()), *(pa.array(c, pa.binary()) for c in (texts, sizes, ids))],
-                ["part", "block", "texts", "sizes", "ids"],
+                [pa.array(buckets), pa.array([batch.column("block")[row].as_py()] * len(buckets), pa.int64()), *(pa.array(c, pa.binary()) for c in (texts, sizes, ids, parts))],
+                ["bucket", "block", "texts", "sizes", "ids", "parts"],
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=1)
-        for held in _in_groups(batches, "part"):
+        for held in _in_groups(batches, "bucket"):
             rows = pa.Table.from_batches(held)
-            sizes = [np.frombuffer(s, np.int32).astype(np.int64) for s in rows.column("sizes").to_pylist()]
+            sizes = [np.frombuffer(s, np.uint8) for s in rows.column("sizes").to_pylist()]
             data = np.frombuffer(b"".join(map(zstandard.decompress, rows.column("texts").to_pylist())), np.uint8)
             ids = np.frombuffer(b"".join(map(zstandard.decompress, rows.column("ids").to_pylist())), np.int64)
-            ends = np.cumsum(np.concatenate(sizes))
-            starts = ends - np.concatenate(sizes)
-            _, one, which = np.unique(textbytes.range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            least = np.full(len(one), _LAST_ID)
-            np.minimum.at(least, which, ids)
-            owner, begins = _string_owners(data, starts[one], ends[one], least)
+            counts = np.concatenate([np.frombuffer(p, np.int32) for p in rows.column("parts").to_pylist()])
+            part = np.repeat(np.tile(np.arange(1 << deal.more, dtype=np.int32), len(sizes)), counts)
+            own = np.concatenate(sizes).astype(np.int64)
+            ends = np.cumsum(own)
+            starts = ends - own
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange((1 << deal.more) + 1)).tolist()
+            found = [_runs_of_owners(data, starts[order[a:b]], ends[order[a:b]], ids[order[a:b]]) for a, b in zip(cuts, cuts[1:]) if a < b]
+            lengths, values, several = (np.concatenate(x) for x in zip(*found))
+            # Back from the order of parts to the order in which blocks sent their stretches.
+            first, last = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            last[order] = np.cumsum(several)
+            first[order] = np.cumsum(several) - several
             out, row = [], 0
-            for own in sizes:
-                stretch = which[row: row + len(own)]
-                row += len(own)
-                values = _gather(owner, begins[stretch], begins[stretch] + own - LENGTH + 1)
-                change = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-                lengths = np.diff(np.r_[change, len(values)])
-                out.append(compressor.compress(np.r_[lengths, values[change]].astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([rows.column("part").combine_chunks(), rows.column("block").combine_chunks(), pa.array(out, pa.binary())], ["part", "block", "owners"])
-
-    sent = blocks.select("block", "docs", "sizes", "packed").join(_of_block(shared, "bitmap"), "block").mapInArrow(
-        send, "part long, block long, texts binary, sizes binary, ids binary"
+            for number in map(len, sizes):
+                at = _gather(np.arange(len(values)), first[row: row + number], last[row: row + number])
+                row += number
+                change = np.flatnonzero(np.r_[True, values[at][1:] != values[at][:-1]])
+                out.append(compressor.compress(np.r_[np.add.reduceat(lengths[at], change), values[at][change]].astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([rows.column("bucket").combine_chunks(), rows.column("block").combine_chunks(), pa.array(out, pa.binary())], ["bucket", "block", "owners"])
+
+    sent = blocks.select(*BLOCK).join(_of_block(shared, "bitmap"), "block").mapInArrow(
+        send, "bucket long, block long, texts binary, sizes binary, ids binary, parts binary"
     )
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "part long, block long, owners binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "bucket long, block long, owners binary")
 
 
 def _string_owners(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,6 +426,26 @@ def _string_owners(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least
     return owner, begins
 
 
+def _runs_of_owners(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one part's stretches, in which texts of these ids are: runs of places with one owner, their
+    lengths and owners, and how many runs each stretch has."""
+    sizes = ends - starts
+    own = _gather(data, starts, ends)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, one, which = np.unique(textbytes.range_hashes(own, starts, ends), return_index=True, return_inverse=True)
+    least = np.full(len(one), _LAST_ID)
+    np.minimum.at(least, which, ids)
+    owner, begins = _string_owners(own, starts[one], ends[one], least)
+    places = sizes - LENGTH + 1
+    values = _gather(owner, begins[which], begins[which] + places)
+    new = np.r_[True, values[1:] != values[:-1]]
+    heads = np.cumsum(places) - places
+    new[heads] = True
+    at = np.flatnonzero(new)
+    return np.diff(np.r_[at, len(values)]), values[at], np.diff(np.searchsorted(at, np.r_[heads, len(values)]))
+
+
 def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """``docs`` without its text, with what stays of it and what was removed.
 
@@ -377,32 +460,36 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     if not keep_bytes:
         del added["kept"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce("doc_id", F.lit(_LAST_ID)).cast("long").alias("doc"), "text")
-    blocks = stored(_pack(rows))
-    total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()[0] or 0
-    bits = max(1, (total // PART_BYTES).bit_length())
-    shared = stored(_shared_minimizers(blocks, bits))
-    owners = stored(_owners(blocks, shared, bits))
+    deal = _Deal.of(rows.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    blocks = stored(_pack(rows, deal.block_bytes()))
+    shared = stored(_shared_minimizers(blocks, deal))
+    owners = stored(_owners(blocks, shared, deal))
     heard = _of_block(shared, "bitmap").join(_of_block(owners, "owners").select("block", F.col("values").alias("owners")), "block", "left")
     schema = T.StructType([rows.schema["row"], *(T.StructField(k, v) for k, v in added.items())])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, block in _blocks(batches, bits):
-            size = len(block.data)
-            gone = np.zeros(size + 1, np.int32)
-            if batch.column("owners")[row].is_valid:
-                flags = block.shared(batch.column("parts")[row].as_py(), batch.column("values")[row].as_py())
+        for batch, row, block in _blocks(batches, deal):
+            owned = batch.column("owners")[row].is_valid
+            if owned:
+                flags = block.shared(batch.column("buckets")[row].as_py(), batch.column("values")[row].as_py())
                 runs, which, one, _ = block.stretches(flags)
                 pairs = [np.frombuffer(zstandard.decompress(o), np.int64).reshape(2, -1) for o in batch.column("owners")[row].as_py()]
-                owner = np.concatenate([np.repeat(p[1], p[0]) for p in pairs]) if pairs else np.zeros(0, np.int64)
+                lengths, values = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+                owner = np.repeat(np.arange(len(values), dtype=np.int32), lengths)
                 sizes = block.ends[one] - block.starts[one]
                 begins = np.cumsum(sizes) - sizes
-                own = _gather(owner, begins[which], begins[which] + block.ends[runs] - block.starts[runs])
-                places = _gather(np.arange(size), block.starts[runs], block.ends[runs])
-                doc = np.repeat(block.doc[runs], block.ends[runs] - block.starts[runs])
-                hit = places[own < doc]
+            removed = np.zeros(len(block.data), bool)
+            for base, stop in zip(block.slices.tolist(), block.slices.tolist()[1:]):
+                if not owned or base == stop:
+                    continue
+                a, b = np.searchsorted(block.starts[runs], (base, stop))
+                starts, ends = block.starts[runs[a:b]], block.ends[runs[a:b]]
+                own = values[_gather(owner, begins[which[a:b]], begins[which[a:b]] + ends - starts)]
+                hit = _gather(np.arange(stop - base), starts - base, ends - base)[own < np.repeat(block.doc[runs[a:b]], ends - starts)]
+                gone = np.zeros(stop - base + 1, np.int32)
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + LENGTH, -1)
-            removed = np.cumsum(gone[:size]) > 0
+                removed[base:stop] = np.cumsum(gone[:-1]) > 0
             out = {k: [] for k in added}
             for a, b in zip(block.offsets.tolist(), block.offsets.tolist()[1:]):
                 mask = removed[a:b]

@@ -9,6 +9,7 @@ import pytest
 from skumetry.llm import suffix_dedup
 
 LAST = suffix_dedup._LAST_ID
+suffix_dedup_stored = suffix_dedup.stored
 
 
 def brute(rows):
@@ -56,6 +57,35 @@ def test_equals_brute_force(spark, monkeypatch, seed, part_bytes, slice_bytes):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_many_buckets_and_slices(spark, monkeypatch):
+    for name, value in (("PART_BYTES", 100), ("MESSAGE_BYTES", 40)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(suffix_dedup.textbytes, "SLICE_BYTES", 400)
+    rows = corpus(3)
+    deal = suffix_dedup._Deal.of(sum(len((t or "").encode()) for _, t in rows))
+    assert deal.bits > 2 and deal.more > 2 and deal.block_bytes() > 400
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), keep_bytes=False)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_messages_grow_with_the_input(spark, monkeypatch):
+    """Blocks and buckets exchange messages for one another; four times the input gives about four times as many."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup.textbytes, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "MESSAGE_BYTES", 100, raising=False)
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(200)]
+    sent = []
+    for number in (100, 400):
+        given = []
+        with monkeypatch.context() as patch:
+            patch.setattr(suffix_dedup, "stored", lambda df, to=given: to.append(suffix_dedup_stored(df)) or to[-1])
+            docs = spark.createDataFrame([(i, " ".join(rng.choice(lines) for _ in range(10))) for i in range(number)], "doc_id long, text string")
+            suffix_dedup.remove_repeats(docs.coalesce(1), keep_bytes=False).count()
+        sent.append(given[1].count())
+    assert sent[1] < 6 * sent[0]
+
+
 def test_no_documents(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
