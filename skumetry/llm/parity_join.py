@@ -55,6 +55,11 @@ BLOCK = 2048
 SKETCH_BITS = 8
 #: Classes whose numbers are sent to all tasks at most, to pick out their texts before a shuffle.
 MOST_SENT = 1_000_000
+#: Classes that a task remembers at most, not to send their keys again.
+MOST_DONE = 100_000
+#: Bits for each text that is asked for, and at most, in the filter that is sent to all tasks before
+#: texts are shuffled: 8 MB.
+FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 26
 #: The least similarity, in hundredths, for which parts of sketches are the keys.
 LEAST_FOR_PARTS = 90
 #: Texts in the sample that tells frequent shingles, the share of them that makes a shingle
@@ -201,14 +206,17 @@ def _entries(docs: DataFrame, rule: Rule) -> DataFrame:
     """``key``, ``node``, ``guest``: the keys of each class, by its own band and by the one it is a guest in.
 
     Keys are many times a text's class number, so they are made where they are sent from and never written
-    to a table. A class may come several times, once for each slice of texts that has it.
+    to a table. A class may come several times, about once for each task that has it.
     """
     by_parts = rule.percent >= LEAST_FOR_PARTS
     frequent = None if by_parts else frequent_shingles(docs, rule)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in textbytes.slices(batches):
-            keys, nodes, guests, done = [], [], [], set()
+            if len(done) > MOST_DONE:
+                done.clear()
+            keys, nodes, guests = [], [], []
             for own in shingle_sets(batch.column("text"), rule.words):
                 node = _node(own) if len(own) else None
                 if node is None or node in done:
@@ -226,22 +234,33 @@ def _entries(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One compressed text of each class in ``nodes``."""
-    wanted = (
+    """One compressed text of each class in ``nodes``.
+
+    A bitmap of the texts asked for goes to all tasks, so that few others are packed and shuffled.
+    """
+    wanted = stored(
         signed.where("node is not null").groupBy("node")
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash")).alias("of"))
         .join(nodes, "node").select("node", "of.*")
     )
+    bits = min(MOST_FILTER_BITS, 64 * (wanted.count() * FILTER_BITS // 64 + 1))
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(bits)).alias("slot")
+    marks = F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("marks")
+    words = wanted.select(slot).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(marks).toArrow()  # at most ``bits`` / 64
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("marks").to_numpy()
+    asked = signed.sparkSession.sparkContext.broadcast(bitmap)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
+        compressor, marked = zstandard.ZstdCompressor(level=1), asked.value
         for batch in textbytes.slices(batches):
+            at = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((marked[at >> 6] >> (at & 63)) & 1 == 1))
             packed = [compressor.compress(t.encode()) if t else b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], ["doc_id", "text_hash", "packed"])
 
-    packed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        pack, "doc_id long, text_hash long, packed binary"
-    )
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    packed = keyed.select("doc_id", "text_hash", "text", slot).mapInArrow(pack, "doc_id long, text_hash long, packed binary")
     return packed.join(wanted, ["doc_id", "text_hash"]).select("node", "packed").dropDuplicates(["node"])
 
 

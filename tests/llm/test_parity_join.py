@@ -71,6 +71,27 @@ def test_components_equal_brute_force(spark, monkeypatch, leaders, nearest, bloc
     assert got == brute(rows)
 
 
+def test_few_texts_are_shuffled_that_nobody_asks_for(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i if i % 7 else None, " ".join(str(rng.random()) for _ in range(20))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = parity_join.stored(parity_join.signatures(docs))
+    nodes = parity_join.stored(signed.orderBy("text_hash").limit(20).select("node"))
+    given = []
+    pack = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a: given.append(pack(*a)) or given[-1])
+    texts = parity_join._texts(docs, signed, nodes)
+    assert sorted(r.node for r in texts.collect()) == sorted(r.node for r in nodes.collect())
+    assert 20 <= given[0].count() < 150
+
+
+def test_a_class_sends_its_keys_once_a_task(spark, monkeypatch):
+    monkeypatch.setattr(parity_join.textbytes, "SLICE_BYTES", 100)
+    docs = spark.createDataFrame([(i, "the same words in all of these texts " * 3) for i in range(50)], "doc_id long, text string").coalesce(1)
+    entries = parity_join._entries(docs, parity_join.CONTRACT)
+    assert entries.count() == entries.distinct().count()
+
+
 def test_no_documents(spark):
     assert parity_join.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
