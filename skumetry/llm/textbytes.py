@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 #: Texts are handled in slices of about so many bytes, which bounds a task's memory by the
 #: longest text or this, whichever is larger.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: The six characters that part words: space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)

@@ -70,9 +70,9 @@ def test_many_buckets_and_slices(spark, monkeypatch):
 
 def test_messages_grow_with_the_input(spark, monkeypatch):
     """Blocks and buckets exchange messages for one another; four times the input gives about four times as many."""
-    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 100)
-    monkeypatch.setattr(suffix_dedup.textbytes, "SLICE_BYTES", 1000)
-    monkeypatch.setattr(suffix_dedup, "MESSAGE_BYTES", 100, raising=False)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup.textbytes, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "MESSAGE_BYTES", 1000, raising=False)
     rng = random.Random(8)
     lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(200)]
     sent = []
