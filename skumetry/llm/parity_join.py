@@ -261,7 +261,8 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     packed = keyed.select("doc_id", "text_hash", "text", slot).mapInArrow(pack, "doc_id long, text_hash long, packed binary")
-    return packed.join(wanted, ["doc_id", "text_hash"]).select("node", "packed").dropDuplicates(["node"])
+    # Rows of one id and text are of one class, so one shuffle serves to drop repeated rows and to join.
+    return packed.dropDuplicates(["doc_id", "text_hash"]).join(wanted, ["doc_id", "text_hash"]).select("node", "packed")
 
 
 @lru_cache(maxsize=256)

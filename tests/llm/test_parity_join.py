@@ -85,6 +85,20 @@ def test_few_texts_are_shuffled_that_nobody_asks_for(spark, monkeypatch):
     assert 20 <= given[0].count() < 150
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, "some words of a text") for i in range(9)], "doc_id long, text string")
+    signed = parity_join.stored(parity_join.signatures(docs))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = parity_join._texts(docs, signed, signed.select("node").distinct())
+        assert texts.count() == 1
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning") == 2
+
+
 def test_a_class_sends_its_keys_once_a_task(spark, monkeypatch):
     monkeypatch.setattr(parity_join.textbytes, "SLICE_BYTES", 100)
     docs = spark.createDataFrame([(i, "the same words in all of these texts " * 3) for i in range(50)], "doc_id long, text string").coalesce(1)
