@@ -11,8 +11,8 @@ stand. Neighbouring strings with one minimizer are kept as one stretch of text.
 3. For the shared ones the block sends its different stretches with the smallest document id of
    each. A bucket deals them to its parts. A part puts its different stretches into one text, builds suffix array and
    Burrows-Wheeler transform, and finds the stretches' common strings: intervals of suffixes are
-   extended backward, breadth first, so common prefixes come out by increasing length, up to 50
-   and no further. Each interval that is left holds the places of one 50-byte string; the
+   extended backward, breadth first, all by as many symbols as they have, so common prefixes come
+   out by lengths that double, up to 50 and no further. Each interval that is left holds the places of one 50-byte string; the
    smallest id among them owns it.
 4. Blocks hear the owners and cut what others own.
 
@@ -62,16 +62,21 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k: k + size]
     reach = 7
+    order = np.argsort(key)
+    rank, rows, own = np.empty(size + 1, np.uint64), np.arange(size), key[order]
+    rank[size:] = 0
     while True:
-        order = np.argsort(key)
-        own = key[order]
-        rank = np.empty(size, np.uint64)
-        rank[order] = np.r_[1, 1 + np.cumsum(own[1:] != own[:-1], dtype=np.uint64)][:size]
-        if reach >= depth or not size or rank.max() == size:
+        # A suffix's rank is one more than the first row of those not told apart from it; only
+        # rows that share theirs are sorted on.
+        new = np.r_[True, own[1:] != own[:-1]][: len(rows)]
+        rank[order[rows]] = np.maximum.accumulate(np.where(new, rows + 1, 0))
+        rows = rows[~(new & np.r_[new[1:], True][: len(rows)])]
+        if reach >= depth or not len(rows):
             return order
-        later = np.zeros(size, np.uint64)
-        later[:-reach] = rank[reach:] if reach < size else 0
-        key = (rank << np.uint64(32)) | later
+        among = order[rows]
+        key = (rank[among] << np.uint64(32)) | rank[np.minimum(among + reach, size)]
+        by = np.argsort(key)
+        order[rows], own = among[by], key[by]
         reach *= 2
 
 
@@ -80,47 +85,44 @@ def intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
 
     Row k of the sorted suffixes is the backward extension of row ``psi[k]`` by its first
     symbol; ``psi`` is the inverse of the last-to-first mapping of the Burrows-Wheeler
-    transform. Two neighbouring rows share one symbol more than the rows that they extend, if
-    their first symbols agree. So the intervals of all strings of one length follow from those
-    of the strings one symbol shorter: every step extends all intervals by one symbol, settles
-    the common prefixes of that length, and goes on with the rows not yet settled.
+    transform. Taken n times it leads to the row that row k extends by its first n symbols. Two
+    neighbouring rows share n + m symbols if they share n and the rows that they extend by those
+    share m. So the intervals of all strings of one length follow from those of strings half as
+    long: every step extends all intervals by up to their own length, settles the common
+    prefixes of the lengths between, and goes on with the rows not yet settled.
     """
     size = len(symbols)
     order = suffix_array(symbols, length)
     place = np.empty(size + 1, np.int32)
     place[order] = np.arange(size, dtype=np.int32)
     place[size] = 0
-    psi = place[order + 1]
     first = symbols[order]
-    settled = np.zeros(size, bool)
-    settled[:1] = True
-    interval = np.zeros(size, np.int32)
-    # Rows, and the rows that they and the rows above them extend. Settled rows are left out from
-    # time to time: a settled row stays so, as intervals only get smaller.
-    rows, below, above, known = np.arange(1, size, dtype=np.int32), psi[1:], psi[:-1], 0
-    for step in range(length):
-        new = interval[below] != interval[above] if step else first[1:] != first[:-1]
-        count = int(np.count_nonzero(new))
-        if count == known and step:
-            # Nothing ends here; the next length sees the same intervals only if none changed.
-            break
+    settled = np.ones(size, bool)
+    settled[1:] = first[1:] != first[:-1]
+    interval = np.cumsum(settled, dtype=np.int32)
+    # A settled row stays so, as intervals only get smaller.
+    rows, reach = np.flatnonzero(~settled), 1
+    while reach < length and len(rows):
+        more = min(reach, length - reach)
+        below, above = (place[np.minimum(order[r] + more, size)] for r in (rows, rows - 1))  # ``psi`` taken ``more`` times
+        new = interval[below] != interval[above]
         settled[rows[new]] = True
-        known = count
-        if 8 * count > len(rows):
-            left = ~new
-            rows, below, above, known = rows[left], below[left], above[left], 0
+        rows = rows[~new]
         interval = np.cumsum(settled, dtype=np.int32)
+        reach += more
     return order, interval
 
 
-def _minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one minimizer: its hash, the first start, and the end of the run."""
-    size = len(data)
+def _minimizers(running: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts with one minimizer: its hash, the first start, and the end of the run.
+
+    ``running`` is the running sum over the texts, which begin and end at ``offsets``.
+    """
+    size = len(running) - 1
     none = np.zeros(0, np.int64)
     if size < LENGTH:
         return none.astype(np.uint64), none, none
-    at = np.arange(size - GRAM + 1)
-    least = textbytes.range_hashes(data, at, at + GRAM)
+    least = textbytes.gram_hashes(running, GRAM)
     width, window = 1, LENGTH - GRAM + 1
     while 2 * width <= window:
         least = np.minimum(least[:-width], least[width:])
@@ -128,11 +130,11 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if window > width:
         least = np.minimum(least[: len(least) - (window - width)], least[window - width:])
     # One value for each start of a string; strings must not leave their document.
-    inside = np.zeros(size + 1, np.int32)
+    inside = np.zeros(size + 1, np.int8)
     full = np.diff(offsets) >= LENGTH
     np.add.at(inside, offsets[:-1][full], 1)
     np.add.at(inside, offsets[1:][full] - LENGTH + 1, -1)
-    valid = np.cumsum(inside[: len(least)]) > 0
+    valid = np.cumsum(inside[: len(least)], dtype=np.int8) > 0
     begins_doc = np.zeros(size + 1, bool)
     begins_doc[offsets[:-1]] = True
     new = valid.copy()
@@ -184,12 +186,13 @@ class _Block:
         rows = np.r_[0, np.cumsum(counts)].tolist()
         for piece, a, b in zip(packed, rows, rows[1:]):
             data, begin = np.frombuffer(textbytes.unpack(piece), np.uint8), self.offsets[a]
-            found = _minimizers(data, self.offsets[a: b + 1] - begin)
+            running = textbytes.running_sum(data)
+            found = _minimizers(running, self.offsets[a: b + 1] - begin)
             datas.append(data)
             for held, more in ((keys, found[0]), (starts, found[1] + begin), (ends, found[2] + begin)):
                 held.append(more)
             if hashed:
-                hashes.append(textbytes.range_hashes(data, found[1], found[2] + LENGTH - 1))
+                hashes.append(textbytes.range_hashes(data, found[1], found[2] + LENGTH - 1, running))
         self.data, keys, self.starts, self.ends = (np.concatenate(x) for x in (datas, keys, starts, ends))
         self.hashes = np.concatenate(hashes) if hashed else None
         self.doc = docs[np.searchsorted(self.offsets, self.starts, "right") - 1] if len(keys) else np.zeros(0, np.int64)

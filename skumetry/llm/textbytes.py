@@ -82,20 +82,42 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the 64 output bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = x ^ (x >> np.uint64(bits))
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _bounded_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << max(size - 1, SLICE_BYTES - 1).bit_length())
+
+
+def running_sum(data: np.ndarray) -> np.ndarray:
+    """The sum from which the hashes of all ranges follow."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    if len(data):
+        np.cumsum(_BYTE_CODES[data] * _bounded_powers(len(data))[0][: len(data)], out=out[1:])
+    return out
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, running: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each byte range, from one running sum over the whole array."""
     if not len(data):
         return np.zeros(len(starts), np.uint64)
-    up, down = _powers(1 << max(len(data) - 1, SLICE_BYTES - 1).bit_length())
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=running[1:])
+    if running is None:
+        running = running_sum(data)
     at = np.minimum(starts, len(data) - 1)
-    return mix((running[ends] - running[starts]) * down[at] + (ends - starts).astype(np.uint64))
+    return mix((running[ends] - running[starts]) * _bounded_powers(len(data))[1][at] + (ends - starts).astype(np.uint64))
+
+
+def gram_hashes(running: np.ndarray, size: int) -> np.ndarray:
+    """``range_hashes`` of all ranges of ``size`` bytes, in the order in which they begin."""
+    count = max(0, len(running) - size)
+    out = running[len(running) - count:] - running[:count]
+    out *= _bounded_powers(len(running) - 1)[1][:count]
+    out += np.uint64(size)
+    return mix(out)
 
 
 def join_hashes(*columns: np.ndarray) -> np.ndarray:

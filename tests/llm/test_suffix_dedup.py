@@ -100,3 +100,47 @@ def test_intervals_are_groups_of_equal_strings():
         for k in range(1, size):
             whole = len(strings[k]) == len(strings[k - 1]) == length
             assert (interval[k] != interval[k - 1]) == (strings[k] != strings[k - 1]) or not whole
+
+
+class Counted:
+    """numpy, with the calls of one function counted."""
+
+    def __init__(self, name):
+        self.name, self.calls = name, 0
+
+    def __getattr__(self, name):
+        self.calls += name == self.name
+        return getattr(np, name)
+
+
+def test_intervals_take_few_passes(monkeypatch):
+    """Each pass over the rows doubles the length of the strings, so 50 symbols take six passes, not fifty."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 257, 300)
+    symbols = np.concatenate([np.r_[rng.integers(1, 257, 40), passage[rng.integers(200):], 0] for _ in range(40)]).astype(np.uint16)
+    counted = Counted("cumsum")
+    monkeypatch.setattr(suffix_dedup, "np", counted)
+    order, interval = suffix_dedup.intervals(symbols, 50)
+    assert counted.calls <= 20
+    strings = [tuple(symbols[i: i + 50]) for i in order]
+    whole = [len(s) == 50 for s in strings]
+    assert all((interval[k] != interval[k - 1]) == (strings[k] != strings[k - 1]) for k in range(1, len(order)) if whole[k] and whole[k - 1])
+
+
+def test_suffixes_of_repeated_texts_are_sorted():
+    """Suffixes that later rounds still tell apart, among many that the first round does."""
+    rng = np.random.default_rng(6)
+    for passage in (rng.integers(1, 3, 90), np.ones(120, np.int64), rng.integers(1, 257, 100)):
+        symbols = np.concatenate([np.r_[rng.integers(1, 257, 60), passage[k:], 0] for k in range(0, 60, 7)]).astype(np.uint16)
+        padded = np.r_[symbols, np.zeros(50, np.uint16)]
+        order = suffix_dedup.suffix_array(symbols, 50)
+        strings = [tuple(padded[i: i + 50]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(symbols))) and strings == sorted(strings)
+
+
+def test_gram_hashes_are_range_hashes():
+    for size in (0, 15, 16, 17, 5000):
+        data = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+        at = np.arange(max(0, size - 15))
+        grams = suffix_dedup.textbytes.gram_hashes(suffix_dedup.textbytes.running_sum(data), 16)
+        assert np.array_equal(grams, suffix_dedup.textbytes.range_hashes(data, at, at + 16))
