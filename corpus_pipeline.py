@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skumetry.llm import byte_bpe, mixing, parity_join, pii, quality
 from skumetry.llm.queries import rank_lines
-from skumetry.llm.shared import shipped, stored
+from skumetry.llm.shared import in_small_batches, shipped, stored
 
 
 @shipped
+@in_small_batches
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
 
 
 @shipped
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return parity_join.one_of_each_group(docs)
 
@@ -33,8 +35,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 @shipped
+@in_small_batches
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN)
+    return byte_bpe.token_digests(docs, rank_lines(), public_tokenizers.PATTERN, forget=True)
 
 
 STAGES = [

@@ -264,6 +264,10 @@ def _codec(rank_lines: bytes, pattern: str):
     return _STATE[key]
 
 
+def _drop_codec() -> None:
+    _STATE.clear()
+
+
 def encode_texts(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array of int) of every whole text.
 
@@ -303,11 +307,13 @@ def decode_ids(docs: DataFrame, rank_lines: bytes, pattern: str, ids: str = "tok
     return docs.mapInArrow(decode, schema)
 
 
-def token_digests(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, rank_lines: bytes, pattern: str, text: str = "text", forget: bool = False) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
     The same encoding and decoding as above in one pass, so that neither ids nor decoded texts
     leave the Python worker. Null and empty texts have 0 tokens and the digests of no bytes.
+    With ``forget`` a worker drops its encoder after each task, so that tasks of other steps that it
+    runs later have the room.
     """
     keep = [c for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep], text)
@@ -330,5 +336,7 @@ def token_digests(docs: DataFrame, rank_lines: bytes, pattern: str, text: str =
                 [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                 [*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        if forget:
+            _drop_codec()
 
     return docs.mapInArrow(digest, schema)

@@ -44,8 +44,8 @@ COST_UNIT = 1 << 20
 #: Different texts of a block, for models that are not broadcast; tasks that hold blocks.
 BLOCK_BYTES = 16 << 20
 MOST_TASKS = 20_000
-#: Counts that a task gathers before it hands them on.
-TASK_GRAMS = 750_000
+#: Counts that a task gathers before it hands them on, and that it hands on at a time.
+TASK_GRAMS, SENT_GRAMS = 750_000, 50_000
 #: The band: so many scaled median absolute deviations below and above the median.
 BELOW, ABOVE = 6.0, 4.0
 #: The least scale, so that a language of very regular texts keeps a band of some width.
@@ -101,10 +101,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         def out():
             k, n = _summed(np.concatenate(keys), np.concatenate(counts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array((k >> np.uint64(GRAM_BITS)).astype(np.int64)), pa.array((k & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64)), pa.array(n)],
-                ["lang24", "gram", "n"],
-            )
+            for at in range(0, len(k), SENT_GRAMS):
+                key, number = k[at: at + SENT_GRAMS], n[at: at + SENT_GRAMS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key >> np.uint64(GRAM_BITS)).astype(np.int64)), pa.array((key & np.uint64((1 << GRAM_BITS) - 1)).astype(np.int64)), pa.array(number)],
+                    ["lang24", "gram", "n"],
+                )
 
         for batch in textbytes.slices(batches):
             data, offsets = textbytes.flatten(batch.column("text"))
@@ -117,10 +119,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 merged = _summed(np.concatenate(keys), np.concatenate(counts))
                 keys, counts, held = [merged[0]], [merged[1]], len(merged[0])
                 if held > TASK_GRAMS // 2:
-                    yield out()
+                    yield from out()
                     keys, counts, held = [], [], 0
         if keys:
-            yield out()
+            yield from out()
 
     partial = docs.select("text", "lang").mapInArrow(count, "lang24 long, gram long, n long")
     return partial.groupBy("lang24", "gram").agg(F.sum("n").alias("n"))

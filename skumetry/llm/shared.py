@@ -12,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at a time, about; one longer row goes alone.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
+
 _SHIPPED: set[str] = set()
 
 
@@ -39,6 +42,22 @@ def shipped(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return with_package
 
 
+def in_small_batches(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run``, whose first argument is the session, with Arrow batches of about ``BATCH_BYTES`` of rows.
+
+    Spark's own bound of 10,000 rows lets a batch hold all texts of a task, in the executor and again
+    in its Python worker. A bound on bytes that the session already has stays.
+    """
+
+    @functools.wraps(run)
+    def bounded(spark: SparkSession, *args):
+        if spark.conf.get(BATCH_SETTING, None) is None:
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+        return run(spark, *args)
+
+    return bounded
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 

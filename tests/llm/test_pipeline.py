@@ -8,8 +8,10 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 
 from skumetry.llm import byte_bpe, queries
 from test_mixing import mixing
@@ -100,3 +102,34 @@ def test_encoding(staged):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """A stage's Python workers get texts in batches of bounded bytes, not 10,000 at a time."""
+    setting, bound = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
+    spark.conf.unset(setting)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    docs = spark.createDataFrame([(i, f"{i} " * 2000, "en") for i in range(600)], "doc_id long, text string, lang string").coalesce(1)
+    for stage in (corpus_pipeline.keep_good_documents, corpus_pipeline.drop_near_duplicates, corpus_pipeline.encode_bytes):
+        stage(spark, docs.limit(0), "nowhere")
+        assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 2 * bound
+        spark.conf.unset(setting)
+    spark.conf.set(setting, "3000000")
+    corpus_pipeline.encode_bytes(spark, docs, "nowhere")
+    assert spark.conf.get(setting) == "3000000"
+    spark.conf.unset(setting)
+
+
+def test_workers_drop_their_encoder(spark, monkeypatch):
+    """What the encoding remembers does not stay beside the tasks that a worker runs next."""
+    docs = spark.createDataFrame(corpus()[:8], SCHEMA)
+    batch = pa.RecordBatch.from_pylist([{**{c: None for c in docs.columns}, "text": "some text"}]).select([*(c for c in docs.columns if c != "text"), "text"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, function, schema: cloudpickle.loads(cloudpickle.dumps(function)))
+    task = byte_bpe.token_digests(docs, queries.rank_lines(), public_tokenizers.PATTERN)
+    assert next(task(iter([batch]))).num_rows == 1 and byte_bpe._STATE
+    assert [b.num_rows for b in corpus_pipeline.encode_bytes(spark, docs, "nowhere")(iter([batch]))] == [1]
+    assert not byte_bpe._STATE
